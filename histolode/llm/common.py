@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -127,10 +129,33 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             yield batch.slice(a, b - a)
 
 
-def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="histolode-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
+def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def grouped(df: DataFrame, keys: list[str], function: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(function, schema)
+
+
 def rows_batch(columns: dict[str, list | np.ndarray | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema
