@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing
+from . import lines, mixing, near_dup, packing
 from .common import mapped, steps, table, texts_of
 
 
@@ -30,6 +30,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped(joined, digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     schedule = mixing.mix_schedule(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeats=2)
     return schedule.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +46,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
+    "op6_near_dup": op6_near_dup,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
 }

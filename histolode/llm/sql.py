@@ -35,4 +35,25 @@ select q.doc_id, q.size, q.source_size, q.target, q.size * coalesce(t.copies, 0)
 from queued q left join taken t using (doc_id)
 """
 
-ORACLES = {"op5_line_dedup": OP5, "op9_mix_sources": OP9}
+OP6 = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, md5_number_lower(array_to_string(w[i : i + 4], ' ')) as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+-- of equal similarity chances, a pair must share one of the first n - ceil(0.75 n) + 1 shingles of either, in order of the hash
+firsts as (
+  select s.doc_id, s.s from (select *, row_number() over (partition by doc_id order by s) as r from shingles) s join sizes z using (doc_id)
+  where r <= n - ceil(0.75 * n) + 1),
+pairs as (select distinct a.doc_id as a, b.doc_id as b from firsts a join firsts b on a.s = b.s and a.doc_id < b.doc_id),
+both_ as (select p.a, p.b, count(*) as c from pairs p join shingles x on x.doc_id = p.a join shingles y on y.doc_id = p.b and y.s = x.s group by p.a, p.b),
+links as (select a, b from both_ join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+either as (select a, b from links union all select b, a from links),
+reach(id, other) as (select a, b from either union select r.id, e.b from reach r join either e on e.a = r.other),
+labels as (select id, least(id, min(other)) as component_id from reach group by id)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, coalesce(l.component_id, d.doc_id) as component_id, coalesce(l.component_id, d.doc_id) = d.doc_id as kept
+from documents d left join sizes z using (doc_id) left join labels l on l.id = d.doc_id
+"""
+
+ORACLES = {"op6_near_dup": OP6, "op5_line_dedup": OP5, "op9_mix_sources": OP9}
