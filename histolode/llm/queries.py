@@ -10,8 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_dup, packing
-from .common import mapped, steps, table, texts_of
+from . import lines, mixing, near_dup, packing, suffix_tree
+from .common import id_text_crc, mapped, steps, table, texts_of
+
+
+def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", id_text_crc() % 10 != 0)
+    return suffix_tree.score_texts(docs)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +50,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_dup": op6_near_dup,
     "op9_mix_sources": op9_mix_sources,
