@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_dup, packing, suffix_tree
+from . import lines, mixing, near_dup, packing, repeats, suffix_tree
 from .common import id_text_crc, mapped, steps, table, texts_of
 
 
@@ -19,6 +19,11 @@ def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_texts(docs)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), repeats.removal_digest, schema, min_len=100)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     joined = lines.with_bitmaps(docs, lines.line_bitmaps(docs, min_docs=10, min_chars=1))
@@ -51,6 +56,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
+    "op4_repeats": op4_repeats,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_dup": op6_near_dup,
     "op9_mix_sources": op9_mix_sources,
