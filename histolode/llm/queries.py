@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_dup, packing, repeats, suffix_tree
+from . import lines, mixing, near_dup, packing, repeats, suffix_tree, vectors
 from .common import id_text_crc, mapped, steps, table, texts_of
 
 
@@ -19,6 +19,10 @@ def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_texts(docs)
 
 
+def op2_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.range_join(table(spark, sf_dir, "embeddings"), "vec_id", threshold=0.95)
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return repeats.without_repeats(table(spark, sf_dir, "documents"), repeats.removal_digest, schema, min_len=100)
@@ -44,6 +48,10 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     schedule = mixing.mix_schedule(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeats=2)
     return schedule.select("doc_id", "size", "source_size", "target", "taken")
@@ -56,9 +64,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
+    "op2_range_join": op2_range_join,
     "op4_repeats": op4_repeats,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_dup": op6_near_dup,
+    "op7_permutation_index": op7_permutation_index,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
 }
