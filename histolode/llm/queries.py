@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_dup, packing, repeats, suffix_tree, vectors
+from . import lines, mixing, near_dup, packing, repeats, suffix_tree, toxicity, vectors
 from .common import id_text_crc, mapped, steps, table, texts_of
 
 
@@ -23,6 +23,13 @@ def op2_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.range_join(table(spark, sf_dir, "embeddings"), "vec_id", threshold=0.95)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(id_text_crc() % 5 != 0).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (id_text_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return repeats.without_repeats(table(spark, sf_dir, "documents"), repeats.removal_digest, schema, min_len=100)
@@ -65,6 +72,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_range_join": op2_range_join,
+    "op3_toxicity": op3_toxicity,
     "op4_repeats": op4_repeats,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_dup": op6_near_dup,
