@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_dup, packing, repeats, suffix_tree, toxicity, vectors
+from . import lines, mixing, near_dup, packing, repeats, suffix_tree, surrogates, toxicity, vectors
 from .common import id_text_crc, mapped, steps, table, texts_of
 
 
@@ -59,6 +59,11 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id", F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, key="documents")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     schedule = mixing.mix_schedule(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeats=2)
     return schedule.select("doc_id", "size", "source_size", "target", "taken")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_near_dup": op6_near_dup,
     "op7_permutation_index": op7_permutation_index,
+    "op8_surrogates": op8_surrogates,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
 }
