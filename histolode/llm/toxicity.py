@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
-1. Lexicons: words and 5-letter word beginnings whose share among toxic labelled
-   training texts is beyond chance (their number with the same counts must be several
+1. Lexicons: words and 5-letter word beginnings whose share among toxic labelled training
+   texts is beyond chance (their number with the same counts must be several
    times the number that random labels would give).
 2. Voters: the lexicon is dealt by hash into word voters and beginning voters, each
-   voting toxic or abstaining; pattern voters look at shouting, punctuation, address
+   voting toxic or abstaining; two voters want several hits; pattern voters look at shouting, punctuation, address
    and repetition; coverage voters vote clean.
 3. Label model: EM over the votes estimates the class share and each voter's
    class-conditional votes, without labels; correlations that the class does not
@@ -23,6 +23,7 @@ empty table gives no rows; other columns are never inputs.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -33,15 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, steps
+from .common import mapped, steps, texts_of
+from .near_dup import WordHashes, shingle_set
 
 WORD = re.compile(r"[^\W\d_]{2,}")
 PREFIX = 5
 MAX_TERMS = 8192
+MIN_SHARE, MIN_PRECISION = 0.015, 0.75
 WORD_VOTERS, PREFIX_VOTERS = 24, 8
 _ADDRESS = re.compile(r"\b(?:you|your|du|dein|ihr|tu|toi|vous|tú|usted|eres)\b")
 _REPEAT = re.compile(r"(.)\1{3,}")
-N_PATTERNS, N_CLEAN = 6, 2
+N_PATTERNS, N_MANY, N_CLEAN = 6, 2, 2
 
 
 def terms_of(text: str) -> Counter:
@@ -74,7 +77,7 @@ class Voters:
         self.voter = np.array([WORD_VOTERS + zlib.crc32(t.encode()) % PREFIX_VOTERS if t[0] == "^" else zlib.crc32(t.encode()) % WORD_VOTERS for t in terms], np.int64)
         self.words = frozenset(t for t in terms if t[0] != "^")
         self.starts = frozenset(t[1:] for t in terms if t[0] == "^")
-        self.size = WORD_VOTERS + PREFIX_VOTERS + N_PATTERNS + N_CLEAN
+        self.size = WORD_VOTERS + PREFIX_VOTERS + N_PATTERNS + N_MANY + N_CLEAN
 
     def hits(self, text: str) -> dict[int, int]:
         words = WORD.findall(text.lower())
@@ -94,8 +97,12 @@ class Voters:
         out[voters] = 1
         at = WORD_VOTERS + PREFIX_VOTERS
         out[at : at + N_PATTERNS] = np.array(shown) > _CUTS
-        out[at + N_PATTERNS] = -1 if not (voters < WORD_VOTERS).any() else 0
-        out[at + N_PATTERNS + 1] = -1 if not (voters >= WORD_VOTERS).any() else 0
+        at += N_PATTERNS
+        words = int((voters < WORD_VOTERS).sum())
+        out[at : at + N_MANY] = words >= 2, words >= 3
+        at += N_MANY
+        out[at] = -1 if not (voters < WORD_VOTERS).any() else 0
+        out[at + 1] = -1 if not (voters >= WORD_VOTERS).any() else 0
         return out
 
     def features(self, hits: dict[int, int], shown: list[float], votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +130,8 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 60) -> np.ndarray
         if k >= 5 and k % 5 == 0:
             # what the classes leave of the votes' correlation
             rest = votes - (one[:, None] * (p1[:, 2] - p1[:, 0]) + zero[:, None] * (p0[:, 2] - p0[:, 0]))
-            c = np.nan_to_num(np.corrcoef(rest.T))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                c = np.nan_to_num(np.corrcoef(rest.T))
             np.fill_diagonal(c, 0)
             weight = 1 / (1 + np.where(c > 0.1, c, 0).sum(axis=1))
         ratio = np.log(p1 / p0) * weight[:, None]
@@ -158,7 +166,7 @@ def _significant(cells: dict[tuple[int, int], int], share: float, factor: float
         by_df[p + q] += n
     out = set()
     for (p, q), n in cells.items():
-        if p >= 2 and p > 3 * share * (p + q):
+        if p >= 2 and p >= MIN_PRECISION * (p + q):
             df = p + q
             log_chance = _log_choose(df, p) + p * np.log(share) + q * np.log1p(-share)
             if n >= factor * by_df[df] * np.exp(log_chance):
@@ -167,15 +175,23 @@ def _significant(cells: dict[tuple[int, int], int], share: float, factor: float
 
 
 def _log_choose(n: int, k: int) -> float:
-    from math import lgamma
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
-    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of a text's 3-word shingles, which most copies of a text share."""
+    hashes = WordHashes()
+    for step in steps(batches, "text"):
+        sets = (shingle_set(t, hashes, 3) for t in texts_of(step.column("text")))
+        keys = [int(s[0].view(np.int64)) if len(s) else 0 for s in sets]
+        yield pa.RecordBatch.from_arrays([step.column("text"), step.column("toxic").cast(pa.int32()), pa.array(keys, pa.int64())], ["text", "toxic", "key"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> tuple[Voters, np.ndarray] | None:
     """Fits on at most max_labelled labelled rows of (doc_id, toxic); None without toxic rows."""
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).persist()  # at most max_labelled rows on either side
+    known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # at most max_labelled rows on either side
+    known = mapped(known.select("text", "toxic"), _keyed, "text string, toxic int, key long").dropDuplicates(["key"]).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
@@ -200,9 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> tuple
     share = n_pos / n
     common = terms.where((F.col("pos") >= 2) | (F.col("neg") >= 1)).groupBy("pos", "neg").count().where("pos + neg <= 2000").collect()  # a cell per pair of counts
     cells = {(r["pos"], r["neg"]): r["count"] for r in common}
-    wanted = _significant(cells, share)
+    wanted, least = _significant(cells, share), max(2, math.ceil(MIN_SHARE * n_pos))
     strength = F.col("pos") * F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
-    candidates = terms.where((F.col("pos") >= 2) & (F.col("pos") > F.lit(3 * share) * (F.col("pos") + F.col("neg")))).orderBy(strength.desc(), "term").limit(4 * MAX_TERMS).collect()
+    candidates = terms.where((F.col("pos") >= least) & (F.col("pos") >= F.lit(MIN_PRECISION) * (F.col("pos") + F.col("neg")))).orderBy(strength.desc(), "term").limit(4 * MAX_TERMS).collect()
     lexicon = [r["term"] for r in candidates if (r["pos"], r["neg"]) in wanted or r["pos"] + r["neg"] > 2000][:MAX_TERMS]
     voters = Voters(lexicon)
 
