@@ -1,0 +1 @@
+"""Operators: each takes DataFrames keyed by repository and returns DataFrames."""
