@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +41,15 @@ SAMPLES = "(values " + ", ".join(f"({literal(p)})" for p in SAMPLE_PATHS) + ") a
 #: Every path once, with a commit and a place of its own.
 PATHS = f"select distinct file_path from ({COMMIT_FILE}) union select file_path from {SAMPLES}"
 
-_NAMES = re.compile(r"\{(\w+)\}")
+_NAMES = re.compile(r"\{(lineitem|part|orders|customer|supplier|nation|region|events|documents|embeddings|pages|benchmark|labels|conversations)\}")
 
 
 def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Runs SQL whose {table} names are read from sf_dir."""
-    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in set(_NAMES.findall(sql))}
-    return spark.sql(sql.replace("\\\\", "\\\\\\\\"), **tables)
+    """Runs SQL whose {table} names are read from sf_dir, through views named after the folder."""
+    suffix = f"{zlib.crc32(sf_dir.encode()):08x}"
+    for name in set(_NAMES.findall(sql)):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"{name}_{suffix}")
+    return spark.sql(_NAMES.sub(rf"\1_{suffix}", sql).replace("\\", "\\\\"))
 
 
 def plain(sql: str) -> str:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import paths
+from . import diffs, paths
 
-_PARTS = [paths]
+_PARTS = [paths, diffs]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
