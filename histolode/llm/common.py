@@ -106,6 +106,8 @@ def unzipped(blob: bytes) -> bytes:
 
 # -- Arrow batches --------------------------------------------------------------
 
+#: Bytes of one Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that one Python step holds at a time; a longer text is a step of its own.
 STEP_BYTES = 8 << 20
 
@@ -133,8 +135,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors, once an application."""
+    """Sends this package's sources to the executors, once an application, and bounds Arrow batches by bytes.
+
+    Without the bound a batch holds 10,000 rows, however long their texts are.
+    """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
