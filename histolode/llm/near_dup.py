@@ -8,8 +8,10 @@
 3. Buckets of equal band keys are streamed in order of the key; each member is paired
    with the bucket's first, so a bucket of m members gives m - 1 pairs.  Pairs pass
    the sketch estimate, then the exact test on full sets.
-4. Buckets that still hold several components have all pairs across components tried
-   the same way, in blocks of members, so no link inside a bucket is lost.
+4. Buckets that still hold several components are tried again in blocks of members:
+   first each member with the ``NEAREST`` members of other components by sketch, which
+   joins most of them, then all pairs across the components that are left, exactly and
+   inside the block's task, so no link inside a bucket is lost.
 5. Components of the exact links.
 
 With 20 bands of 3 samples a pair at similarity 0.75 shares no bucket with
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, grouped, mapped, mix, rows_batch, steps, texts_of
 from .components import components
 
-SAMPLES, BANDS, ROWS, SKETCH_BITS, MARGIN, BLOCK = 128, 20, 3, 1024, 0.2, 2048
+SAMPLES, BANDS, ROWS, SKETCH_BITS, MARGIN, BLOCK, NEAREST = 128, 20, 3, 1024, 0.2, 1024, 2
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,28 +177,67 @@ def _similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "ka", "kb"), run, "a long, b long")
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs across components inside buckets, by blocks of members; keeps those the sketch lets through."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+def _tasks(members: DataFrame) -> DataFrame:
+    """Members of buckets with several components, dealt to the pairs (i, j) of blocks of their bucket."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
     blocks = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    tasks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "sketch")
+    return blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+
+
+def _nearest(members: DataFrame, least: float, nearest: int) -> DataFrame:
+    """Pairs of each member with the nearest members of other components by sketch."""
 
     def run(table: pa.Table) -> pa.Table:
         reps, comps, mine = (table.column(c).to_numpy() for c in ("rep", "component", "mine"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(reps), -1)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rows = np.flatnonzero(mine == i)
         found = []
-        for r in rows:
-            others = np.flatnonzero((mine == j) & (comps != comps[r]) & ((reps > reps[r]) if i == j else True))
-            others = others[estimates(sketch[r], sketch[others]) >= least] if len(others) else others
-            found += [(min(reps[r], reps[o]), max(reps[r], reps[o])) for o in others]
+        for r in np.flatnonzero((mine == i) | (mine == j)):
+            others = np.flatnonzero((mine == (j if mine[r] == i else i)) & (comps != comps[r]))
+            if len(others):
+                likely = estimates(sketch[r], sketch[others])
+                best = np.argsort(-likely, kind="stable")[:nearest]
+                found += [(min(reps[r], reps[o]), max(reps[r], reps[o])) for o in others[best[likely[best] >= least]]]
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    tasks = _tasks(members).select("bucket", "i", "j", "mine", "rep", "component", "sketch")
     return grouped(tasks, ["bucket", "i", "j"], run, "a long, b long").distinct()
 
 
+def _exhaustive(members: DataFrame, percent: int) -> DataFrame:
+    """Links across components inside buckets, from exact tests of all pairs; one link for each member and component.
+
+    A pair that shares several buckets is tested in the first of its bands alone.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, comps, mine = (table.column(c).to_numpy() for c in ("rep", "component", "mine"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        i, j, bucket = (table.column(c)[0].as_py() for c in ("i", "j", "bucket"))
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        values, places = np.unique(np.concatenate(sets), return_inverse=True)
+        starts, marked, found = np.cumsum(sizes) - sizes, np.zeros(len(values), np.int64), []
+        for r in np.flatnonzero(mine == i):
+            others = (mine == j) & (comps != comps[r]) & (100 * np.minimum(sizes, sizes[r]) >= percent * np.maximum(sizes, sizes[r]))
+            same = bands == bands[r]
+            others &= bands[r][same.argmax(axis=1)] == bucket
+            if not others.any():
+                continue
+            own = places[starts[r] : starts[r] + sizes[r]]
+            marked[own] = 1
+            both = np.add.reduceat(marked[places], starts)
+            marked[own] = 0
+            linked = np.flatnonzero(others & (100 * both >= percent * (sizes + sizes[r] - both)))
+            found += [(reps[r], reps[linked[k]]) for k in np.unique(comps[linked], return_index=True)[1]]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    tasks = _tasks(members).select("bucket", "i", "j", "mine", "rep", "component", "bands", "shingles")
+    return grouped(tasks, ["bucket", "i", "j"], run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     spark = docs.sparkSession
@@ -213,14 +254,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     sets = scratch.keep(shingle_sets(texts, width), "sets")
     links = scratch.keep(exact_links(_similar(pairs, sketches, least), sets, percent), "links")
     labels = components(links)
+    inside = stars.select("bucket", F.explode(F.array("a", "b")).alias("rep")).distinct()
 
-    # What is left: buckets whose members are still in several components.
-    shared = stars.select("bucket", F.explode(F.array("a", "b")).alias("rep")).distinct().join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = shared.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    members = scratch.keep(shared.join(split, "bucket", "left_semi").join(sketches, "rep"), "members")
-    more = scratch.keep(exact_links(_across(members, least).join(pairs, ["a", "b"], "left_anti"), sets, percent), "more")
-    scratch.drop("stars", "sets", "members", "involved")
-    labels = components(links.unionByName(more))
+    def split_buckets(labels: DataFrame) -> DataFrame:
+        """bucket, rep, component of the buckets whose members are still in several components."""
+        shared = inside.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        split = shared.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+        return shared.join(split, "bucket", "left_semi")
+
+    near = scratch.keep(_nearest(split_buckets(labels).join(sketches, "rep"), least, NEAREST).join(pairs, ["a", "b"], "left_anti"), "near")
+    links = links.unionByName(scratch.keep(exact_links(near, sets, percent), "near_links"))
+    labels = components(links)
+    members = split_buckets(labels).join(classes.select("rep", "bands"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    links = links.unionByName(scratch.keep(_exhaustive(members, percent), "rest_links"))
+    labels = components(links)
+    scratch.drop("stars", "sets", "near", "involved")
 
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_component"))
     rows = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
