@@ -20,8 +20,8 @@ def to_fixed2(x: Column) -> Column:
     ``round`` works on the shortest decimal and rounds 1.005 up and 0.285 to 0.29.
     """
     scaled = (x * F.lit(float(_TWO_60))).cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
-    # the quotient's digits after the point are cut, never rounded
-    whole = F.floor((scaled + F.lit(_TWO_60 // 2).cast("decimal(20,0)")) / F.lit(_TWO_60).cast("decimal(20,0)"))
+    # integral division: the quotient of decimals is rounded at its last digit
+    whole = F.call_function("div", scaled + F.lit(_TWO_60 // 2).cast("decimal(20,0)"), F.lit(_TWO_60).cast("decimal(20,0)"))
     return whole.cast("double") / F.lit(100.0)
 
 

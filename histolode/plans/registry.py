@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import diffs, paths
+from . import diffs, graph, paths
 
-_PARTS = [paths, diffs]
+_PARTS = [paths, diffs, graph]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.a1_repeated_path_patterns(spark, sf_dir)
+    return graph.a3_cochange_pairs(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
