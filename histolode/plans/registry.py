@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import diffs, graph, paths
+from . import diffs, graph, paths, texts
 
-_PARTS = [paths, diffs, graph]
+_PARTS = [paths, diffs, graph, texts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

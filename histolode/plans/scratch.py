@@ -1,0 +1,27 @@
+"""Tables in the cluster's shared folder, to cut lineage between iterations."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+class Tables:
+    """Writes frames below spark.checkpoint.dir and rereads them; a temporary folder only in local mode."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            app = spark.sparkContext.applicationId
+            root = "file://" + _local.setdefault(app, _local.get(app) or tempfile.mkdtemp(prefix="histolode-"))
+        self.spark, self.folder = spark, f"{root.rstrip('/')}/histolode/{name}-{uuid.uuid4().hex[:12]}"
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{tag}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{tag}")
