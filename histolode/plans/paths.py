@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +18,22 @@ def _text(tags: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tags)), ",")
 
 
-def _add(name: str, columns: dict[str, tuple[Column, str]]) -> None:
-    """A projection over all paths: each column as an expression and as SQL over file_path."""
+def _add(name: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    """A projection over all paths: each column as a function that makes it and as SQL over file_path."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return bind(spark, sf_dir, PATHS).select("file_path", *(c.alias(n) for n, (c, _) in columns.items()))
+        return bind(spark, sf_dir, PATHS).select("file_path", *(make().alias(n) for n, (make, _) in columns.items()))
 
     QUERIES[name] = run
     ORACLES[name] = f"select file_path, {', '.join(f'{sql} as {n}' for n, (_, sql) in columns.items())} from ({plain(PATHS)})"
 
 
-P = F.col("file_path")
+
+
+def P() -> Column:
+    return F.col("file_path")
+
+
 N = sql_normal("file_path")
 L, LN = "lower(file_path)", f"lower({N})"
 BASE = f"lower(regexp_extract({N}, '([^/]*)$', 1))"
@@ -58,16 +65,16 @@ def sql_detector(name: str) -> str:
 
 PATH_SIGNALS = f"case when {GENERATED} then {sql_detector('test_docs')} else flatten([{', '.join(sql_detector(d) for d in signals.DETECTORS)}]) end"
 
-_add("c2_file_extension", {"extension": (classify.file_extension(P), EXTENSION)})
-_add("c3_file_area", {"area": (classify.file_area(P), AREA)})
-_add("c5_path_patterns", {"patterns": (_text(classify.path_patterns(P)), sql_text(sql_path_patterns()))})
-_add("c6_directory", {"normal": (expr.normalize_path(P), N), "directory": (expr.directory_of(P), sql_directory(N))})
-_add("c7_file_role", {"role": (classify.file_role(P), ROLE)})
-_add("c8_generated", {"generated": (classify.is_generated(P), GENERATED)})
-_add("c9_noisy_evidence", {"noisy": (classify.is_noisy(P), NOISY)})
+_add("c2_file_extension", {"extension": (lambda: classify.file_extension(P()), EXTENSION)})
+_add("c3_file_area", {"area": (lambda: classify.file_area(P()), AREA)})
+_add("c5_path_patterns", {"patterns": (lambda: _text(classify.path_patterns(P())), sql_text(sql_path_patterns()))})
+_add("c6_directory", {"normal": (lambda: expr.normalize_path(P()), N), "directory": (lambda: expr.directory_of(P()), sql_directory(N))})
+_add("c7_file_role", {"role": (lambda: classify.file_role(P()), ROLE)})
+_add("c8_generated", {"generated": (lambda: classify.is_generated(P()), GENERATED)})
+_add("c9_noisy_evidence", {"noisy": (lambda: classify.is_noisy(P()), NOISY)})
 for _k, _d in enumerate(signals.DETECTORS, 1):
-    _add(f"g{_k}_{_d}_signals", {"signals": (_text(signals.detector_signals(P, _d)), sql_text(sql_detector(_d)))})
-_add("g8_path_signals", {"signals": (_text(signals.path_signals(P)), sql_text(PATH_SIGNALS)), "hints": (_text(signals.framework_hints(P)), sql_text(sql_tags(L, rules.FRAMEWORK_HINTS)))})
+    _add(f"g{_k}_{_d}_signals", {"signals": (lambda d=_d: _text(signals.detector_signals(P(), d)), sql_text(sql_detector(_d)))})
+_add("g8_path_signals", {"signals": (lambda: _text(signals.path_signals(P())), sql_text(PATH_SIGNALS)), "hints": (lambda: _text(signals.framework_hints(P())), sql_text(sql_tags(L, rules.FRAMEWORK_HINTS)))})
 
 _KINDS = {
     "ui": r"(^|/)(components?|pages?|screens?|views?|ui|web|frontend)(/|$)|\.(tsx|jsx|vue)$",
@@ -77,7 +84,7 @@ _KINDS = {
     "repository": r"(^|/)(repositories?|dao)(/|$)",
     "database": r"(^|/)(migrations?|schema|models?|entities?)(/|$)|\.(sql|prisma)$",
 }
-_add("c10_source_kinds", {k: (F.lower(P).rlike(p), sql_match(L, p)) for k, p in _KINDS.items()})
+_add("c10_source_kinds", {k: (lambda p=p: F.lower(P()).rlike(p), sql_match(L, p)) for k, p in _KINDS.items()})
 
 
 # -- per commit ---------------------------------------------------------------------
@@ -131,7 +138,7 @@ from f group by repo_id, commit_id
 
 def g10_commit_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bind(spark, sf_dir, COMMIT_FILE)
-    exploded = f.select("repo_id", "commit_id", F.explode(signals.path_signals(P)).alias("signal"))
+    exploded = f.select("repo_id", "commit_id", F.explode(signals.path_signals(P())).alias("signal"))
     return exploded.groupBy("repo_id", "commit_id").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"), F.count_distinct("signal").alias("n_signals"))
 
 
@@ -146,7 +153,7 @@ _PRIORITY = "case signal " + " ".join(f"when '{s}' then {i}" for i, s in enumera
 
 def g11_shape_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bind(spark, sf_dir, COMMIT_FILE)
-    all_signals = f.groupBy("repo_id", "commit_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(signals.path_signals(P))))).alias("s"))
+    all_signals = f.groupBy("repo_id", "commit_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(signals.path_signals(P()))))).alias("s"))
     return all_signals.select("repo_id", "commit_id", F.array_join(signals.shape(F.col("s")), ",").alias("shape"))
 
 
@@ -162,7 +169,7 @@ select c.repo_id, c.commit_id, coalesce(shape, '') as shape from c left join s u
 
 def g12_signal_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bind(spark, sf_dir, PATHS)
-    s = f.select(F.explode(signals.path_signals(P)).alias("signal")).groupBy("signal").agg(F.count("*").alias("n"))
+    s = f.select(F.explode(signals.path_signals(P())).alias("signal")).groupBy("signal").agg(F.count("*").alias("n"))
     return s.select("signal", "n", F.array_join(signals.broad_areas(F.array("signal")), ",").alias("broad"))
 
 

@@ -1,0 +1 @@
+"""Streams: incremental refresh of co-change weights and the registry."""
