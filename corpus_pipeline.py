@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histolode.llm import lines, mixing, near_dup, packing, toxicity
-from histolode.llm.common import Scratch, id_text_crc, table
+from histolode.llm.common import Scratch, free_prefix, id_text_crc, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier calls toxic; it learns from labels outside its held-out fold."""
     labels = table(spark, sf_dir, "labels").where(id_text_crc() % 5 != 0).select("doc_id", "toxic")
-    return toxicity.score(docs, toxicity.fit(docs, labels), "_score").where("_score < 0.5").drop("_score")
+    score = free_prefix(docs) + "score"
+    return toxicity.score(docs, toxicity.fit(docs, labels), score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

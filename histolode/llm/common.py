@@ -77,6 +77,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of the frame has, for columns that come and go."""
+    prefix = "_h"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 # -- binary columns -------------------------------------------------------------
 
 _zip = zstandard.ZstdCompressor(level=1)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Scratch
+from .common import WORD_PATTERN, Scratch, free_prefix
 
 #: Rows that one bucket or band should hold; their number follows the table's size.
 BUCKET_ROWS = 4096
@@ -96,9 +96,10 @@ def mix_schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them, globally sorted by virtual finish time; columns stay as they are."""
-    renamed = {c: F.col(c).alias(f"_{c}") for c in ("doc_id", "text_key", "finish", "copies", "source_size", "target")}
-    schedule = mix_schedule(docs, **options).where("copies > 0").select(*renamed.values()).dropDuplicates(["_doc_id", "_text_key"])
-    joined = docs.join(schedule, docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_key")))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    at = F.col("_finish") + F.col("_copy") * F.col("_source_size") / F.col("_target")
-    return repeated.orderBy(at, "_doc_id").select(docs.columns)
+    p = free_prefix(docs)
+    wanted = ("doc_id", "text_key", "finish", "copies", "source_size", "target")
+    schedule = mix_schedule(docs, **options).where("copies > 0").select(*(F.col(c).alias(p + c) for c in wanted)).dropDuplicates([p + "doc_id", p + "text_key"])
+    joined = docs.join(schedule, docs["doc_id"].eqNullSafe(F.col(p + "doc_id")) & (F.xxhash64("text") == F.col(p + "text_key")))
+    repeated = joined.withColumn(p + "copy", F.explode(F.sequence(F.lit(0), F.col(p + "copies") - 1)))
+    at = F.col(p + "finish") + F.col(p + "copy") * F.col(p + "source_size") / F.col(p + "target")
+    return repeated.orderBy(at, p + "doc_id").select(docs.columns)

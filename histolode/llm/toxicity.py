@@ -242,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> tuple
 
 def score(docs: DataFrame, model: tuple[Voters, np.ndarray] | None, name: str = "score") -> DataFrame:
     """The rows of docs with their score in a new column."""
+    docs = docs.drop(name)
     columns = docs.columns
     schema = docs.withColumn(name, F.lit(0.0)).schema
     if model is None:
