@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import diffs, graph, paths, skills, texts
+from . import diffs, flows, graph, paths, skills, texts
 
-_PARTS = [paths, diffs, graph, texts, skills]
+_PARTS = [paths, diffs, graph, texts, skills, flows]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
