@@ -151,9 +151,12 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with their bitmap in ``_keep`` (null: all lines stay)."""
+    """The documents with their bitmap in ``_keep`` (null: all lines stay).
+
+    Bitmaps grow with the corpus: the join sorts and merges at every size.
+    """
     side = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_mark"), F.col("keep").alias("_keep"))
-    return docs.join(side, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left").drop("_id", "_mark")
+    return docs.join(side.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left").drop("_id", "_mark")
 
 
 def kept_lines(text: bytes, keep: bytes | None) -> bytes:
