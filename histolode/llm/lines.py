@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mapped, partitions, steps, texts_of
+from .common import Scratch, free_prefix, mapped, partitions, steps, texts_of
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _ROW = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_lines", pa.int64()), ("position", pa.int64()), ("key", pa.binary())]
@@ -150,13 +150,14 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     return mapped(gathered, bitmaps, "doc_id long, text_key long, n_lines long, n_dropped long, keep binary")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with their bitmap in ``_keep`` (null: all lines stay).
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, keep: str = "_keep") -> DataFrame:
+    """The documents with their bitmap in a column ``keep`` (null: all lines stay).
 
     Bitmaps grow with the corpus: the join sorts and merges at every size.
     """
-    side = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_mark"), F.col("keep").alias("_keep"))
-    return docs.join(side.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left").drop("_id", "_mark")
+    p = free_prefix(docs)
+    side = bitmaps.select(F.col("doc_id").alias(f"{p}id"), F.col("text_key").alias(f"{p}mark"), F.col("keep").alias(keep))
+    return docs.join(side.hint("merge"), (F.col("doc_id") == F.col(f"{p}id")) & (F.xxhash64("text") == F.col(f"{p}mark")), "left").drop(f"{p}id", f"{p}mark")
 
 
 def kept_lines(text: bytes, keep: bytes | None) -> bytes:
@@ -169,17 +170,17 @@ def kept_lines(text: bytes, keep: bytes | None) -> bytes:
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The documents without the dropped lines; all columns stay, only ``text`` changes."""
-    columns = docs.columns
+    columns, keep = docs.columns, free_prefix(docs) + "keep"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
-            texts = [kept_lines(t, k) for t, k in zip(texts_of(step.column("text")), step.column("_keep").to_pylist(), strict=True)]
+            texts = [kept_lines(t, k) for t, k in zip(texts_of(step.column("text")), step.column(keep).to_pylist(), strict=True)]
             valid = step.column("text").is_valid().to_pylist()
             texts = [t if ok else None for t, ok in zip(texts, valid, strict=True)]
             fixed = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([fixed if n == "text" else step.column(n) for n in columns], columns)
 
-    return mapped(with_bitmaps(docs, bitmaps), run, docs.schema)
+    return mapped(with_bitmaps(docs, bitmaps, keep), run, docs.schema)
 
 
 def dropped_lines(keep: bytes, n_lines: int) -> int:
