@@ -183,7 +183,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     news = scratch.keep(news, "news")
     pieces = F.split(F.col("text"), PATTERN, -1)
     filled = F.array_join(F.zip_with(pieces, F.concat(F.col("_pii_new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    touched = docs.where(F.col("text").rlike(PATTERN))
-    joined = touched.join(news, touched["doc_id"].eqNullSafe(F.col("_pii_id")) & (F.xxhash64("text") == F.col("_pii_key")))
-    changed = joined.withColumn("text", filled).withColumn("n_entities", F.size("_pii_new").cast("long")).select(*docs.columns, "n_entities")
-    return changed.unionByName(docs.where(~F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))).withColumn("n_entities", F.lit(0).cast("long")))
+    side = news.hint("merge")  # grows with the corpus; texts are searched once, above
+    joined = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_pii_id")) & (F.xxhash64("text") == F.col("_pii_key")), "left")
+    touched = F.col("_pii_new").isNotNull()
+    text, count = F.when(touched, filled).otherwise(F.col("text")), F.when(touched, F.size("_pii_new")).otherwise(0).cast("long")
+    return joined.withColumns({"text": text, "n_entities": count}).select(*docs.columns, "n_entities")
