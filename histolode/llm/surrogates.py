@@ -15,7 +15,7 @@ keeps it), until all are distinct.  Only documents with entities are joined.
 
 Cases: null text stays null; empty text stays empty; repeated rows get equal texts;
 rows without id are replaced like any others; an empty table gives no rows; all other
-columns are carried through, but for names starting with ``_pii``.
+columns are carried through, whatever their names, but for an old ``n_entities``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_prefix
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in order of precedence: their expressions (Java syntax), without groups.
@@ -167,24 +167,26 @@ def surrogate_table(parts: DataFrame, scratch: Scratch, key: str, max_attempts:
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """The rows of docs with surrogates in ``text`` and the number of replaced entities in ``n_entities``."""
-    scratch = Scratch(docs.sparkSession, "surrogates")
+    docs = docs.drop("n_entities")
+    scratch, prefix = Scratch(docs.sparkSession, "surrogates"), free_prefix(docs)
+    own_id, own_key, new = prefix + "id", prefix + "key", prefix + "new"
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     entity = lambda e: F.struct(kind_of(e).alias("kind"), e.alias("entity"))
     with_parts = lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), parts_of(x["kind"], x["entity"]).alias("parts"))
-    hits = docs.where(F.col("text").rlike(PATTERN)).select(F.col("doc_id").alias("_pii_id"), F.xxhash64("text").alias("_pii_key"), F.transform(F.transform(found, entity), with_parts).alias("entities"))
-    hits = scratch.keep(hits.dropDuplicates(["_pii_id", "_pii_key"]), "hits")
-    placed = hits.select("_pii_id", "_pii_key", F.posexplode("entities").alias("at", "e")).select("_pii_id", "_pii_key", "at", "e.kind", "e.entity", F.posexplode("e.parts").alias("part_at", "part"))
+    hits = docs.where(F.col("text").rlike(PATTERN)).select(F.col("doc_id").alias(own_id), F.xxhash64("text").alias(own_key), F.transform(F.transform(found, entity), with_parts).alias("entities"))
+    hits = scratch.keep(hits.dropDuplicates([own_id, own_key]), "hits")
+    placed = hits.select(own_id, own_key, F.posexplode("entities").alias("at", "e")).select(own_id, own_key, "at", "e.kind", "e.entity", F.posexplode("e.parts").alias("part_at", "part"))
     table = surrogate_table(placed.select("part.kind", "part.text").distinct(), scratch, key)
     named = table.select(F.col("kind").alias("part_kind"), F.col("text").alias("part_text"), "surrogate")
     matched = placed.withColumn("part_kind", F.col("part.kind")).withColumn("part_text", F.col("part.text")).join(named, ["part_kind", "part_text"])
-    mentions = matched.groupBy("_pii_id", "_pii_key", "at", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("part_at", "surrogate"))).alias("p"))
+    mentions = matched.groupBy(own_id, own_key, "at", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("part_at", "surrogate"))).alias("p"))
     mentions = mentions.withColumn("new", render(F.col("kind"), F.col("entity"), F.col("p.surrogate")))
-    news = mentions.groupBy("_pii_id", "_pii_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("_pii_new"))
+    news = mentions.groupBy(own_id, own_key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new))
     news = scratch.keep(news, "news")
     pieces = F.split(F.col("text"), PATTERN, -1)
-    filled = F.array_join(F.zip_with(pieces, F.concat(F.col("_pii_new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    filled = F.array_join(F.zip_with(pieces, F.concat(F.col(new), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     side = news.hint("merge")  # grows with the corpus; texts are searched once, above
-    joined = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_pii_id")) & (F.xxhash64("text") == F.col("_pii_key")), "left")
-    touched = F.col("_pii_new").isNotNull()
-    text, count = F.when(touched, filled).otherwise(F.col("text")), F.when(touched, F.size("_pii_new")).otherwise(0).cast("long")
+    joined = docs.join(side, docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)), "left")
+    touched = F.col(new).isNotNull()
+    text, count = F.when(touched, filled).otherwise(F.col("text")), F.when(touched, F.size(new)).otherwise(0).cast("long")
     return joined.withColumns({"text": text, "n_entities": count}).select(*docs.columns, "n_entities")
