@@ -68,3 +68,40 @@ def ranked_roots(files: DataFrame, roots: DataFrame, repo: list[str], keep: int)
 def since(ordered: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
     """Marks the rows that are newer than their key's head; all of them where there is none."""
     return ordered.join(heads, keys, "left").withColumn("newer", F.col("ordinal") < F.coalesce("head", F.lit(1_000_000_000)))
+
+
+def partner_files(surfaces: DataFrame, edges: DataFrame, repo: list[str]) -> DataFrame:
+    """(repo, surface, file_path): ends of the co-change edges that touch a surface's representative files.
+
+    surfaces: repo, surface, representative_files; edges: repo, file_a, file_b.
+    """
+    own = surfaces.select(*repo, "surface", F.explode("representative_files").alias("file_path"))
+    ends = edges.select(*repo, "file_a", "file_b", F.explode(F.array("file_a", "file_b")).alias("file_path"))
+    touching = own.join(ends, [*repo, "file_path"]).select(*repo, "surface", "file_a", "file_b").distinct()
+    return touching.select(*repo, "surface", F.explode(F.array("file_a", "file_b")).alias("file_path")).distinct()
+
+
+def supporting_files(surfaces: DataFrame, files: DataFrame, repo: list[str]) -> DataFrame:
+    """(repo, surface, file_path): changed files among a surface's tests or configs that are no noise."""
+    listed = surfaces.select(*repo, "surface", F.explode(F.concat("test_files", "config_or_docs_files")).alias("file_path"))
+    useful = files.where(~is_noisy(F.col("file_path"))).select(*repo, "file_path").distinct()
+    return listed.join(useful, [*repo, "file_path"], "left_semi").select(*repo, "surface", "file_path").distinct()
+
+
+def ranked_files(files: DataFrame, keys: list[str], keep: int = 8) -> DataFrame:
+    """Files of a surface: direct ones first, then tests that support it, other support, the rest; by count, then name.
+
+    files: keys, file_path, direct, supports, is_test, n.
+    """
+    kind = F.when(F.col("direct"), 0).when(F.col("supports") & F.col("is_test"), 1).when(F.col("supports"), 2).otherwise(9)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(kind, F.col("n").desc(), "file_path"))
+    return files.withColumn("rank", rank).where(F.col("rank") <= keep)
+
+
+def ordered_evidence(commits: DataFrame, keys: list[str], leading: str) -> DataFrame:
+    """Evidence commits by the number of leading signals they show, a hundredth for each diff signal, then as they came.
+
+    commits: keys, ordinal, signals (array), n_diff_signals, and the cluster's leading signals.
+    """
+    score = F.size(F.array_intersect("signals", F.col(leading))) + F.col("n_diff_signals") * F.lit(0.01)
+    return commits.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), "ordinal")))

@@ -122,3 +122,9 @@ def merged_evidence(incoming: DataFrame, existing: DataFrame, keys: list[str], k
     both = incoming.withColumn("old", F.lit(0)).unionByName(existing.withColumn("old", F.lit(1)))
     once = both.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "hash").orderBy("old", "ordinal"))).where("_r = 1")
     return once.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("old", "ordinal", "hash"))).where(F.col("place") <= keep).drop("_r")
+
+
+def created(candidates: DataFrame) -> DataFrame:
+    """First registry rows of candidates: drafts wait for review, the others start fresh."""
+    draft = F.col("promotion_level") == "draft"
+    return candidates.select("*", F.when(draft, "draft").otherwise("fresh").alias("status"), F.lit("engine").alias("managed_by"), F.lit(False).alias("human_approved"), F.lit(1).alias("version"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, rules
-from ..operators import render, signals, workflow
+from ..operators import cochange, joins, lifecycle, render, signals, workflow
 from .bindings import COMMIT_FILE, bind, literal, plain, sql_directory, sql_fixed2, sql_match
+from .graph import _PAIRS
 from .paths import NOISY, PATH_SIGNALS, ROLE, N
 from .texts import sql_tokens, sql_words
 
@@ -86,8 +87,6 @@ s as (select repo_id, surface, count(distinct commit_id) as commits from m group
 r as (select n.*, row_number() over (partition by repo_id, surface order by n desc, term)::int as rank from n join s using (repo_id, surface) where n >= greatest(2, ceil(commits * 0.35::double)))
 select repo_id, surface, term, n, rank from r where rank <= 6""")
 def p4_surface_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import cochange
-
     f = bind(spark, sf_dir, COMMIT_FILE)
     messages = f.select("repo_id", "commit_id").distinct().withColumn("message_terms", F.array().cast("array<string>"))
     return cochange.surface_terms(f, messages, ["repo_id"], "commit_id").select("repo_id", "surface", "term", "n", "rank")
@@ -176,3 +175,67 @@ def a10_top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.top_values(f, ["repo_id"], "label", 8).select("repo_id", F.array_join("top", "|").alias("labels"))
 
 
+
+
+_REPS = f"""select repo_id, surface, file_path from (select *, row_number() over (partition by repo_id, surface order by n desc, file_path) as r
+  from (select repo_id, {sql_directory(N)} as surface, {N} as file_path, count(*) as n from ({FILES}) group by 1, 2, 3)) where r <= 4"""
+
+
+def _representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = bind(spark, sf_dir, COMMIT_FILE).groupBy("repo_id", expr.directory_of(c("file_path")).alias("surface"), "file_path").agg(F.count("*").alias("n"))
+    tops = counted.withColumn("r", F.row_number().over(Window.partitionBy("repo_id", "surface").orderBy(c("n").desc(), "file_path"))).where("r <= 4")
+    return tops.groupBy("repo_id", "surface").agg(F.array_sort(F.collect_list("file_path")).alias("representative_files"))
+
+
+@query("j2_partner_files", f"""
+with recursive {_PAIRS}, s as ({_REPS}),
+t as (select distinct s.repo_id, surface, file_a, file_b from s join edges e on s.repo_id = e.repo_id and (s.file_path = file_a or s.file_path = file_b))
+select distinct repo_id, surface, unnest([file_a, file_b]) as file_path from t""")
+def j2_partner_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = cochange.cochange_pairs(bind(spark, sf_dir, COMMIT_FILE), ["repo_id"], "commit_id", keep=None)
+    return joins.partner_files(_representatives(spark, sf_dir), edges, ["repo_id"])
+
+
+@query("j3_supporting_files", f"""
+with s as ({_REPS}) select distinct s.repo_id, s.surface, s.file_path from s semi join (select repo_id, file_path from ({FILES}) where not {NOISY}) f using (repo_id, file_path)""")
+def j3_supporting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _representatives(spark, sf_dir).select("repo_id", "surface", c("representative_files").alias("test_files"), F.array().cast("array<string>").alias("config_or_docs_files"))
+    return joins.supporting_files(s, bind(spark, sf_dir, COMMIT_FILE), ["repo_id"])
+
+
+_RANKED = f"select repo_id, file_path, commit_id % 3 = 0 as direct, commit_id % 2 = 0 as supports, commit_id % 5 = 0 as is_test, commit_id % 7 as n from ({COMMIT_FILE}) where commit_id % 4 < 2 group by 1, 2, 3, 4, 5, 6"
+
+
+@query("p5_common_files", f"""
+with r as (select *, row_number() over (partition by repo_id order by case when direct then 0 when supports and is_test then 1 when supports then 2 else 9 end, n desc, file_path)::int as rank from ({plain(_RANKED)}))
+select repo_id, n, rank from r where rank <= 8""")
+def p5_common_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.ranked_files(bind(spark, sf_dir, _RANKED), ["repo_id"]).select("repo_id", "n", "rank")
+
+
+_EVIDENCE = "select o_custkey as cluster, cast(row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as int) as ordinal, o_orderkey as hash, o_orderpriority as signal, o_orderkey % 13 as n_diff_signals from {orders}"
+
+
+@query("p14_ordered_evidence", f"""
+select cluster, hash, row_number() over (partition by cluster order by (case when signal in ('1-URGENT', '2-HIGH') then 1 else 0 end) + n_diff_signals * 0.01::double desc, ordinal)::int as place from ({plain(_EVIDENCE)})""")
+def p14_ordered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bind(spark, sf_dir, _EVIDENCE).withColumn("signals", F.array("signal")).withColumn("lead", F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))
+    return joins.ordered_evidence(e, ["cluster"], "lead").select("cluster", "hash", "place")
+
+
+@query("l1_registry_rows", f"""
+with e as (select o_custkey as cluster, count(*) as commits, min(o_orderkey) as head from orders group by 1)
+select cluster as skill_id, case when commits >= 12 then 'agent_ready' else 'draft' end as promotion_level, case when commits >= 12 then 'fresh' else 'draft' end as status, least(commits, 20) as evidence, head from e""")
+def l1_registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bind(spark, sf_dir, "select o_custkey as skill_id, count(*) as commits, min(o_orderkey) as head from {orders} group by 1").withColumn("promotion_level", F.when(c("commits") >= 12, "agent_ready").otherwise("draft"))
+    return lifecycle.created(found).select("skill_id", "promotion_level", "status", F.least("commits", F.lit(20)).alias("evidence"), "head")
+
+
+@query("f11_eligible_sources", None)
+def f11_eligible_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import fingerprints
+    from .scratch import Tables
+    from .texts import _SOURCES
+
+    kept = Tables(spark, "f11").keep(fingerprints.fingerprint(bind(spark, sf_dir, _SOURCES)), "prints")
+    return fingerprints.eligible(kept).select("id", "path")
