@@ -29,15 +29,27 @@ def similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def similar_pairs(prints: DataFrame, repo: list[str], path: str = "path", least: float = rules.FAMILY_JOIN) -> DataFrame:
     """(repo, earlier, later, score) with score >= least, earlier < later by path.
 
-    Blocks by shared features.  Equal fingerprints are compared once: files with the
+    Blocks by shared features, whose counts and the lists' sizes bound the score.  Equal fingerprints are compared once: files with the
     same lists form a class, and only classes are joined.
     """
     lists = [F.col(n) for n in LISTS]
     classed = prints.select(*repo, F.col(path).alias("path"), F.sha2(F.to_json(F.struct(*lists)), 256).alias("class"), *lists)
     classes = classed.groupBy(*repo, "class").agg(*(F.first(n).alias(n) for n in LISTS))
-    keys = F.concat(*(F.transform(F.col(n), _tagged(n)) for n in BLOCKING))
-    blocked = classes.select(*repo, "class", F.explode(F.array_distinct(keys)).alias("feature"))
-    pairs = blocked.withColumnRenamed("class", "a").join(blocked.withColumnRenamed("class", "b"), [*repo, "feature"]).where("a <= b").select(*repo, "a", "b").distinct()
+    keys = F.concat(*(F.transform(F.array_distinct(n), _tagged(n)) for n in BLOCKING))
+    blocked = classes.select(*repo, "class", F.explode(keys).alias("feature"))
+    meets = blocked.withColumnRenamed("class", "a").join(blocked.withColumnRenamed("class", "b"), [*repo, "feature"]).where("a <= b")
+    shared = meets.groupBy(*repo, "a", "b").agg(*(F.count_if(F.col("feature").startswith(n + ":")).alias(f"s_{n}") for n in BLOCKING))
+    # sizes bound the score before any list is moved: the other lists could agree in full
+    sizes = lambda side: classes.select(*repo, F.col("class").alias(side), *(F.size(F.array_distinct(n)).alias(f"{side}_{n}") for n in LISTS))
+    bound: Column = F.lit(0.005)
+    for _, name, weight in rules.SIMILARITY_WEIGHTS:
+        n, m = F.col(f"a_{name}"), F.col(f"b_{name}")
+        if name in BLOCKING:
+            s = F.col(f"s_{name}")
+            bound = bound + F.when(s > 0, s / (n + m - s) * F.lit(weight)).otherwise(0.0)
+        else:
+            bound = bound + F.when((n > 0) & (m > 0), F.least(n, m) / F.greatest(n, m) * F.lit(weight)).otherwise(0.0)
+    pairs = shared.join(sizes("a"), [*repo, "a"]).join(sizes("b"), [*repo, "b"]).where(bound + F.lit(1e-9) >= least).select(*repo, "a", "b")
     left = classes.select(*repo, F.col("class").alias("a"), *(F.col(n).alias(f"a_{n}") for n in LISTS))
     right = classes.select(*repo, F.col("class").alias("b"), *(F.col(n).alias(f"b_{n}") for n in LISTS))
     scored = pairs.join(left, [*repo, "a"]).join(right, [*repo, "b"]).withColumn("score", similarity({n: F.col(f"a_{n}") for n in LISTS}, {n: F.col(f"b_{n}") for n in LISTS}))
