@@ -172,10 +172,9 @@ def _searched(pivots: np.ndarray, prefix: int, k: int, share: float):
         return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
     def run(table: pa.Table) -> pa.Table:
-        is_query = table.column("query").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
         raw, fits = _matrix(table.column("embedding"), pivots.shape[1])
-        is_query, ids = is_query[fits], ids[fits]
+        ids, copies = table.column("id").to_numpy()[fits], [c for c, ok in zip(table.column("copies").to_pylist(), fits, strict=True) if ok]
+        is_query = np.array([c is None for c in copies], bool)
         rows, asked = np.flatnonzero(~is_query), np.flatnonzero(is_query)
         out: tuple[list, list, list] = ([], [], [])
         if len(rows) and len(asked):
@@ -194,15 +193,14 @@ def _searched(pivots: np.ndarray, prefix: int, k: int, share: float):
                 for place, pivot in enumerate(near):
                     at, theirs = lists[pivot]
                     saved[at] += (depth - place) + (depth - theirs) - np.abs(place - theirs)
-                best = np.argpartition(-saved, n - 1)[:n] if n < len(rows) else np.arange(n)
-                best = best[base_ids[best] != ids[q]]
-                if len(best) > k:
+                best = np.flatnonzero(saved >= np.partition(saved, len(rows) - n)[len(rows) - n])  # with all that tie at the n-th rank
+                if len(best) > k + 1:  # one of them may be the query alone
                     rough = base[best] @ unit[q]
-                    best = best[rough >= np.partition(rough, len(best) - k)[len(best) - k] - 1e-9]
-                if len(best):
-                    exact = _cosines(raw[rows[best]], np.broadcast_to(raw[q], (len(best), raw.shape[1])))
-                    top = np.lexsort((base_ids[best], -exact))[:k]
-                    out[0].extend([ids[q]] * len(top)), out[1].extend(base_ids[best][top]), out[2].extend(exact[top])
+                    best = best[rough >= np.partition(rough, len(best) - k - 1)[len(best) - k - 1] - 1e-9]
+                exact = _cosines(raw[rows[best]], np.broadcast_to(raw[q], (len(best), raw.shape[1])))
+                top = np.lexsort((base_ids[best], -exact))[: k + 1]
+                found = sorted((-exact[i], copy) for i in top for copy in copies[rows[best[i]]] if copy != ids[q])[:k]
+                out[0].extend([ids[q]] * len(found)), out[1].extend(copy for _, copy in found), out[2].extend(-x for x, _ in found)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     return run
@@ -211,21 +209,26 @@ def _searched(pivots: np.ndarray, prefix: int, k: int, share: float):
 def nearest_vectors(vectors: DataFrame, id_column: str, is_query: Column, k: int = 5, n_pivots: int = 256, prefix: int = 128, share: float = 0.1) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other rows.
 
-    Every row is indexed by its ``prefix`` nearest pivots.  Parts of the index rank their
-    rows by the footrule distance of these prefixes and rerank the best ``share`` by
+    Every distinct vector is indexed once, by its ``prefix`` nearest pivots and with its
+    k + 1 smallest ids.  Parts of the index rank their vectors by the footrule distance
+    of these prefixes and rerank the best ``share``, and all that tie with its last, by
     cosine; a query's best over all parts are its result.  The pivots are a bounded
     sample.  Ids must be unique; rows without id are not indexed.
     """
     scratch = Scratch(vectors.sparkSession, "permutation_index")
     good = vectors.where(F.col(id_column).isNotNull() & usable()).select(F.col(id_column).cast("long").alias("id"), "embedding", is_query.alias("asks"))
     good = scratch.keep(good, "vectors")
-    n, n_queries = good.agg(F.count("*"), F.count_if("asks")).first()
-    pivots = pivots_of(good, n_pivots)
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("id"))  # Spark cuts each task's rows to k + 1 a vector before it moves them
+    smallest = good.select("id", "embedding", place.alias("place")).where(F.col("place") <= k + 1)
+    classes = smallest.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("copies"))
+    classes = scratch.keep(classes.select(F.col("copies")[0].alias("id"), "copies", "embedding"), "classes")
+    n, n_queries = classes.count(), good.where("asks").count()
+    pivots = pivots_of(classes, n_pivots)
     parts, groups = max(1, math.ceil(n / INDEX_ROWS)), max(1, math.ceil(n_queries / QUERY_ROWS))
     part, group = F.expr(f"cast(pmod(xxhash64(id), {parts}) as int)"), F.expr(f"cast(pmod(xxhash64(id, 1), {groups}) as int)")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    index = good.select(part.alias("part"), every(groups).alias("group"), "id", "embedding", F.lit(False).alias("query"))
-    asked = good.where("asks").select(every(parts).alias("part"), group.alias("group"), "id", "embedding", F.lit(True).alias("query"))
+    index = classes.select(part.alias("part"), every(groups).alias("group"), "id", "embedding", "copies")
+    asked = good.where("asks").select(every(parts).alias("part"), group.alias("group"), "id", "embedding", F.lit(None).cast("array<long>").alias("copies"))
     found = grouped(index.unionByName(asked), ["part", "group"], _searched(pivots, min(prefix, max(1, len(pivots))), k, share), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -76,6 +76,32 @@ def test_search_recall_order_and_ties(spark):
     assert copies == [1, 1481, 1482, 1483, 1484]  # equal vectors: smaller ids first
 
 
+@pytest.mark.parametrize("scaled", [False, True])
+def test_search_finds_the_smallest_ids_of_a_large_group(spark, scaled):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    group = rng.permutation(3000)[:1000]
+    x[group] = x[group[0]] * (2.0 ** rng.integers(-9, 9, 1000)[:, None] if scaled else 1)
+    group = sorted(map(int, group))
+    rows = table(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])
+    asks = F.col("vec_id").isin(group[0], group[2], group[-1])
+    for dealt in (rows, rows.repartition(7, "label", "vec_id")):
+        found = sorted(vectors.nearest_vectors(dealt, "vec_id", asks).collect())
+        assert [(r["query_id"], r["vec_id"]) for r in found] == [(q, i) for q in (group[0], group[2], group[-1]) for i in [g for g in group if g != q][:5]]
+
+
+def test_copies_take_no_places_of_others(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 16))
+    x[::3] = x[0]
+    near = x[0] + 0.05 * x[1]
+    x[1], x[2], x[4], x[5], x[7], x[8] = near, near + 0.2 * x[2], near + 0.2 * x[4], near + 0.2 * x[5], near + 0.2 * x[7], near + 0.2 * x[8]
+    found = vectors.nearest_vectors(table(spark, [(i, v.tolist(), 1) for i, v in enumerate(x.astype(np.float32))]), "vec_id", F.col("vec_id") == 2).collect()
+    y = x.astype(np.float32).astype(float)
+    cos = y @ y[2] / np.linalg.norm(y, axis=1) / np.linalg.norm(y[2])
+    cos[2] = -9
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == np.lexsort((np.arange(3000), -cos.round(12)))[:5].tolist()
+
+
 def test_few_vectors_are_all_found(spark):
     rows = [(i, [float(i + 1), 1.0], 1) for i in range(4)]
     assert vectors.nearest_vectors(table(spark, rows), "vec_id", F.col("vec_id") == 0).count() == 3
