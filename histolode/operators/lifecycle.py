@@ -51,6 +51,11 @@ def drift(new: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("matches"), expr.ranked(counts(F.col("signals")), 8).alias("s"), expr.ranked(counts(F.col("directories")), 6).alias("d"), expr.ranked(counts(F.col("words")), 8).alias("w"), expr.ranked(counts(tests), 6).alias("t"),
         *(F.first(c).alias(c) for c in ("own_signals", "own_directories", "own_words")),
     )
+    return _drifted(g, keys)
+
+
+def _drifted(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """The reasons from the skills' own lists and the most frequent values s, d, w, t of their matches."""
     own_tests = F.filter("own_directories", lambda d: d.rlike(TEST_DIRECTORY))
     some = lambda c: F.size(c) > 0
     checks = [
@@ -58,7 +63,30 @@ def drift(new: DataFrame, keys: list[str]) -> DataFrame:
         some("own_words") & some("w") & (expr.jaccard(F.col("w"), F.col("own_words")) < rules.DRIFT_OTHERS), some(own_tests) & some("t") & (expr.jaccard(own_tests, F.col("t")) < rules.DRIFT_OTHERS),
     ]
     reasons = F.filter(F.array(*(F.when(c, F.lit(r)) for c, r in zip(checks, REASONS, strict=True))), lambda x: x.isNotNull())
-    return g.where(F.col("matches") >= rules.DRIFT_MIN_COMMITS).select(*keys, reasons.alias("drift_reasons"))
+    return counted.where(F.col("matches") >= rules.DRIFT_MIN_COMMITS).select(*keys, reasons.alias("drift_reasons"))
+
+
+def drift_since_head(skills: DataFrame, commits: DataFrame, repo: str) -> DataFrame:
+    """The same as drift for every skill with every commit of its repository, without making the pairs.
+
+    skills: repo, skill_id and the skill's lists; commits: repo, signals, directories, words, all
+    newer than the repository's head.  Which commits match depends on the skill's broad areas
+    alone, so values are counted by the commits' areas, then summed by the skills'.
+    """
+    none = F.array().cast("array<string>")
+    tests = F.when(F.exists("signals", lambda s: F.contains(s, F.lit("test"))), F.filter("directories", lambda d: d.rlike(TEST_DIRECTORY))).otherwise(none)
+    kinds = {"m": F.array(F.lit("")), "s": F.col("signals"), "d": F.col("directories"), "w": F.col("words"), "t": tests}
+    named = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("name"))
+    values = F.flatten(F.array(*(F.transform(v, named(k)) for k, v in kinds.items())))
+    by_commits = commits.select(repo, broad_areas(F.col("signals")).alias("areas"), F.explode(values).alias("v")).groupBy(repo, "areas", "v.kind", "v.name").agg(F.count("*").alias("n"))
+    own = skills.withColumn("own_areas", broad_areas(F.col("own_signals")))
+    summed = own.select(repo, "own_areas").distinct().join(by_commits, repo).where(F.arrays_overlap("areas", "own_areas")).groupBy(repo, "own_areas", "kind", "name").agg(F.sum("n").alias("n"))
+    limits = {"s": 8, "d": 6, "w": 8, "t": 6}
+    place = F.row_number().over(Window.partitionBy(repo, "own_areas", "kind").orderBy(F.col("n").desc(), "name"))
+    tops = summed.withColumn("r", place).where(F.col("r") <= max(limits.values()))
+    top = {k: expr.ranked(F.collect_list(F.when(F.col("kind") == k, F.struct("n", "name"))), limit).alias(k) for k, limit in limits.items()}
+    g = tops.groupBy(repo, "own_areas").agg(F.max(F.when(F.col("kind") == "m", F.col("n"))).alias("matches"), *top.values())
+    return _drifted(own.join(g, [repo, "own_areas"]), [repo, "skill_id"])
 
 
 def status(current: Column, n_new: Column, n_support: Column, n_drift: Column, stale_after: int = rules.STALE_COMMITS) -> Column:

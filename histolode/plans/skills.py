@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import candidates, classify, clusters, lifecycle, signals
 from .bindings import COMMIT_FILE, bind, literal, plain, sql_fixed2, sql_first_match, sql_jaccard, sql_match
 from .paths import ORDERED, ORACLES as PATH_ORACLES, PATH_SIGNALS
+from .scratch import Tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -198,11 +199,19 @@ def l3_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l4_drift", None)
 def l4_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skill per repository and directory, from the commits up to the middle of the repository's time; all later ones are new."""
     f = bind(spark, sf_dir, COMMIT_FILE)
-    per = f.groupBy("repo_id", "commit_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(signals.path_signals(F.col("file_path")))))).alias("signals"), F.array_sort(F.collect_set(F.regexp_replace("file_path", "/[^/]*$", ""))).alias("directories"))
-    own = per.where("commit_id % 50 = 0").select("repo_id", c("commit_id").alias("skill_id"), c("signals").alias("own_signals"), c("directories").alias("own_directories"), F.array().cast("array<string>").alias("own_words"))
-    new = own.join(per.where("commit_id % 20 = 1").withColumn("words", F.array().cast("array<string>")).withColumnRenamed("commit_id", "ordinal"), "repo_id")
-    return lifecycle.drift(new, ["repo_id", "skill_id"]).select("repo_id", "skill_id", F.array_join("drift_reasons", " ").alias("reasons"))
+    per = f.groupBy("repo_id", "commit_id", "commit_ts").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(signals.path_signals(F.col("file_path")))))).alias("signals"), F.array_sort(F.collect_set(F.regexp_replace("file_path", "/[^/]*$", ""))).alias("directories"))
+    day = F.unix_date(c("commit_ts").cast("date"))
+    per = Tables(spark, "l4").keep(per.withColumn("day", day), "commits")
+    heads = per.groupBy("repo_id").agg(((F.min("day") + F.max("day")) / 2).alias("head"))
+    placed = per.join(heads, "repo_id")
+    older = placed.where("day <= head").withColumn("skill_id", F.explode("directories"))
+    own_signals, own_directories = (signals.top_values(older.withColumn("x", F.explode(values)), ["repo_id", "skill_id"], "x", 8).withColumnRenamed("top", own) for values, own in (("signals", "own_signals"), ("directories", "own_directories")))
+    none = F.array().cast("array<string>")
+    skills = own_directories.join(own_signals, ["repo_id", "skill_id"], "left").withColumn("own_signals", F.coalesce("own_signals", none)).withColumn("own_words", none)
+    found = lifecycle.drift_since_head(skills, placed.where("day > head").withColumn("words", none), "repo_id")
+    return found.select("repo_id", "skill_id", F.array_join("drift_reasons", " ").alias("reasons"))
 
 
 _STATES = "select p_partkey as id, case p_size % 6 when 0 then 'fresh' when 1 then 'stale' when 2 then 'drifting' when 3 then 'deprecated' when 4 then 'rejected' else 'draft' end as status, cast(p_size % 14 as int) as new_commits, cast(p_partkey % 3 as int) as supporting, cast(p_partkey % 5 as int) - 3 as drift from {part}"

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -6,7 +7,10 @@ from pyspark.sql import functions as F
 
 from histolode.functions import expr
 from histolode.operators import candidates, classify, clusters, cochange, diff, families, fingerprints, lifecycle, render, signals
+from histolode.plans import skills as skills_plan
+from histolode.plans.bindings import COMMIT_FILE, bind
 from histolode.plans.scratch import Tables
+from tests.compare import SF
 
 
 def one(spark, column):
@@ -188,6 +192,43 @@ def test_unrelated_commits_turn_stale(spark):
     assert _life(spark, [*((f"n{i}", ["docs_changed"], ["docs"], ["guide"]) for i in range(10)), HEAD])["status"] == "stale"
 
 
+def test_drift_since_head_equals_drift_of_all_pairs(spark):
+    rng = random.Random(3)
+    some = lambda values: sorted(rng.sample(values, rng.randint(0, 4)))
+    names, places, words = ["ui_changed", "db_changed", "docs_changed", "unit_test_changed", "auth_changed", "other"], ["src", "tests", "e2e/a", "docs", "lib", "lib/tests", "x"], ["user", "page", "cart", "item"]
+    lists = "{0}signals array<string>, {0}directories array<string>, {0}words array<string>"
+    skills = spark.createDataFrame([(f"r{i % 3}", f"s{i}", some(names), some(places), some(words)) for i in range(60)], "repo_id string, skill_id string, " + lists.format("own_"))
+    commits = spark.createDataFrame([(f"r{min(2, i % 12)}", i, some(names), some(places), some(words)) for i in range(60)], "repo_id string, ordinal int, " + lists.format(""))
+    expected = lifecycle.drift(skills.join(commits, "repo_id"), ["repo_id", "skill_id"]).collect()
+    found = lifecycle.drift_since_head(skills, commits, "repo_id").collect()
+    assert sorted(found) == sorted(expected) and len({tuple(r["drift_reasons"]) for r in found}) > 3
+
+
+def test_l4_takes_every_commit(spark):
+    files = bind(spark, SF, COMMIT_FILE).select("repo_id", "commit_id", "commit_ts", "file_path", signals.path_signals(F.col("file_path")).alias("s"))
+    commits = {}
+    for r in files.collect():
+        s, d = commits.setdefault((r["repo_id"], r["commit_ts"], r["commit_id"]), (set(), set()))
+        s.update(r["s"]), d.add(r["file_path"].rpartition("/")[0])
+    days = {repo: [at.toordinal() for other, at, _ in commits if other == repo] for repo, _, _ in commits}
+    head = {repo: (min(x) + max(x)) / 2 for repo, x in days.items()}
+    older, newer = ([(k, *v) for k, v in commits.items() if (k[1].toordinal() > head[k[0]]) == late] for late in (False, True))
+    assert len(older) + len(newer) == len(commits) and newer
+    skills = {(k[0], x) for k, _, d in older for x in d}
+
+    def top(values):
+        counts = Counter(v for x in values for v in x)
+        return sorted(counts, key=lambda v: (-counts[v], v))[:8]
+
+    mine = lambda repo, x: [(s, d) for k, s, d in older if k[0] == repo and x in d]
+    rows = [(repo, x, top(s for s, _ in mine(repo, x)), top(d for _, d in mine(repo, x)), []) for repo, x in sorted(skills) if repo in ("r1", "r2")]
+    own = spark.createDataFrame(rows, "repo_id string, skill_id string, own_signals array<string>, own_directories array<string>, own_words array<string>")
+    new = spark.createDataFrame([(k[0], k[2], sorted(s), sorted(d), []) for k, s, d in newer], "repo_id string, ordinal long, signals array<string>, directories array<string>, words array<string>")
+    expected = {(r[0], r[1]): " ".join(r[2]) for r in lifecycle.drift(own.join(new, "repo_id"), ["repo_id", "skill_id"]).collect()}
+    found = {(r[0], r[1]): r[2] for r in skills_plan.l4_drift(spark, SF).collect() if r[0] in ("r1", "r2")}
+    assert found == expected and found
+
+
 def test_transition_of_a_skill_that_is_no_draft_fails(spark):
     registry = spark.createDataFrame([(1, "S", "fresh", "agent_ready", False, "engine", 1)], "skill_id int, name string, status string, promotion_level string, human_approved boolean, managed_by string, version int")
     action = spark.createDataFrame([(1, "reject", "t", "me", None)], "skill_id int, action string, done_at string, done_by string, new_name string")
