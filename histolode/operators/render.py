@@ -48,8 +48,8 @@ def examples(files: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def index_lines(candidates: DataFrame) -> list[str]:
-    """Links for the guidance index: agent-ready first; a candidate a line, at most 200."""
-    rows = candidates.where("promotion_level in ('agent_ready', 'draft')").orderBy("promotion_level", "name").limit(200).collect()
+    """Links for the guidance index: agent-ready first; a candidate a line, all of them."""
+    rows = candidates.where("promotion_level in ('agent_ready', 'draft')").orderBy("promotion_level", "name", "id").select("promotion_level", "name", "id").toLocalIterator()
     return [f"- [{r['name']}]({'skills' if r['promotion_level'] == 'agent_ready' else 'draft-skills'}/{r['id']}/SKILL.md)" for r in rows] or ["- None"]
 
 

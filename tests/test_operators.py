@@ -236,6 +236,13 @@ def test_transition_of_a_skill_that_is_no_draft_fails(spark):
         lifecycle.transition(registry, action, ["skill_id"]).collect()
 
 
+def test_index_lists_every_candidate(spark):
+    rows = [(f"c{i:03}", f"Skill {i % 7}", ("draft", "agent_ready", "pattern_candidate")[i % 3]) for i in range(750)]
+    found = render.index_lines(spark.createDataFrame(rows, "id string, name string, promotion_level string").repartition(5))
+    assert found == [f"- [{name}]({folder}/{i}/SKILL.md)" for level, folder in (("agent_ready", "skills"), ("draft", "draft-skills")) for name, i in sorted((n, i) for i, n, x in rows if x == level)]
+    assert render.index_lines(spark.createDataFrame(rows[2:3], "id string, name string, promotion_level string")) == ["- None"]
+
+
 def test_managed_section(spark):
     once = render.with_managed_section("intro", ["- a"])
     assert render.with_managed_section(once, ["- a"]) == once and "intro" in once
