@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,31 +38,52 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _local_roots[app]
 
 
+#: Removes the shuffle files of an execution when it ends; what it wrote is read from the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
-    ``keep`` writes and rereads a frame; ``drop`` deletes tables that no later
-    step reads and lets Spark's cleaner remove the shuffle files of finished steps.
+    ``keep`` writes and rereads a frame and lets the shuffle files of that write go;
+    ``drop`` deletes tables that no later step reads.  ``collected`` gathers the tables
+    that operators make inside a block, for a caller that knows when nobody reads them.
     """
 
+    _open: ClassVar[list[list[Scratch]]] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.folder = f"{scratch_root(spark)}/histolode/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
+        for made in self._open:
+            made.append(self)
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.folder}/{tag}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        path, before = f"{self.folder}/{tag}", self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         self.paths[tag] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:
-        jvm = self.spark._jvm
-        for tag in tags:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(tag))
+        """Deletes the named tables, or all that are left."""
+        for tag in tags or tuple(self.paths):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(tag))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+
+    @classmethod
+    @contextmanager
+    def collected(cls) -> Iterator[list[Scratch]]:
+        made: list[Scratch] = []
+        cls._open.append(made)
+        try:
+            yield made
+        finally:
+            cls._open.remove(made)
 
 
 def partitions(spark: SparkSession) -> int:
