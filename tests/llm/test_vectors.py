@@ -107,7 +107,9 @@ def test_few_vectors_are_all_found(spark):
     assert vectors.nearest_vectors(table(spark, rows), "vec_id", F.col("vec_id") == 0).count() == 3
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("edges_of_a_task", [1 << 18, 16])
+def test_components_of_chains_and_stars(spark, monkeypatch, edges_of_a_task):
+    monkeypatch.setattr(components, "TASK_EDGES", edges_of_a_task)
     edges = [(i, i + 1) for i in range(100, 180)] + [(5, k) for k in range(6, 60)] + [(5, 5), (6, 5), (300, 200)]
     found = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {i: 100 for i in range(101, 181)} | {k: 5 for k in range(6, 60)} | {300: 200}
