@@ -7,11 +7,15 @@ time is its source's cumulative tokens, repeats included, divided by the source'
 target.  Taking all finish times in global order until the budget is spent gives
 each source its share.  Cumulative sums run in two levels, over hash buckets and
 inside them, so a source with a third of all rows is spread over many tasks; the
-global cut is found from sums over bands of finish time and one band's rows.
+global cut is found from sums over bands of finish time and one band's rows.  The
+windows over bands hold one row for each ``BUCKET_ROWS`` copies.
 
 Cases: null text has size 0; documents of size 0 are never taken; null is a source
-of its own, last; repeated rows are documents of their own; an empty table gives
-no rows; extra columns are ignored by ``mix_schedule`` and carried by ``mix``.
+of its own, last; repeated rows are documents of their own; equal shuffle keys (equal
+ids) queue by id, size, text hash and row, and equal finish times, which only different
+sources have, by source; very long texts are counted whole and taken whole or not at
+all; an empty table gives no rows; extra columns are ignored by ``mix_schedule`` and
+carried by ``mix``.
 """
 
 from __future__ import annotations
@@ -44,12 +48,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return levels.select("source_key", "source_size", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
-def mix_schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, text_key, size, source_size, target, finish (of the first copy), copies, taken: one row per document."""
+def mix_schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: str = "mix", row: str | None = None) -> DataFrame:
+    """doc_id, row, size, source_size, target, finish (of the first copy), copies, taken: one row per document.
+
+    ``row`` names a long column of docs that comes along, null without one.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
+    own = F.lit(None).cast("long") if row is None else F.col(row)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     shuffle = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = scratch.keep(docs.select("doc_id", "source", key.alias("source_key"), words().alias("size"), shuffle.alias("shuffle"), F.xxhash64("text").alias("text_key")), "sizes")
+    sizes = scratch.keep(docs.select("doc_id", "source", key.alias("source_key"), words().alias("size"), shuffle.alias("shuffle"), F.xxhash64("text").alias("text_key"), own.alias("row")), "sizes")
     n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     digits = next(d for d in range(1, 8) if 16**d * BUCKET_ROWS >= n or d == 7)
     sizes = sizes.withColumn("bucket", F.substring("shuffle", 1, digits))
@@ -57,9 +65,9 @@ def mix_schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     by_bucket = sizes.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_bucket.join(targets, "source_key").select("source_key", "bucket", "source_size", "target", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source_key", "bucket").orderBy("shuffle", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("shuffle", "doc_id", "size", "text_key", "row").rowsBetween(Window.unboundedPreceding, 0)
     rows = sizes.join(starts, ["source_key", "bucket"]).withColumn("done", F.col("start") + F.sum("size").over(inside))
-    rows = scratch.keep(rows.select("doc_id", "text_key", "source_key", "size", "source_size", "target", "done"), "queued")
+    rows = scratch.keep(rows.select("doc_id", "row", "source_key", "size", "source_size", "target", "done"), "queued")
     scratch.drop("sizes")
 
     # Finish times differ within a source, so (finish, source) orders all copies.
@@ -91,15 +99,19 @@ def mix_schedule(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
         n_copies = n_copies + F.when((F.col("size") > 0) & (F.col("target") > 0) & taken, 1).otherwise(0)
     out = rows.withColumn("copies", n_copies)
     first = F.when(F.col("target") > 0, finish(F.lit(0)))
-    return out.select("doc_id", "text_key", "size", "source_size", "target", first.alias("finish"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "row", "size", "source_size", "target", first.alias("finish"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them, globally sorted by virtual finish time; columns stay as they are."""
+    """The documents as often as the mix takes them, globally sorted by virtual finish time; columns stay as they are.
+
+    Rows are numbered in a table of the shared folder, so equal rows keep copies of their own.
+    """
     p = free_prefix(docs)
-    wanted = ("doc_id", "text_key", "finish", "copies", "source_size", "target")
-    schedule = mix_schedule(docs, **options).where("copies > 0").select(*(F.col(c).alias(p + c) for c in wanted)).dropDuplicates([p + "doc_id", p + "text_key"])
-    joined = docs.join(schedule, docs["doc_id"].eqNullSafe(F.col(p + "doc_id")) & (F.xxhash64("text") == F.col(p + "text_key")))
-    repeated = joined.withColumn(p + "copy", F.explode(F.sequence(F.lit(0), F.col(p + "copies") - 1)))
+    row = p + "row"
+    numbered = Scratch(docs.sparkSession, "mix").keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    wanted = ("row", "finish", "copies", "source_size", "target")
+    schedule = mix_schedule(numbered, row=row, **options).where("copies > 0").select(*(F.col(c).alias(p + c) for c in wanted))
+    repeated = numbered.join(schedule, row).withColumn(p + "copy", F.explode(F.sequence(F.lit(0), F.col(p + "copies") - 1)))
     at = F.col(p + "finish") + F.col(p + "copy") * F.col(p + "source_size") / F.col(p + "target")
-    return repeated.orderBy(at, p + "doc_id").select(docs.columns)
+    return repeated.orderBy(at, "doc_id").select(docs.columns)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from histolode.llm import lines, mixing, near_dup, packing, repeats, suffix_tree, surrogates, toxicity
+from histolode.llm import components, lines, mixing, near_dup, packing, repeats, suffix_tree, surrogates, toxicity
 from histolode.llm.common import id_text_crc
 from tests.llm import data
 
@@ -252,6 +252,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute_near(rows)
 
 
+def lengthened(rows):
+    """Besides, copies that grow by a few words each, so that many sizes meet in the same buckets."""
+    rng, words = random.Random(4), [f"g{i}" for i in range(40)]
+    for i in range(50):
+        words += [f"g{i}x{k}" for k in range(rng.randrange(1, 9))]
+        rows.append((2000 + i, " ".join(words), "en", "n", 1))
+    return rows
+
+
+@pytest.mark.parametrize("block, size, edges", [(4, 1 << 24, 8), (1024, 400, 1 << 18)])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, block, size, edges):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", size)
+    monkeypatch.setattr(components, "TASK_EDGES", edges)
+    rows = lengthened(near_rows())
+    found = near_dup.near_duplicates(data.documents(spark, rows).repartition(5)).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute_near(rows)
+
+
 def test_near_duplicates_on_odd_tables(spark):
     found = near_dup.near_duplicates(data.documents(spark, data.with_odd_rows(DATA))).collect()
     assert len(found) == len(DATA) + 4 and all(r["component_id"] is None for r in found if r["doc_id"] is None)
@@ -342,6 +361,14 @@ def test_mix_meets_targets_and_repeats_agree(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in found)
 
 
+def test_repeated_rows_are_mixed_one_by_one(spark):
+    rows = [(1, "one two three", "en", "a", 1)] * 7 + [(2, "four five", "en", "b", 1), (3, "six", "en", "c", 1), (1, "one two three", "en", "b", 1)]
+    docs = data.documents(spark, rows)
+    found = mixing.mix_schedule(docs).collect()
+    mixed = Counter((r["doc_id"], r["source"]) for r in mixing.mix(docs).collect())
+    assert sum(mixed.values()) == sum(r["copies"] for r in found) and mixed[1, "a"] == sum(r["copies"] for r in found if r["doc_id"] == 1 and r["source_size"] == 21)
+
+
 def test_mix_on_odd_tables(spark):
     odd = data.documents(spark, data.with_odd_rows(DATA))
     assert mixing.mix_schedule(odd).count() == len(DATA) + 4 and mixing.mix(odd).columns == odd.columns
