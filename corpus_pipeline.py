@@ -3,6 +3,13 @@
 Toxic documents go, lines found in ten documents or more go, one document of each
 group of near-duplicates stays, sources are mixed to target weights, and what is left
 is packed into windows of token ids.
+
+Cases, in every stage: null and empty texts are documents without words (kept by the
+filters, never taken by the mix); rows without id are scored and mixed like others, but
+no line or near-duplicate is counted or dropped for them; equal rows get equal
+decisions, and the mix takes each for itself; ties go by id; very long texts are read
+whole; an empty table gives an empty table; extra columns are carried up to the last
+stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +34,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines found in at least ten documents; a document that loses all of them stays, empty."""
     fewer = lines.drop_lines(docs, lines.line_bitmaps(docs.select("doc_id", "text"), min_docs=10, min_chars=1))
-    return fewer.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        fewer = fewer.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return fewer.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +67,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each one's rows are written and read again."""
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    """All stages over the table documents; each one's rows are written and read again.
+
+    A stage's own tables and its input go as soon as its rows are written; those of the
+    last stage stay, for its rows are made when they are read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with Scratch.collected() as made:
+            rows = stage(spark, docs, sf_dir)
+        kept = Scratch(spark, "pipeline")
+        docs = kept.keep(rows, name)
+        for done in (*made, *before):
+            done.drop()
+        before = [kept]
     return STAGES[-1][1](spark, docs, sf_dir)
