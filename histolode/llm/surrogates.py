@@ -2,6 +2,11 @@
 
 Emails, phone numbers, IPv4 addresses, card numbers, US social security numbers, IBANs,
 secrets and names after an honorific are found by one expression per kind, in one pass.
+Strings of hexadecimal digits are secrets after a word like ``token``, ``key`` or
+``password``; others (checksums, commit ids) stay.  Once an honorific has made a name
+known, further mentions of its parts in the same document are replaced too; names that
+never follow an honorific in their document are not found.
+
 An entity has parts: a name's given and family name, else the entity itself in
 canonical form (digits of a number, lower case of an address), so mentions in other
 formats share a part and thus a surrogate.  A part's surrogate is drawn from a keyed
@@ -10,12 +15,17 @@ for a valid one, hexadecimal for hexadecimal, syllables of the name's script wit
 ending of the honorific's gender.  It is then laid out like the mention it replaces.
 
 Collision checks: over the table of distinct parts, a surrogate that equals another
-part's surrogate or any original part of its kind is drawn again (the smallest part
-keeps it), until all are distinct.  Only documents with entities are joined.
+part's surrogate or any original part of its kind is drawn again (the earliest attempt,
+then the smallest part keeps it), until all are distinct.  Names grow by a syllable with
+each attempt, other kinds but addresses of fixed length after a few, so their stand-ins
+do not run out.  Only documents with entities are joined; a part that a vast number of
+documents mention is one row on the smaller side, and the join of mentions splits its
+skewed partitions at run time.
 
 Cases: null text stays null; empty text stays empty; repeated rows get equal texts;
-rows without id are replaced like any others; an empty table gives no rows; all other
-columns are carried through, whatever their names, but for an old ``n_entities``.
+rows without id are replaced like any others; a very long text is searched whole; an
+empty table gives no rows; all other columns are carried through, whatever their names,
+but for an old ``n_entities``.
 """
 
 from __future__ import annotations
@@ -28,18 +38,25 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_prefix
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: What stands before a string of hexadecimal digits that is a secret.
+_NAMED = r"(?<=(?i:token|secret|key|password|passwd|pwd|auth|bearer|credential|session)[A-Za-z_]{0,12}[\"']?\s{0,2}[:=]{0,2}\s{0,2}[\"']?)"
+_NAME = r"\p{Lu}(?:\p{L}{1,40}|['’]\p{L}{2,40})(?:['’-]\p{L}{2,40}){0,3}"
 #: Kinds in order of precedence: their expressions (Java syntax), without groups.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}(?![A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![0-9A-Za-z])",
+    "secret": rf"(?<![0-9A-Za-z_])(?:(?=[0-9A-Fa-f]{{32}}){_NAMED}(?:[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}})|AKIA[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{36}})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    "card": r"(?<![\d.-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d.-])\d{13,19}(?!\d)",
-    "name": r"(?<!\p{L})(?:Mr\.|Mrs\.|Ms\.|Mme\.?|Sr\.|Sra\.|Herr|Frau|Monsieur|Madame|Señor|Señora|г-н|г-жа|Κύριος|Κυρία) \p{Lu}[\p{L}'’-]{1,40}(?: \p{Lu}[\p{L}'’-]{1,40})?",
+    "card": r"(?<![0-9A-Za-z.-])(?:\d{4}[ -]){3}\d{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.-])\d{13,19}(?![0-9A-Za-z])",
+    "name": rf"(?<!\p{{L}})(?:Mr\.|Mrs\.|Ms\.|Mme\.?|Sr\.|Sra\.|Herr|Frau|Monsieur|Madame|Señor|Señora|г-н|г-жа|Κύριος|Κυρία) {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: An entity alone, without what stood before it.
+_ALONE = KINDS | {"secret": KINDS["secret"].replace(_NAMED, "")}
+#: Words and what lies between them.
+_WORDS = r"\p{L}+(?:['’-]\p{L}{2,})*|\P{L}+"
 _FEMALE = r"^(Mrs\.|Ms\.|Mme\.?|Sra\.|Frau|Madame|Señora|г-жа|Κυρία) "
 #: Syllables and endings of drawn names by script.
 SCRIPTS: dict[str, tuple[str, str, str]] = {
@@ -54,7 +71,7 @@ def _first(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    return _first([(entity.rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in KINDS.items()], F.lit("name"))
+    return _first([(entity.rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in _ALONE.items()], F.lit("name"))
 
 
 def _digits(x: Column) -> Column:
@@ -80,6 +97,12 @@ def _pick(choices: str, n: Column) -> Column:
     return F.substring(F.lit(choices), n % len(choices) + 1, F.lit(1))
 
 
+def _extra(choices: str, digest: Column, attempt: Column, after: int = 3) -> Column:
+    """A character more for each attempt after the given one."""
+    more = F.transform(F.sequence(F.lit(after + 1), F.greatest(attempt, F.lit(after + 1))), lambda i: _pick(choices, _byte(digest, i + 20)))
+    return F.when(attempt > after, F.array_join(more, "")).otherwise(F.lit(""))
+
+
 def _redrawn(text: Column, digest: Column, from_: int = 1) -> Column:
     """Each ASCII letter and digit from place ``from_`` on replaced within its class."""
     def char(i: Column) -> Column:
@@ -106,7 +129,8 @@ def draw(kind: Column, text: Column, key: str, attempt: Column) -> Column:
     octet = lambda i: (_byte(digest, F.lit(i)) % 254 + 1).cast("string")
     ip = F.concat_ws(".", *(octet(i) for i in range(4)))
     domain = F.regexp_extract(text, r"(\.[a-z]+)$", 1)
-    email = F.concat(_redrawn(F.substring(text, F.lit(1), F.length(text) - F.length(domain)), digest), domain)
+    digits, letters = (_extra(c, digest, attempt) for c in ("0123456789", "abcdefghijklmnopqrstuvwxyz"))
+    email = F.concat(letters, _redrawn(F.substring(text, F.lit(1), F.length(text) - F.length(domain)), digest), domain)
     hexes = F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: _pick("0123456789abcdef", _byte(digest, i))), "")
     plain_hex = text.rlike("^[0-9a-f]+$")
     secret = F.when(plain_hex, hexes).when(text.rlike("^[0-9A-F]+$"), F.upper(hexes)).otherwise(_redrawn(text, digest, 5))
@@ -123,20 +147,22 @@ def draw(kind: Column, text: Column, key: str, attempt: Column) -> Column:
         syllables, female, male = (F.array(*map(F.lit, s.split())) for s in SCRIPTS[script])
         one = lambda options, i: F.element_at(options, _byte(digest, F.lit(i)) % F.size(options) + 1)
         ending = F.when(kind == "given_f", one(female, 5)).when(kind == "given_m", one(male, 5)).otherwise(F.concat(one(syllables, 6), one(male, 5)))
-        return F.concat(one(syllables, 0), one(syllables, 1), F.when(kind == "family", one(syllables, 2)).otherwise(F.lit("")), F.when(attempt > 3, one(syllables, 3)).otherwise(F.lit("")), ending)
+        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.element_at(syllables, _byte(digest, i + 9) % F.size(syllables) + 1)), "")).otherwise(F.lit(""))
+        return F.concat(one(syllables, 0), one(syllables, 1), F.when(kind == "family", one(syllables, 2)).otherwise(F.lit("")), more, ending)
 
     name = F.when(text.rlike(r"\p{IsCyrillic}"), named("cyrillic")).when(text.rlike(r"\p{IsGreek}"), named("greek")).otherwise(named("latin"))
-    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "secret", secret).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", drawn).when(kind == "iban", iban).otherwise(name)
+    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "secret", F.concat(secret, digits)).when(kind == "card", F.concat(card, digits)).when(kind == "phone", F.concat(phone, digits)).when(kind == "ssn", F.concat(drawn, digits)).when(kind == "iban", F.concat(iban, digits)).otherwise(name)
 
 
 def _laid_out(entity: Column, digits: Column) -> Column:
-    """The digits put in place of the entity's own."""
+    """The digits put in place of the entity's own, those that are left behind them."""
     chars = F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.struct(F.substring(entity, i, F.lit(1)).alias("c"), F.length(_digits(F.substring(entity, F.lit(1), i))).alias("n")))
-    return F.array_join(F.transform(chars, lambda x: F.when(x["c"].rlike("[0-9]"), F.substring(digits, x["n"], F.lit(1))).otherwise(x["c"])), "")
+    own = F.array_join(F.transform(chars, lambda x: F.when(x["c"].rlike("[0-9]"), F.substring(digits, x["n"], F.lit(1))).otherwise(x["c"])), "")
+    return F.concat(own, F.substring(digits, F.length(_digits(entity)) + 1, F.length(digits)))
 
 
 def _cased(original: Column, new: Column) -> Column:
-    first_up = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 200))
+    first_up = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))
     return F.when((original == F.upper(original)) & (F.length(original) > 1), F.upper(new)).when(F.substring(original, 1, 1) != F.lower(F.substring(original, 1, 1)), first_up).otherwise(new)
 
 
@@ -145,31 +171,37 @@ def render(kind: Column, entity: Column, parts: Column) -> Column:
     words = F.split(entity, " ")
     name = F.concat_ws(" ", words[0], _cased(words[1], parts[0]), F.when(F.size(words) > 2, _cased(words[2], parts[1])))
     spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.when(F.substring(entity, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substring(parts[0], F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), " ", "")), F.lit(1)))), "")
+    spaced = F.concat(spaced, F.substring(parts[0], F.length(F.regexp_replace(entity, " ", "")) + 1, F.length(parts[0])))
     return F.when(kind.isin("phone", "card", "ssn"), _laid_out(entity, parts[0])).when(kind == "iban", spaced).when(kind == "email", _cased(entity, parts[0])).when(kind == "name", name).otherwise(parts[0])
 
 
-def surrogate_table(parts: DataFrame, scratch: Scratch, key: str, max_attempts: int = 20) -> DataFrame:
+def surrogate_table(parts: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     """kind, text, surrogate for distinct (kind, text): distinct, and equal to no original of its kind."""
     drawn = parts.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw(F.col("kind"), F.col("text"), key, F.col("attempt")))
-    now = scratch.keep(drawn, "drawn0")
-    for k in range(1, max_attempts + 1):
+    now, k = scratch.keep(drawn, "drawn0"), 0
+    while True:
         keepers = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "text")).alias("best"))
-        taken = parts.select("kind", F.col("text").alias("surrogate"), F.lit(True).alias("taken"))
+        taken = now.select("kind", F.col("text").alias("surrogate"), F.lit(True).alias("taken"))
         judged = now.join(keepers, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left").withColumn("bad", F.col("taken").isNotNull() | (F.struct("attempt", "text") != F.col("best")))
-        if not judged.where("bad").limit(1).count():
+        if judged.where("bad").isEmpty():
             return now.select("kind", "text", "surrogate")
         again = F.col("attempt") + F.col("bad").cast("int")
         redone = judged.select("kind", "text", again.alias("attempt"), F.when(F.col("bad"), draw(F.col("kind"), F.col("text"), key, again)).otherwise(F.col("surrogate")).alias("surrogate"))
-        now = scratch.keep(redone, f"drawn{k}")
+        now, k = scratch.keep(redone, f"drawn{k + 1}"), k + 1
         scratch.drop(f"drawn{k - 1}")
-    raise RuntimeError("surrogates still collide; there are more entities than stand-ins of their kind")
+
+
+def _renamed(word: Column, known: Column) -> Column:
+    """The surrogate's place among ``known`` (text, surrogate) if the word is a capitalised part of a known name, else 0."""
+    capital = F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1))
+    return F.when(capital, F.array_position(known["part_text"], F.lower(word))).otherwise(F.lit(0))
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
-    """The rows of docs with surrogates in ``text`` and the number of replaced entities in ``n_entities``."""
+    """The rows of docs with surrogates in ``text`` and the number of replaced mentions in ``n_entities``."""
     docs = docs.drop("n_entities")
     scratch, prefix = Scratch(docs.sparkSession, "surrogates"), free_prefix(docs)
-    own_id, own_key, new = prefix + "id", prefix + "key", prefix + "new"
+    own_id, own_key, new, known = (prefix + x for x in ("id", "key", "new", "known"))
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     entity = lambda e: F.struct(kind_of(e).alias("kind"), e.alias("entity"))
     with_parts = lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), parts_of(x["kind"], x["entity"]).alias("parts"))
@@ -179,14 +211,24 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     table = surrogate_table(placed.select("part.kind", "part.text").distinct(), scratch, key)
     named = table.select(F.col("kind").alias("part_kind"), F.col("text").alias("part_text"), "surrogate")
     matched = placed.withColumn("part_kind", F.col("part.kind")).withColumn("part_text", F.col("part.text")).join(named, ["part_kind", "part_text"])
-    mentions = matched.groupBy(own_id, own_key, "at", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("part_at", "surrogate"))).alias("p"))
+    mentions = matched.groupBy(own_id, own_key, "at", "kind", "entity").agg(F.array_sort(F.collect_list(F.struct("part_at", "surrogate", "part_text"))).alias("p"))
     mentions = mentions.withColumn("new", render(F.col("kind"), F.col("entity"), F.col("p.surrogate")))
-    news = mentions.groupBy(own_id, own_key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new))
+    names = F.flatten(F.collect_list(F.when(F.col("kind") == "name", F.transform("p", lambda x: F.struct(x["part_text"].alias("part_text"), x["surrogate"].alias("surrogate"))))))
+    news = mentions.groupBy(own_id, own_key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new), F.array_sort(F.array_distinct(names)).alias(known))
     news = scratch.keep(news, "news")
-    pieces = F.split(F.col("text"), PATTERN, -1)
+    scratch.drop("hits")
+
+    own = F.col(known)
+    words = F.transform(F.split(F.col("text"), PATTERN, -1), lambda piece: F.regexp_extract_all(piece, F.lit(_WORDS), F.lit(0)))
+    def stand_in(word: Column) -> Column:
+        at = _renamed(word, own)
+        return F.when(at > 0, _cased(word, F.element_at(own["surrogate"], F.greatest(at, F.lit(1)).cast("int")))).otherwise(word)
+    has_names = F.size(own) > 0
+    pieces = F.when(has_names, F.transform(words, lambda piece: F.array_join(F.transform(piece, stand_in), ""))).otherwise(F.split(F.col("text"), PATTERN, -1))
+    later = F.when(has_names, F.size(F.filter(F.flatten(words), lambda word: _renamed(word, own) > 0))).otherwise(0)
     filled = F.array_join(F.zip_with(pieces, F.concat(F.col(new), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     side = news.hint("merge")  # grows with the corpus; texts are searched once, above
     joined = docs.join(side, docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)), "left")
     touched = F.col(new).isNotNull()
-    text, count = F.when(touched, filled).otherwise(F.col("text")), F.when(touched, F.size(new)).otherwise(0).cast("long")
+    text, count = F.when(touched, filled).otherwise(F.col("text")), F.when(touched, F.size(new) + later).otherwise(0).cast("long")
     return joined.withColumns({"text": text, "n_entities": count}).select(*docs.columns, "n_entities")

@@ -10,11 +10,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from histolode.llm import components, lines, mixing, near_dup, packing, repeats, suffix_tree, surrogates, toxicity
 from histolode.llm.common import id_text_crc
+from tests.compare import SF
 from tests.llm import data
 
 DATA = data.rows()
@@ -320,6 +322,69 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert {r["text"] for r in surrogates.replace_entities(docs, "other").collect()} != set(again.values())
 
 
+NAMES = [
+    (20, "Mr. John Smith met Ana. Later Smith left and John Smith wrote to SMITH; smith is a trade, Smithson a name, Smith's hat his.", "en", "s", 1),
+    (21, "Smith never had a title here.", "en", "s", 1),
+    (22, "Herr Jean-Luc O’Brien und Frau O’Brien. O’Brien kam, Jean-Luc ging.", "de", "s", 1),
+    (23, "sha 7f5790b897549d620aedfc0705a565f96e3741e8 stays, api_key: 7F5790B897549D620AEDFC0705A565F9 goes", "en", "s", 1),
+    (24, "to " + "Q" * 30 + "x" * 30 + "@" + "a" * 60 + "." + "b" * 60 + "." + "c" * 60 + ".example.org now", "en", "s", 1),
+]
+
+
+def test_later_mentions_of_a_name_are_replaced(spark):
+    found = {r["doc_id"]: r for r in surrogates.replace_entities(data.documents(spark, NAMES), "k").collect()}
+    mister, given, family = found[20]["text"].split()[:3]
+    assert found[20]["text"] == f"{mister} {given} {family} met Ana. Later {family} left and {given} {family} wrote to {family.upper()}; smith is a trade, Smithson a name, {family}'s hat his."
+    assert family not in ("Smith", "John") and found[20]["n_entities"] == 6
+    assert found[21]["text"] == NAMES[1][1] and found[21]["n_entities"] == 0
+    _, luc, brien, _, _, again, *_ = re.split(r"[ .]+", found[22]["text"])
+    assert brien == again and found[22]["text"].endswith(f"{brien} kam, {luc} ging.") and "Brien" not in found[22]["text"]
+    assert "sha 7f5790b897549d620aedfc0705a565f96e3741e8 stays" in found[23]["text"] and re.search("api_key: [0-9A-F]{32} goes", found[23]["text"]) and found[23]["n_entities"] == 1
+    assert len(found[24]["text"]) == len(NAMES[4][1]) and found[24]["text"].endswith(".org now")
+
+
+def brute_mentions(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, canonical text) of all mentions: entities by one search, then parts of names by another."""
+    found = []
+    for m in regex.finditer(surrogates.PATTERN, text or ""):
+        kind = next(k for k, p in surrogates._ALONE.items() if regex.fullmatch(p, m.group()))
+        shape = {"phone": r"\D", "card": r"\D", "ssn": r"\D", "iban": " "}.get(kind)
+        if kind != "name":
+            found.append((m.start(), m.end(), f"{kind}:{regex.sub(shape, '', m.group()) if shape else m.group().lower() if kind == 'email' else m.group()}"))
+        else:
+            at = m.start() + len(m.group().split(" ")[0]) + 1
+            for word in m.group().split(" ")[1:]:
+                found.append((at, at + len(word), f"name:{word.lower()}"))
+                at += len(word) + 1
+    names = {c for *_, c in found if c.startswith("name:")}
+    taken = [(a, b) for a, b, _ in found]
+    for m in regex.finditer(r"\p{L}+(?:['’-]\p{L}{2,})*", text or ""):
+        if names and f"name:{m.group().lower()}" in names and m.group()[0] != m.group()[0].lower() and not any(a < m.end() and m.start() < b for a, b in taken):
+            found.append((m.start(), m.end(), f"name:{m.group().lower()}"))
+    return sorted(found)
+
+
+def test_surrogates_against_a_brute_search(spark):
+    files = [(r["doc_id"], r["text"], "en", "s", 1) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = files + [(10_000 + r[0], *r[1:]) for r in ENTITIES + NAMES]
+    found = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(data.documents(spark, rows), "k").collect()}
+    drawn = defaultdict(set)
+    for doc, text, *_ in rows:
+        mentions = brute_mentions(text)
+        if not mentions:
+            assert found[doc] == text
+            continue
+        between = [text[a:b] for a, b in zip([0, *(m[1] for m in mentions)], [*(m[0] for m in mentions), len(text)], strict=True)]
+        hit = regex.fullmatch("(.*?)".join(map(regex.escape, between)), found[doc], regex.DOTALL)
+        assert hit, doc
+        for (_, _, canonical), new in zip(mentions, hit.groups(), strict=True):
+            kind = canonical.split(":")[0]
+            drawn[canonical].add(regex.sub(r"[^0-9]", "", new) if kind in ("phone", "card", "ssn") else new.replace(" ", "") if kind == "iban" else new if kind == "secret" else new.lower())
+    assert len(drawn) > 20 and all(len(v) == 1 for k, v in drawn.items() if k != "name:schmidt")
+    pairs = [(k.split(":")[0], *v) for k, v in drawn.items() if len(v) == 1]
+    assert len(set(pairs)) == len(pairs) and not {f"{k}:{v}" for k, v in pairs} & set(drawn)
+
+
 def test_surrogates_stay_distinct_under_collisions(spark):
     rows = [(i, f"ssn {i % 1000:03d}-{i // 1000:02d}-0000", "en", "s", 1) for i in range(1500)]
     import histolode.llm.surrogates as s
@@ -330,7 +395,7 @@ def test_surrogates_stay_distinct_under_collisions(spark):
     parts = spark.createDataFrame([("tiny", str(i)) for i in range(60)], "kind string, text string")
     original, s.draw = s.draw, lambda kind, text, key, attempt: F.concat(F.lit("s"), F.pmod(F.xxhash64(text, attempt), F.lit(200)).cast("string"))
     try:
-        table = s.surrogate_table(parts, Scratch(spark, "test"), "k", 60).collect()
+        table = s.surrogate_table(parts, Scratch(spark, "test"), "k").collect()
     finally:
         s.draw = original
     assert len({r["surrogate"] for r in table}) == 60
