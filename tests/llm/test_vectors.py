@@ -29,9 +29,9 @@ def brute(x, t=0.95):
     return near.sum(axis=1), label
 
 
-@pytest.mark.parametrize("cell_rows, block", [(8192, 4096), (40, 17)])
-def test_range_join_equals_brute_force(spark, monkeypatch, cell_rows, block):
-    monkeypatch.setattr(vectors, "CELL_ROWS", cell_rows)
+@pytest.mark.parametrize("block, least", [(4096, 8), (17, 64)])
+def test_range_join_equals_brute_force(spark, monkeypatch, block, least):
+    monkeypatch.setattr(vectors, "LEAST_PIVOTS", least)
     monkeypatch.setattr(vectors, "BLOCK", block)
     x = made()
     links, label = brute(x)
@@ -102,6 +102,47 @@ def test_copies_take_no_places_of_others(spark):
     assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == np.lexsort((np.arange(3000), -cos.round(12)))[:5].tolist()
 
 
+def clustered(n=4000, d=32, centres=100, spread=0.02, seed=8):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, d))
+    return c[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, d)) * np.sqrt(centres / 100)
+
+
+def test_pivots_of_dense_regions_spare_copies():
+    x = clustered()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    radius = np.sqrt(0.1)
+    sample = vectors.dense_first(unit[:1000], radius)
+    n_pivots, copies = vectors.pivot_count(sample, 1_000_000, radius)
+    assert n_pivots >= 64 and copies < 1  # full replication to lower cells would be over 30
+    d = vectors._distances(unit, sample[:n_pivots])
+    assert np.bincount(d.argmin(axis=1)).max() < 400
+
+
+def test_clustered_vectors_are_searched_in_few_files(spark, monkeypatch):
+    x, seen = clustered().astype(np.float32), []
+    posted = vectors._posted
+    monkeypatch.setattr(vectors, "_posted", lambda df, pivots, files, columns, *more: seen.append((len(pivots), files)) or posted(df, pivots, files, columns, *more))
+    found = vectors.nearest_vectors(table(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]), "vec_id", F.col("vec_id") % 50 == 0).collect()
+    pivots, files = seen[-1]
+    assert files <= pivots / 4
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    best = {}
+    for q in range(0, len(x), 50):
+        cos = y @ y[q]
+        cos[q] = -9
+        best[q] = np.sort(cos)[-5]
+    assert sum(r["score"] >= best[r["query_id"]] - 1e-12 for r in found) >= 0.9 * 5 * len(best)
+
+
+def test_repeated_rows_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1)] * 3 + [(2, [0.0, 1.0], 1)]
+    found = sorted(tuple(r) for r in vectors.range_join(table(spark, rows), "vec_id").collect())
+    assert found == [(1, 2, 1, True)] * 3 + [(2, 0, 2, True)]
+    asked = vectors.nearest_vectors(table(spark, rows), "vec_id", F.col("vec_id") == 2).collect()
+    assert {r["vec_id"] for r in asked} == {1}
+
+
 def test_few_vectors_are_all_found(spark):
     rows = [(i, [float(i + 1), 1.0], 1) for i in range(4)]
     assert vectors.nearest_vectors(table(spark, rows), "vec_id", F.col("vec_id") == 0).count() == 3
