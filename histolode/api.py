@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import expr
 from .operators import candidates, classify, clusters, cochange, diff, families, fingerprints, joins, signals
-from .plans.scratch import Tables
+from .functions.tables import Tables
 from .sources import git, projects
 
 
@@ -54,9 +54,9 @@ def scan(spark: SparkSession, repositories: list[str], limit: int = git.DEFAULT_
     surfaces = tables.keep(cochange.learn_surfaces(files, ["repo_id"], "hash", pairs), "surfaces")
     sources = spark.read.format("source_tree").option("path", paths).load()
     prints = fingerprints.eligible(tables.keep(fingerprints.fingerprint(sources).drop("text"), "fingerprints"))
-    similar = tables.keep(families.similar_pairs(prints, ["repo_id"]), "similar")
-    grouped = families.families(similar, ["repo_id"])
-    summaries = tables.keep(families.summarise(prints, grouped, similar, ["repo_id"]), "families")
+    best = tables.keep(families.best_earlier(prints, ["repo_id"]), "best")
+    grouped = families.families(best, ["repo_id"])
+    summaries = tables.keep(families.summarise(prints, grouped, best, ["repo_id"]), "families")
     clustered = tables.keep(_clusters(commits, files, surfaces), "clusters")
     mined = tables.keep(_candidates(commits, files, surfaces, clustered), "candidates")
     return Scan(

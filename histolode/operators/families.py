@@ -4,6 +4,10 @@ A file joins the cluster of the earlier file it is most like, at 0.5 or more, el
 founds one.  Whom it joins does not depend on later files, so the cluster is found by
 following each file's best earlier neighbour; with ties the cluster founded first
 wins, which is the smallest root reachable over tied best edges.
+
+Files with the same lists form a class and only classes are compared.  Of a class that
+ties, only the latest earlier file matters: its cluster is never founded later than
+those of the files of its class before it.  Chains are followed by doubling.
 """
 
 from __future__ import annotations
@@ -12,77 +16,105 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, rules
+from ..functions.tables import Tables
 
 LISTS = [name for _, name, _ in rules.SIMILARITY_WEIGHTS]
 #: A pair under 0.495 joins nothing, and the other lists weigh 0.36 together, so a pair shares one of these.
 BLOCKING = ["frameworks", "libraries", "component_tags", "roles", "concepts"]
 
 
-def similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    total: Column = F.lit(0.0)
-    for _, name, weight in rules.SIMILARITY_WEIGHTS:
-        union = F.size(F.array_union(a[name], b[name]))
-        total = total + F.when(union > 0, F.size(F.array_intersect(a[name], b[name])) / union * F.lit(weight)).otherwise(0.0)
-    return expr.to_fixed2(F.least(F.lit(1.0), total))
+def similarity(a: Column, b: Column) -> Column:
+    """The weighted overlap of two arrays of lists without repeats, in the order of LISTS, before rounding."""
+    def overlap(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x, y))
+        return F.when(shared > 0, shared / (F.size(x) + F.size(y) - shared)).otherwise(0.0)
 
+    weights = F.array(*(F.lit(w) for _, _, w in rules.SIMILARITY_WEIGHTS))
+    return F.aggregate(F.zip_with(F.zip_with(a, b, overlap), weights, lambda x, w: x * w), F.lit(0.0), lambda total, x: total + x)
+
+
+def _classes(prints: DataFrame, repo: list[str], path: str, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(repo, path, class) of every file, and (repo, class, lists) of every class: files with equal lists are one class."""
+    lists = [F.array_distinct(n).alias(n) for n in LISTS]
+    named = prints.select(*repo, F.col(path).alias("path"), F.sha2(F.to_json(F.struct(*lists)), 256).alias("key"), *lists)
+    known = named.groupBy(*repo, "key").agg(*(F.first(n).alias(n) for n in LISTS)).withColumn("class", F.monotonically_increasing_id())
+    known = tables.keep(known, "classes")
+    members = named.select(*repo, "path", "key").join(known.select(*repo, "key", "class"), [*repo, "key"]).drop("key")
+    return tables.keep(members, "members"), known.drop("key")
 
-def similar_pairs(prints: DataFrame, repo: list[str], path: str = "path", least: float = rules.FAMILY_JOIN) -> DataFrame:
-    """(repo, earlier, later, score) with score >= least, earlier < later by path.
 
-    Blocks by shared features, whose counts and the lists' sizes bound the score.  Equal fingerprints are compared once: files with the
-    same lists form a class, and only classes are joined.
+def class_pairs(classes: DataFrame, repo: list[str], least: float) -> DataFrame:
+    """(repo, a, b, score) of classes a <= b with score >= least.
+
+    Classes meet at a shared feature that the score needs: of a class's features in order
+    of rarity, the most common ones are left out as long as they, and all lists that are
+    not blocked by, could not reach ``least``.  The rarest shared feature of a pair that
+    reaches it is kept on both sides.
     """
-    lists = [F.col(n) for n in LISTS]
-    classed = prints.select(*repo, F.col(path).alias("path"), F.sha2(F.to_json(F.struct(*lists)), 256).alias("class"), *lists)
-    classes = classed.groupBy(*repo, "class").agg(*(F.first(n).alias(n) for n in LISTS))
-    keys = F.concat(*(F.transform(F.array_distinct(n), _tagged(n)) for n in BLOCKING))
-    blocked = classes.select(*repo, "class", F.explode(keys).alias("feature"))
-    meets = blocked.withColumnRenamed("class", "a").join(blocked.withColumnRenamed("class", "b"), [*repo, "feature"]).where("a <= b")
-    shared = meets.groupBy(*repo, "a", "b").agg(*(F.count_if(F.col("feature").startswith(n + ":")).alias(f"s_{n}") for n in BLOCKING))
-    # sizes bound the score before any list is moved: the other lists could agree in full
-    sizes = lambda side: classes.select(*repo, F.col("class").alias(side), *(F.size(F.array_distinct(n)).alias(f"{side}_{n}") for n in LISTS))
-    bound: Column = F.lit(0.005)
-    for _, name, weight in rules.SIMILARITY_WEIGHTS:
-        n, m = F.col(f"a_{name}"), F.col(f"b_{name}")
-        if name in BLOCKING:
-            s = F.col(f"s_{name}")
-            bound = bound + F.when(s > 0, s / (n + m - s) * F.lit(weight)).otherwise(0.0)
-        else:
-            bound = bound + F.when((n > 0) & (m > 0), F.least(n, m) / F.greatest(n, m) * F.lit(weight)).otherwise(0.0)
-    pairs = shared.join(sizes("a"), [*repo, "a"]).join(sizes("b"), [*repo, "b"]).where(bound + F.lit(1e-9) >= least).select(*repo, "a", "b")
-    left = classes.select(*repo, F.col("class").alias("a"), *(F.col(n).alias(f"a_{n}") for n in LISTS))
-    right = classes.select(*repo, F.col("class").alias("b"), *(F.col(n).alias(f"b_{n}") for n in LISTS))
-    scored = pairs.join(left, [*repo, "a"]).join(right, [*repo, "b"]).withColumn("score", similarity({n: F.col(f"a_{n}") for n in LISTS}, {n: F.col(f"b_{n}") for n in LISTS}))
-    kept = scored.where(F.col("score") >= least).select(*repo, "a", "b", "score")
-    both = kept.unionByName(kept.where("a != b").select(*repo, F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    members = classed.select(*repo, "class", "path")
-    first = members.select(*repo, F.col("class").alias("a"), F.col("path").alias("earlier"))
-    second = members.select(*repo, F.col("class").alias("b"), F.col("path").alias("later"))
-    return both.join(first, [*repo, "a"]).join(second, [*repo, "b"]).where("earlier < later").select(*repo, "earlier", "later", "score")
+    weights = {name: weight for _, name, weight in rules.SIMILARITY_WEIGHTS}
+    shares = F.concat(*(F.transform(n, _share(n, weights[n], F.size(n))) for n in BLOCKING))
+    others = sum((F.when(F.size(n) > 0, w).otherwise(0.0) for n, w in weights.items() if n not in BLOCKING), F.lit(0.0))
+    blocked = classes.select(*repo, "class", others.alias("others"), F.explode(shares).alias("x")).select(*repo, "class", "others", "x.*")
+    counted = blocked.join(blocked.groupBy(*repo, "feature").agg(F.count("*").alias("df")), [*repo, "feature"])
+    rest = F.sum("share").over(Window.partitionBy(*repo, "class").orderBy(F.col("df").desc(), F.col("feature").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    needed = counted.withColumn("rest", rest).where(F.col("rest") + F.col("others") + F.lit(0.0051) >= least).select(*repo, "class", "feature")
+    # few bytes make many pairs: as many tasks as the session has, whatever the bytes
+    needed = needed.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *repo, "feature")
+    meets = needed.withColumnRenamed("class", "a").join(needed.withColumnRenamed("class", "b"), [*repo, "feature"]).where("a <= b").select(*repo, "a", "b").distinct()
+    # classes without a blocking feature still are like themselves
+    meets = meets.unionByName(classes.select(*repo, F.col("class").alias("a"), F.col("class").alias("b"))).distinct()
+    lists = F.array(*LISTS)
+    left, right = (classes.select(*repo, F.col("class").alias(side), lists.alias(f"{side}_lists")) for side in "ab")
+    total = meets.join(left, [*repo, "a"]).join(right, [*repo, "b"]).select(*repo, "a", "b", similarity(F.col("a_lists"), F.col("b_lists")).alias("total"))
+    return total.where(F.col("total") >= least - 0.0051).select(*repo, "a", "b", expr.to_fixed2(F.least(F.lit(1.0), "total")).alias("score")).where(F.col("score") >= least)
 
 
-def _tagged(name: str):
-    return lambda v: F.concat(F.lit(name + ":"), v)
+def _share(name: str, weight: float, size: Column):
+    return lambda v: F.struct(F.concat(F.lit(name + ":"), v).alias("feature"), (F.lit(weight) / size).alias("share"))
 
 
-def families(pairs: DataFrame, repo: list[str], max_rounds: int = 40) -> DataFrame:
-    """(repo, path, root) for every file in a cluster of two or more, from similar pairs."""
-    from ..plans.scratch import Tables
+def _either_way(pairs: DataFrame, repo: list[str]) -> DataFrame:
+    return pairs.unionByName(pairs.where("a != b").select(*repo, F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+
+
+def similar_pairs(prints: DataFrame, repo: list[str], path: str = "path", least: float = rules.FAMILY_JOIN) -> DataFrame:
+    """(repo, earlier, later, score) with score >= least, earlier < later by path: all pairs of files."""
+    members, classes = _classes(prints, repo, path, Tables(prints.sparkSession, "similar"))
+    both = _either_way(class_pairs(classes, repo, least), repo)
+    first = members.select(*repo, F.col("class").alias("a"), F.col("path").alias("earlier"))
+    second = members.select(*repo, F.col("class").alias("b"), F.col("path").alias("later"))
+    return both.join(first, [*repo, "a"]).join(second, [*repo, "b"]).where("earlier < later").select(*repo, "earlier", "later", "score")
+
 
-    tables = Tables(pairs.sparkSession, "families")
-    per = Window.partitionBy(*repo, "later")
-    best = tables.keep(pairs.withColumn("top", F.max("score").over(per)).where("score = top").select(*repo, "earlier", "later"), "best")
-    # the root reached from each file: start at its best earlier files and move on while they have any
-    now = best.select(*repo, F.col("later").alias("path"), F.col("earlier").alias("root"))
-    for k in range(max_rounds):
-        further = best.select(*repo, F.col("later").alias("root"), F.col("earlier").alias("next"))
-        moved = now.join(further, [*repo, "root"], "left").select(*repo, "path", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moves")).distinct()
-        moved = tables.keep(moved, f"reach{k}")
-        if not moved.where("moves").limit(1).count():
+def best_earlier(prints: DataFrame, repo: list[str], path: str = "path", least: float = rules.FAMILY_JOIN) -> DataFrame:
+    """(repo, later, earlier, score): each file's most similar earlier files, the latest one of each class that ties."""
+    tables = Tables(prints.sparkSession, "best")
+    members, classes = _classes(prints, repo, path, tables)
+    pairs = tables.keep(class_pairs(classes, repo, least), "pairs")
+    founded = members.groupBy(*repo, "class").agg(F.min("path").alias("founder"))
+    near = _either_way(pairs, repo).join(founded.withColumnRenamed("class", "b"), [*repo, "b"])
+    # files of a class differ only in how many of its neighbours were founded before them
+    reached = members.withColumnRenamed("class", "a").join(near, [*repo, "a"]).where("founder < path")
+    top = F.max("score").over(Window.partitionBy(*repo, "path"))
+    tied = reached.withColumn("top", top).where("score = top").select(*repo, "path", F.col("b").alias("class"), "score")
+    there = members.select(*repo, "class", "path", F.lit(None).cast("double").alias("score"), F.col("path").alias("own"))
+    asked = tied.select(*repo, "class", "path", "score", F.lit(None).cast("string").alias("own"))
+    so_far = Window.partitionBy(*repo, "class").orderBy("path", F.col("own").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = there.unionByName(asked).withColumn("earlier", F.last("own", ignorenulls=True).over(so_far))
+    return placed.where("score is not null").select(*repo, F.col("path").alias("later"), "earlier", "score")
+
+
+def families(best: DataFrame, repo: list[str]) -> DataFrame:
+    """(repo, path, root) for every file in a cluster of two or more, from each file's best earlier files."""
+    tables, k = Tables(best.sparkSession, "families"), 0
+    now = tables.keep(best.select(*repo, F.col("later").alias("path"), F.col("earlier").alias("root")).distinct(), "reach0")
+    while True:
+        further = now.select(*repo, F.col("path").alias("root"), F.col("root").alias("next"))
+        moved = tables.keep(now.join(further, [*repo, "root"], "left").select(*repo, "path", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moves")).distinct(), f"reach{k + 1}")
+        if moved.where("moves").isEmpty():
             break
-        now = moved.select(*repo, "path", "root")
-    else:
-        raise RuntimeError("family chains did not end")
+        tables.drop(f"reach{k}")
+        now, k = moved.select(*repo, "path", "root"), k + 1
     roots = moved.groupBy(*repo, "path").agg(F.min("root").alias("root"))
     return roots.unionByName(roots.select(*repo, F.col("root").alias("path"), "root").distinct()).distinct()
 
@@ -101,12 +133,12 @@ def family_confidence(average: Column, frameworks: Column, libraries: Column, co
     return expr.to_fixed2(F.least(F.lit(0.98), score))
 
 
-def summarise(prints: DataFrame, clusters: DataFrame, pairs: DataFrame, repo: list[str], path: str = "path") -> DataFrame:
+def summarise(prints: DataFrame, clusters: DataFrame, best: DataFrame, repo: list[str], path: str = "path") -> DataFrame:
     """One row per family: its shared lists, files, average similarity and confidence, strongest first."""
     keys = [*repo, "root"]
     members = prints.withColumn("path", F.col(path)).join(clusters, [*repo, "path"])
-    best = pairs.groupBy(*repo, F.col("later").alias("path")).agg(F.max("score").alias("score")).join(clusters.where("path != root"), [*repo, "path"])
-    average = best.groupBy(*keys).agg(F.avg("score").alias("average"))
+    joined = best.groupBy(*repo, F.col("later").alias("path")).agg(F.max("score").alias("score")).join(clusters.where("path != root"), [*repo, "path"])
+    average = joined.groupBy(*keys).agg(F.avg("score").alias("average"))
     out = members.groupBy(*keys).agg(F.array_sort(F.collect_set("path")).alias("files")).join(average, keys, "left")
     for name, limit in (("frameworks", 4), ("libraries", 5), ("concepts", 8), ("roles", 6)):
         out = out.join(shared_values(members, keys, name, limit), keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))

@@ -234,7 +234,7 @@ def l1_registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f11_eligible_sources", None)
 def f11_eligible_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import fingerprints
-    from .scratch import Tables
+    from ..functions.tables import Tables
     from .texts import _SOURCES
 
     kept = Tables(spark, "f11").keep(fingerprints.fingerprint(bind(spark, sf_dir, _SOURCES)), "prints")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import candidates, classify, clusters, lifecycle, signals
 from .bindings import COMMIT_FILE, bind, literal, plain, sql_fixed2, sql_first_match, sql_jaccard, sql_match
 from .paths import ORDERED, ORACLES as PATH_ORACLES, PATH_SIGNALS
-from .scratch import Tables
+from ..functions.tables import Tables
 
 QUERIES, ORACLES = {}, {}
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr, rules
+from ..functions.tables import Tables
 from ..operators import families, fingerprints, sources, terms
 from .bindings import PATHS, bind, literal, plain, sql_fixed2, sql_match, sql_tags
 
@@ -252,14 +253,12 @@ reach(repo_id, path, root) as (select repo_id, later, earlier from best union se
 ends as (select repo_id, path, min(root) as root from reach r where not exists (select 1 from best b where b.repo_id = r.repo_id and b.later = r.root) group by 1, 2)
 select repo_id, path, root from ends union select distinct repo_id, root, root from ends""")
 def u1_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.families(families.similar_pairs(_prints(spark, sf_dir), ["repo_id"]), ["repo_id"])
+    return families.families(families.best_earlier(_prints(spark, sf_dir), ["repo_id"]), ["repo_id"])
 
 
 @query("u2_family_summaries", None)
 def u2_family_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .scratch import Tables
-
     prints = _prints(spark, sf_dir)
-    pairs = Tables(spark, "u2").keep(families.similar_pairs(prints, ["repo_id"]), "pairs")
-    found = families.summarise(prints, families.families(pairs, ["repo_id"]), pairs, ["repo_id"])
+    best = Tables(spark, "u2").keep(families.best_earlier(prints, ["repo_id"]), "best")
+    found = families.summarise(prints, families.families(best, ["repo_id"]), best, ["repo_id"])
     return found.select("repo_id", "root", F.size("files").cast("long").alias("files"), F.array_join("frameworks", ",").alias("frameworks"), F.array_join("libraries", ",").alias("libraries"), F.array_join("concepts", ",").alias("concepts"), "confidence", "rank")

@@ -5,11 +5,11 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from histolode.functions import expr
+from histolode.functions import expr, rules
+from histolode.functions.tables import Tables
 from histolode.operators import candidates, classify, clusters, cochange, diff, families, fingerprints, lifecycle, render, signals
 from histolode.plans import skills as skills_plan
 from histolode.plans.bindings import COMMIT_FILE, bind
-from histolode.plans.scratch import Tables
 from tests.compare import SF
 
 
@@ -115,8 +115,8 @@ def test_three_tables_are_a_family_and_one_file_is_none(spark):
     rows = [("r", f"src/ui/T{i}.tsx", TABLE.replace("UserTable", f"User{i}Table")) for i in range(3)] + [("r", "api/x.py", "from fastapi import APIRouter\nr = APIRouter()")]
     kept = Tables(spark, "test").keep(fingerprints.fingerprint(spark.createDataFrame(rows, "repo_id string, path string, text string")), "prints")
     prints = fingerprints.eligible(kept)
-    pairs = families.similar_pairs(prints, ["repo_id"])
-    found = families.summarise(prints, families.families(pairs, ["repo_id"]), pairs, ["repo_id"]).collect()
+    best = families.best_earlier(prints, ["repo_id"])
+    found = families.summarise(prints, families.families(best, ["repo_id"]), best, ["repo_id"]).collect()
     assert [len(f["files"]) for f in found] == [3] and found[0]["confidence"] >= 0.85
 
 
@@ -139,7 +139,36 @@ def test_families_equal_the_greedy_loop_with_ties(spark, seed):
     rows = [("r", f"f{a:02d}", f"f{b:02d}", s) for (a, b), s in table.items() if s >= 0.5 and rng.random() < 0.6]
     kept = {(int(a[1:]), int(b[1:])): s for _, a, b, s in rows}
     expected = _greedy(14, lambda a, b: kept.get((a, b), 0.0))
-    found = {int(r["path"][1:]): int(r["root"][1:]) for r in families.families(spark.createDataFrame(rows, "repo string, earlier string, later string, score double"), ["repo"]).collect()}
+    best = [r for r in rows if r[3] == max(s for _, _, later, s in rows if later == r[2])]
+    found = {int(r["path"][1:]): int(r["root"][1:]) for r in families.families(spark.createDataFrame(best, "repo string, earlier string, later string, score double"), ["repo"]).collect()}
+    assert found == {p: r for p, r in expected.items() if p != r or r in [x for y, x in expected.items() if y != x]}
+
+
+def test_a_long_chain_of_files_is_one_family(spark):
+    rows = [("r", f"f{i:04d}", f"f{i + 1:04d}", 0.9) for i in range(1000)]
+    found = families.families(spark.createDataFrame(rows, "repo string, earlier string, later string, score double"), ["repo"]).collect()
+    assert len(found) == 1001 and {r["root"] for r in found} == {"f0000"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_families_over_classes_equal_the_greedy_loop(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda *options: rng.choice(options)
+    rows = [("r", f"f{i:03d}", [pick("a", "b")], pick([], ["l1"], ["l1", "l2"]), [pick("x", "y")], ["grid", pick("c1", "c2", "c3")], pick([], ["t1"], ["t2"])) for i in range(70)]
+    prints = spark.createDataFrame(rows, "repo_id string, path string, frameworks array<string>, libraries array<string>, roles array<string>, concepts array<string>, component_tags array<string>")
+    prints = prints.select("*", *(F.array().cast("array<string>").alias(n) for n in families.LISTS if n not in prints.columns))
+    weights = {name: w for _, name, w in rules.SIMILARITY_WEIGHTS}
+    lists = {r[1]: dict(zip(("frameworks", "libraries", "roles", "concepts", "component_tags"), map(set, r[2:]), strict=True)) for r in rows}
+
+    def score(a, b):
+        x, y = lists[a], lists[b]
+        return round(sum(weights[n] * len(x[n] & y[n]) / len(x[n] | y[n]) for n in x if x[n] | y[n]) + 1e-9, 2)
+
+    names = sorted(lists)
+    pairs = {(r["earlier"], r["later"]): r["score"] for r in families.similar_pairs(prints, ["repo_id"]).collect()}
+    assert pairs == {(a, b): score(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if score(a, b) >= 0.5}
+    expected = {names[k]: names[v] for k, v in _greedy(len(names), lambda a, b: pairs.get((names[a], names[b]), 0.0)).items()}
+    found = {r["path"]: r["root"] for r in families.families(families.best_earlier(prints, ["repo_id"]), ["repo_id"]).collect()}
     assert found == {p: r for p, r in expected.items() if p != r or r in [x for y, x in expected.items() if y != x]}
 
 
