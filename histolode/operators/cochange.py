@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, rules
+from ..functions.tables import Tables
 from .classify import file_role, is_generated
+from .signals import files_with
 
 
 def file_frequency(files: DataFrame, repo: list[str], commit: str, keep: int | None = rules.FREQUENT_KEPT) -> DataFrame:
@@ -31,37 +33,54 @@ def eligible(path: Column) -> Column:
     return ~is_generated(path) & file_role(path).isin(rules.CO_CHANGE_ROLES)
 
 
+#: Files of one block of a commit; vaster commits are expanded by pairs of blocks, each a row of its own.
+BLOCK_FILES = 512
+
+
 def cochange_pairs(files: DataFrame, repo: list[str], commit: str, min_weight: int = rules.CO_CHANGE_MIN_WEIGHT, keep: int | None = rules.CO_CHANGE_KEPT, max_files_per_commit: int | None = None) -> DataFrame:
     """file_a < file_b changed together in at least min_weight commits: weight and shared commits.
 
     A pair is counted once a commit: files are made distinct per commit, gathered and
     expanded inside its row, so only partial counts of pairs are shuffled, never a
-    self-join.  max_files_per_commit is off by default; it skips vast commits.
+    self-join.  A commit of more than ``BLOCK_FILES`` files is cut into blocks, and each
+    pair of blocks is dealt to a task.  max_files_per_commit is off by default; it skips
+    vast commits.
     """
     lists = files.where(F.col("file_path") != "").where(eligible(F.col("file_path"))).groupBy(*repo, commit).agg(F.array_sort(F.collect_set(expr.normalize_path(F.col("file_path")))).alias("f"))
     lists = lists.where(F.size("f") >= 2)
     if max_files_per_commit is not None:
         lists = lists.where(F.size("f") <= max_files_per_commit)
-    rest = lists.select(*repo, commit, "f", F.posexplode("f").alias("i", "file_a"))
-    pairs = rest.select(*repo, commit, "file_a", F.explode(F.slice(F.col("f"), F.col("i") + 2, F.size("f"))).alias("file_b"))
+    lists = Tables(files.sparkSession, "cochange").keep(lists, "lists")
+    rest = lists.where(F.size("f") <= BLOCK_FILES).select(*repo, "f", F.posexplode("f").alias("i", "file_a"))
+    pairs = rest.select(*repo, "file_a", F.explode(F.slice(F.col("f"), F.col("i") + 2, F.size("f"))).alias("file_b"))
+    if not lists.where(F.size("f") > BLOCK_FILES).isEmpty():
+        pairs = pairs.unionByName(_vast_pairs(lists.where(F.size("f") > BLOCK_FILES), repo, commit))
     weights = pairs.groupBy(*repo, "file_a", "file_b").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
     return _top(weights, repo, [F.col("weight").desc(), F.col("file_a"), F.col("file_b")], keep)
 
 
+def _vast_pairs(lists: DataFrame, repo: list[str], commit: str) -> DataFrame:
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("f") - 1) / BLOCK_FILES).cast("int")), lambda k: F.slice("f", k * BLOCK_FILES + 1, F.lit(BLOCK_FILES)))
+    vast = lists.select(*repo, commit, blocks.alias("blocks")).select(*repo, commit, "blocks", F.posexplode("blocks").alias("x", "one"))
+    dealt = vast.select(*repo, commit, "x", "one", F.posexplode(F.slice(F.col("blocks"), F.col("x") + 1, F.size("blocks"))).alias("y", "two"))
+    one = dealt.repartition(*repo, commit, "x", "y").select(*repo, "two", F.explode("one").alias("file_a"))
+    return one.select(*repo, "file_a", F.explode("two").alias("file_b")).where("file_a < file_b")
+
+
 def surface_confidence(commits: Column, sources: Column, tests: Column, commands: Column, edges: Column) -> Column:
     score = F.lit(0.22) + F.least(commits, F.lit(8)) * F.lit(0.06) + F.least(sources, F.lit(6)) * F.lit(0.035) + F.when(tests > 0, 0.16).otherwise(0.0) + F.when(commands > 0, 0.12).otherwise(0.0) + F.least(edges, F.lit(5)) * F.lit(0.025)
     return expr.to_fixed2(F.least(F.lit(0.97), score))
 
 
-def surface_members(files: DataFrame, repo: list[str], commit: str) -> DataFrame:
-    """Each surface directory with every file of the commits that touch it: directory, file_path, role, uses.
-
-    A surface is a directory other than the root that holds source or docs files.
-    """
+def classified(files: DataFrame, repo: list[str], commit: str) -> DataFrame:
+    """Distinct (repo, commit, file_path) with role and directory, which are found once for each path."""
     f = files.select(*repo, commit, expr.normalize_path(F.col("file_path")).alias("file_path")).where("file_path != ''").distinct()
-    f = f.withColumn("role", file_role(F.col("file_path"))).withColumn("directory", expr.directory_of(F.col("file_path")))
-    touched = f.where(F.col("role").isin("source", "docs") & (F.col("directory") != "repo root")).select(*repo, commit, F.col("directory").alias("surface")).distinct()
-    return touched.join(f, [*repo, commit])
+    return files_with(f, {"role": file_role(F.col("file_path")), "directory": expr.directory_of(F.col("file_path"))})
+
+
+def _in_surface() -> Column:
+    """A surface is a directory other than the root that holds source or docs files."""
+    return F.col("role").isin("source", "docs") & (F.col("directory") != "repo root")
 
 
 def learn_surfaces(files: DataFrame, repo: list[str], commit: str, edges: DataFrame, commands: DataFrame | None = None, keep: int | None = rules.SURFACES_KEPT) -> DataFrame:
@@ -69,10 +88,15 @@ def learn_surfaces(files: DataFrame, repo: list[str], commit: str, edges: DataFr
 
     edges: strongest co-change pairs; commands: repo, surface, n_commands (none: no validation commands).
     """
-    members = surface_members(files, repo, commit)
-    kind = F.when(F.col("role").isin("source", "docs") & (F.col("directory") == F.col("surface")), F.lit("source")).when(F.col("role") == "test", F.lit("test")).when((F.col("role") == "config") | (F.col("role") == "docs"), F.lit("config"))
-    commits = members.groupBy(*repo, "surface").agg(F.count_distinct(commit).alias("commit_count"))
-    counted = members.withColumn("kind", kind).where("kind is not null").groupBy(*repo, "surface", "kind", "file_path").agg(F.count("*").alias("n"))
+    f = classified(files, repo, commit)
+    touched = f.where(_in_surface()).select(*repo, commit, F.col("directory").alias("surface")).distinct()
+    commits = touched.groupBy(*repo, "surface").agg(F.count("*").alias("commit_count"))
+    # a surface's sources are its own files; only tests, configs and docs of its commits are joined
+    own = f.where(_in_surface()).groupBy(*repo, F.col("directory").alias("surface"), "file_path").agg(F.count("*").alias("n")).withColumn("kind", F.lit("source"))
+    beside = touched.join(f.where(F.col("role").isin("test", "config", "docs")), [*repo, commit]).where((F.col("role") != "docs") | (F.col("directory") != F.col("surface")))
+    kind = F.when(F.col("role") == "test", F.lit("test")).otherwise(F.lit("config"))
+    others = beside.groupBy(*repo, "surface", kind.alias("kind"), "file_path").agg(F.count("*").alias("n"))
+    counted = own.unionByName(others)
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(*repo, "surface", "kind").orderBy(F.col("n").desc(), "file_path")))
     tops = ranked.where("rank <= 8")
 
@@ -97,7 +121,7 @@ def surface_terms(files: DataFrame, messages: DataFrame, repo: list[str], commit
 
     messages: repo, commit, message_terms (array).
     """
-    members = surface_members(files, repo, commit).where(F.col("role").isin("source", "docs") & (F.col("directory") == F.col("surface")))
+    members = classified(files, repo, commit).where(_in_surface()).withColumnRenamed("directory", "surface")
     words = F.concat(expr.path_terms(F.col("file_path")), expr.path_terms(F.col("surface")))
     from_paths = members.select(*repo, "surface", commit, F.explode(words).alias("term"))
     from_messages = members.select(*repo, "surface", commit).distinct().join(messages, [*repo, commit]).select(*repo, "surface", commit, F.explode("message_terms").alias("term"))

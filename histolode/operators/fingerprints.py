@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import expr, rules
 from .classify import file_role
 from .diff import B, E
+from .sources import readable
 
-MAX_LENGTH = 512_000
 ID = r"[A-Za-z_]\w*"
 #: What the lists are read from: (pattern, group), extension or None (fixed values, borders as ASCII look-arounds).
 IMPORTS: list[tuple[str, int, str | None]] = [
@@ -139,8 +139,8 @@ def migration_operations(text: Column, extension: Column) -> Column:
 
 
 def fingerprint(sources: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Adds the lists of a fingerprint to (path, text); longer texts than MAX_LENGTH are left out."""
-    rows = sources.where(F.length(text) <= MAX_LENGTH)
+    """Adds the lists of a fingerprint to (path, text); unreadably long texts are left out."""
+    rows = sources.where(readable(F.col(text)))
     t, ext = F.col(text), F.col("extension")
     sorted_read = lambda table: expr.distinct_sorted(F.transform(read(t, ext, table), lambda v: F.trim(v)))
     annotated = F.zip_with(F.regexp_extract_all(t, F.lit(ANNOTATED_ROUTE), F.lit(1)), F.regexp_extract_all(t, F.lit(ANNOTATED_ROUTE), F.lit(2)), lambda a, b: F.concat_ws(" ", a, b))

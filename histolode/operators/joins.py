@@ -46,13 +46,21 @@ def overlaps(members: DataFrame, cluster: str, member: str, least: float) -> Dat
     m = members.select(F.col(cluster).alias("c"), F.col(member).alias("m")).distinct()
     rare = m.groupBy("m").agg(F.count("*").alias("df"))
     sized = m.join(rare, "m").withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("df", "m"))).withColumn("n", F.count("*").over(Window.partitionBy("c")))
-    heads = sized.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("c", "m")
-    pairs = heads.select(F.col("c").alias("a"), "m").join(heads.select(F.col("c").alias("b"), "m"), "m").where("a < b").select("a", "b").distinct()
-    sizes = m.groupBy("c").agg(F.count("*").alias("n"))
-    shared = pairs.join(m.select(F.col("c").alias("a"), "m"), "a").join(m.select(F.col("c").alias("b"), "m"), ["b", "m"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    counted = shared.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
+    head = F.col("n") - F.ceil(F.col("n") * least) + 1
+    heads = sized.where(F.col("r") <= head).select("c", "m", "n", (F.col("n") - head).alias("rest"))
+    left, right = (heads.select(F.col("c").alias(x), "m", F.col("n").alias("n" + x), F.col("rest").alias("r" + x)) for x in "ab")
+    # what a pair shares besides is behind the head that ends first, in the common order
+    met = left.join(right, "m").where("a < b").groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("s"))
+    most = F.least(F.col("s") + F.greatest("ra", "rb"), "na", "nb")
+    pairs = met.where(most >= F.lit(least) * (F.col("na") + F.col("nb") - most) - 1e-9).select("a", "b", "na", "nb")
+    shared = pairs.join(m.select(F.col("c").alias("a"), "m"), "a").join(m.select(F.col("c").alias("b"), "m"), ["b", "m"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     overlap = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return counted.withColumn("overlap", overlap).where(F.col("overlap") >= least).select("a", "b", "shared", "overlap")
+    return shared.withColumn("overlap", overlap).where(F.col("overlap") >= least).select("a", "b", "shared", "overlap")
+
+
+def commits_of_files(files: DataFrame, listed: DataFrame, repo: list[str], commit: str) -> DataFrame:
+    """Distinct commits of each repository that change one of the listed files: repo, commit."""
+    return files.join(listed.select(*repo, "file_path").distinct(), [*repo, "file_path"], "left_semi").select(*repo, commit).distinct()
 
 
 def ranked_roots(files: DataFrame, roots: DataFrame, repo: list[str], keep: int) -> DataFrame:

@@ -43,6 +43,12 @@ def path_signals(path: Column) -> Column:
     return F.when(is_generated(path), test_docs_signals(path)).otherwise(F.array_distinct(F.concat(*(detector_signals(path, d) for d in DETECTORS))))
 
 
+def files_with(files: DataFrame, columns: dict[str, Column], path: str = "file_path") -> DataFrame:
+    """Columns that depend on the path alone, evaluated once for each distinct path."""
+    known = files.select(path).distinct().select(path, *(c.alias(n) for n, c in columns.items()))
+    return files.join(known, path)
+
+
 def framework_hints(path: Column) -> Column:
     return expr.tags(F.lower(path), rules.FRAMEWORK_HINTS)
 

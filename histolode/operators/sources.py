@@ -15,6 +15,21 @@ CI_COMMAND = r"^\s*run:\s*(npm test|npm run [\w:-]+|pytest|go test \./\.\.\.|dot
 SCP = r"^git@([^:]+):(.+)\z"
 
 
+#: Longest text that is read as a source file, in characters (fixed value).
+MAX_LENGTH = 512_000
+
+
+def readable(text: Column) -> Column:
+    return F.length(text) <= MAX_LENGTH
+
+
+def package_scripts(raw: Column) -> Column:
+    """The names of a package file's scripts that are texts, sorted; none if it cannot be parsed."""
+    scripts = F.try_variant_get(F.try_parse_json(raw), "$.scripts", "map<string,variant>")
+    texts = F.map_filter(scripts, lambda _, v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.array_sort(F.map_keys(texts)), F.array().cast("array<string>"))
+
+
 def remote_parts(url: Column) -> list[Column]:
     """host, owner, name and safe_name of a repository address."""
     scp, full = url.rlike(SCP), url.contains("://")

@@ -32,7 +32,8 @@ _SURFACES = f"""select repo_id, {sql_directory(N)} as surface, list_sort(list(di
 
 def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bind(spark, sf_dir, COMMIT_FILE)
-    return f.groupBy("repo_id", expr.directory_of(c("file_path")).alias("surface")).agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(signals.path_signals(c("file_path")))))).alias("signals"))
+    f = signals.files_with(f.select("repo_id", "file_path").distinct(), {"s": signals.path_signals(c("file_path"))})
+    return f.groupBy("repo_id", expr.directory_of(c("file_path")).alias("surface")).agg(F.array_sort(F.collect_set("file_path")).alias("files"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("signals"))
 
 
 def _sql_kind() -> str:
@@ -203,14 +204,14 @@ def j3_supporting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.supporting_files(s, bind(spark, sf_dir, COMMIT_FILE), ["repo_id"])
 
 
-_RANKED = f"select repo_id, file_path, commit_id % 3 = 0 as direct, commit_id % 2 = 0 as supports, commit_id % 5 = 0 as is_test, commit_id % 7 as n from ({COMMIT_FILE}) where commit_id % 4 < 2 group by 1, 2, 3, 4, 5, 6"
+_RANKED = f"select repo_id, file_path, commit_id % 3 = 0 as direct, commit_id % 2 = 0 as supports, commit_id % 5 = 0 as is_test, commit_id % 7 as n from ({COMMIT_FILE}) group by 1, 2, 3, 4, 5, 6"
 
 
 @query("p5_common_files", f"""
 with r as (select *, row_number() over (partition by repo_id order by case when direct then 0 when supports and is_test then 1 when supports then 2 else 9 end, n desc, file_path)::int as rank from ({plain(_RANKED)}))
-select repo_id, n, rank from r where rank <= 8""")
+select repo_id, file_path, n, rank from r where rank <= 8""")
 def p5_common_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.ranked_files(bind(spark, sf_dir, _RANKED), ["repo_id"]).select("repo_id", "n", "rank")
+    return joins.ranked_files(bind(spark, sf_dir, _RANKED), ["repo_id"]).select("repo_id", "file_path", "n", "rank")
 
 
 _EVIDENCE = "select o_custkey as cluster, cast(row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as int) as ordinal, o_orderkey as hash, o_orderpriority as signal, o_orderkey % 13 as n_diff_signals from {orders}"

@@ -137,8 +137,8 @@ from f group by repo_id, commit_id
 
 
 def g10_commit_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = bind(spark, sf_dir, COMMIT_FILE)
-    exploded = f.select("repo_id", "commit_id", F.explode(signals.path_signals(P())).alias("signal"))
+    f = signals.files_with(bind(spark, sf_dir, COMMIT_FILE), {"s": signals.path_signals(P())})
+    exploded = f.select("repo_id", "commit_id", F.explode("s").alias("signal"))
     return exploded.groupBy("repo_id", "commit_id").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"), F.count_distinct("signal").alias("n_signals"))
 
 
@@ -152,8 +152,8 @@ _PRIORITY = "case signal " + " ".join(f"when '{s}' then {i}" for i, s in enumera
 
 
 def g11_shape_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = bind(spark, sf_dir, COMMIT_FILE)
-    all_signals = f.groupBy("repo_id", "commit_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(signals.path_signals(P()))))).alias("s"))
+    f = signals.files_with(bind(spark, sf_dir, COMMIT_FILE), {"of_path": signals.path_signals(P())})
+    all_signals = f.groupBy("repo_id", "commit_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("of_path")))).alias("s"))
     return all_signals.select("repo_id", "commit_id", F.array_join(signals.shape(F.col("s")), ",").alias("shape"))
 
 

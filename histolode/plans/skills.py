@@ -135,7 +135,7 @@ def p13_family_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COMMANDS = ["npm test", "npm run build", "cargo test", "pytest", "python -m unittest", "go test ./...", "mvn test", "make test", "make build", "dotnet test", "npm run lint", "./gradlew test"]
-_KEYED = "select o_custkey % 300 as id, o_orderkey % 12 as k, case o_orderkey % 9 when 0 then '.rs' when 1 then '.ts' when 2 then '.py' when 3 then '.go' when 4 then '.java' when 5 then '.cs' else '.md' end as extension from {orders} where o_orderkey % 5 = 0 group by 1, 2, 3"
+_KEYED = "select o_custkey % 300 as id, o_orderkey % 12 as k, case o_orderkey % 9 when 0 then '.rs' when 1 then '.ts' when 2 then '.py' when 3 then '.go' when 4 then '.java' when 5 then '.cs' else '.md' end as extension from {orders} group by 1, 2, 3"
 _COMMAND = "(array(" + ", ".join(map(literal, _COMMANDS)) + "))"
 
 
@@ -179,13 +179,13 @@ def u5_draft_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDERED = "select user_id, event_id, event_type, cast(value as bigint) % 5 as bucket, row_number() over (partition by user_id order by ts desc, event_id desc) as ordinal from {events}"
 _SUPPORT = f"""with o as ({plain(_ORDERED)}),
 own as (select user_id, coalesce(list(distinct event_type) filter (where ordinal > 20), []) as s, coalesce(list(distinct 'd' || bucket) filter (where ordinal > 20), []) as d from o group by 1),
-new as (select user_id, ordinal, [event_type, 'x' || bucket] as s, ['d' || bucket] as d from o where ordinal <= 12)"""
+new as (select user_id, ordinal, [event_type, 'x' || bucket] as s, ['d' || bucket] as d from o where ordinal <= 20)"""
 
 
 def _skills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = bind(spark, sf_dir, _ORDERED).withColumn("d", F.concat(F.lit("d"), c("bucket").cast("string")))
     own = o.groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(c("ordinal") > 20, c("event_type")))).alias("own_signals"), F.array_sort(F.collect_set(F.when(c("ordinal") > 20, c("d")))).alias("own_directories"))
-    new = o.where("ordinal <= 12").select("user_id", "ordinal", F.array("event_type", F.concat(F.lit("x"), c("bucket").cast("string"))).alias("signals"), F.array("d").alias("directories"))
+    new = o.where("ordinal <= 20").select("user_id", "ordinal", F.array("event_type", F.concat(F.lit("x"), c("bucket").cast("string"))).alias("signals"), F.array("d").alias("directories"))
     return own, new
 
 

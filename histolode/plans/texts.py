@@ -93,7 +93,7 @@ def t9_stable_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", expr.stable_hash(F.struct("statuses", "orders")).alias("hash"))
 
 
-_URLS = "select page_id as id, url from {pages} union all select o_orderkey as id, case o_orderkey % 4 when 0 then concat('git@host', cast(o_custkey % 5 as varchar(9)), '.org:team/app', cast(o_orderkey % 9 as varchar(9)), '.git') when 1 then 'https://h.example/deep/own/Repo.git' when 2 then 'ssh://x.example/solo' else '' end as url from {orders} where o_orderkey < 500"
+_URLS = "select page_id as id, url from {pages} union all select o_orderkey as id, case o_orderkey % 4 when 0 then concat('git@host', cast(o_custkey % 5 as varchar(9)), '.org:team/app', cast(o_orderkey % 9 as varchar(9)), '.git') when 1 then 'https://h.example/deep/own/Repo.git' when 2 then 'ssh://x.example/solo' else '' end as url from {orders}"
 
 
 @query("s2_remote_parts", f"""
@@ -113,14 +113,19 @@ def s6_web_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind(spark, sf_dir, _URLS).select("id", sources.web_url(F.col("url")).alias("web_url"))
 
 
-@query("s8_read_sources", "select page_id, length(html) as length from pages where length(html) <= 20000")
+@query("s8_read_sources", "select page_id, length(html) as length from pages where length(html) <= 512000")
 def s8_read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind(spark, sf_dir, "select page_id, html from {pages}").where(F.length("html") <= 20000).select("page_id", F.length("html").cast("long").alias("length"))
+    return bind(spark, sf_dir, "select page_id, html from {pages}").where(sources.readable(F.col("html"))).select("page_id", F.length("html").cast("long").alias("length"))
 
 
-@query("s9_event_keys", "select event_id, array_to_string(list_sort(json_keys(props)), ',') as names from events")
-def s9_event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind(spark, sf_dir, "select event_id, props from {events}").select("event_id", F.array_join(F.array_sort(F.map_keys(F.from_json("props", "map<string,string>"))), ",").alias("names"))
+_PACKAGES = "select event_id, case event_id % 5 when 0 then '{{broken' when 1 then '{{\"name\": \"x\"}}' else concat('{{\"scripts\": {{\"z\": ', cast(event_id % 3 as varchar(9)), ', \"', event_type, '\": \"go\", \"build\": \"tsc\"}}, \"props\": ', props, '}}') end as raw from {events}".replace("{{", "{").replace("}}", "}")
+
+
+@query("s9_package_scripts", f"""
+with r as (select event_id, case when json_valid(raw) then json_extract(raw, '$.scripts') end as scripts from ({plain(_PACKAGES)}))
+select event_id, coalesce(array_to_string(list_sort(list_filter(json_keys(scripts), lambda k: json_type(scripts, '$.' || k) = 'VARCHAR')), ','), '') as names from r""")
+def s9_package_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind(spark, sf_dir, _PACKAGES).select("event_id", F.array_join(sources.package_scripts(F.col("raw")), ",").alias("names"))
 
 
 _PROJECT = "select o_orderkey as id, concat('x: 1', chr(10), '    run: ', case o_orderkey % 5 when 0 then 'npm test' when 1 then 'npm run lint' when 2 then 'pytest' when 3 then 'rm -rf /' else 'cargo test' end, chr(10), '- run: pytest') as ci from {orders}"

@@ -20,9 +20,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import rules
+from ..operators.sources import MAX_LENGTH
 
 DEFAULT_LIMIT = 50
-MAX_TEXT = 512_000
 #: Directories that the walk does not enter, and extensions that it keeps (fixed values).
 SKIPPED = {".git", ".histolode", "node_modules", "dist", "build", "coverage", "target", "out", ".next", ".nuxt", ".turbo", ".cache", "vendor"}
 WALKED = {".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".java", ".kt", ".cs", ".go", ".rs", ".rb", ".php", ".swift", ".sql", ".vue"}
@@ -126,7 +126,7 @@ def _role(path: str) -> str:
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.roots = [p.strip() for p in options["path"].split(",")]
-        self.limit = int(options.get("max_length", MAX_TEXT))
+        self.limit = int(options.get("max_length", MAX_LENGTH))
 
     def partitions(self) -> list[Folder]:
         """One for the files of each root, one for each of its folders."""

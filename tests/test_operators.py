@@ -103,6 +103,16 @@ def test_surface_of_command_commits(spark):
     assert [(s["surface"], s["commit_count"]) for s in found] == [("src/commands", 4)]
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_pairs_of_vast_commits(spark, monkeypatch, block):
+    monkeypatch.setattr(cochange, "BLOCK_FILES", block)
+    rows = [("r", str(c), f"src/f{i}.ts") for c, n in enumerate((2, 7, 11, 11)) for i in range(n)]
+    found = cochange.cochange_pairs(spark.createDataFrame(rows, "repo string, hash string, file_path string"), ["repo"], "hash", keep=None).collect()
+    names = {c: {f for _, h, f in rows if h == str(c)} for c in range(4)}
+    weights = {(a, b): sum(a in v and b in v for v in names.values()) for a in names[3] for b in names[3] if a < b}
+    assert {(r["file_a"], r["file_b"]): r["weight"] for r in found} == {p: w for p, w in weights.items() if w >= 2}
+
+
 TABLE = 'import React from "react"\nexport function UserTable() { return <AppTable pageSize={1}/> } // table sort filter'
 
 
