@@ -1,4 +1,4 @@
-"""Surfaces in use: their kind, how well a cluster matches them, domain terms, neutral names and workflow actions."""
+"""Surfaces in use: their kind, how well a cluster matches them, domain terms, neutral names, workflow actions and steps."""
 
 from __future__ import annotations
 
@@ -28,6 +28,10 @@ PATH_ACTIONS: list[tuple[str, str]] = [
     ("changed_query_or_migration", r"(^|/)(migrations?|queries?)(/|$)|\.(sql|prisma)$"),
     ("updated_style", r"\.(css|scss|sass|less)$"),
 ]
+STYLE_FILE = PATH_ACTIONS[3][1]
+CLIENT_FILE = r"(^|/)(api|client|clients|services)/|(^|/)(api|client|clients|services)\.(tsx?|jsx?)$|api[-_.]?client"
+CONTRACT_FILE = r"(^|/)(clients?|sdk|contracts?)(/|$)|api[-_.]?client"
+COMPONENT_FILE, COMPONENT_FOLDER = r"\.(tsx?|jsx?|vue|svelte|html)$", r"(^|/)(components?|pages?|screens?|views?)(/|$)"
 ROLE_ACTIONS = {"docs": "updated_docs", "fixture": "updated_fixture"}
 WORD_ACTIONS: list[tuple[str, str]] = [
     ("changed_validation_logic", r"(validat|schema|zod|yup)"),
@@ -116,20 +120,33 @@ def _matching(pattern: str):
     return lambda s: s.rlike(pattern)
 
 
-def file_actions(path: Column, message: Column, types: Column) -> Column:
-    """What a changed file shows: from its path and role, its diff's signal types and its words."""
-    lower = F.lower(path)
-    words = F.lower(F.concat_ws(" ", path, message))
+def action_group(path: Column, kind: Column, direct: Column, supports: Column) -> Column:
+    """source, test or supporting; direct, supports: whether the file belongs to the surface, or is one of its tests and configs."""
     role = file_role(path)
-    found = [F.when(lower.rlike(p), F.lit(a)) for a, p in PATH_ACTIONS] + [F.when(role == r, F.lit(a)) for r, a in ROLE_ACTIONS.items()]
-    found += [F.when(F.arrays_overlap(types, F.array(*map(F.lit, t))), F.lit(a)) for a, t in SIGNAL_ACTIONS] + [F.when(words.rlike(p), F.lit(a)) for a, p in WORD_ACTIONS]
-    found.append(F.when((role == "source") & ~lower.rlike(TEST_FILE) & ~lower.rlike(PATH_ACTIONS[3][1]), F.lit("modified_function")))
-    return F.when(is_noisy(path), F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(F.array(*found), lambda a: a.isNotNull())))
+    documents = (kind == "docs") & direct & (role == "docs")
+    return F.when(F.lower(path).rlike(TEST_FILE), "test").when(documents, "source").when(supports | role.isin("docs", "config", "fixture"), "supporting").otherwise("source")
 
 
-def action_group(path: Column) -> Column:
-    role = file_role(path)
-    return F.when(F.lower(path).rlike(TEST_FILE), "test").when(role.isin("docs", "config", "fixture"), "supporting").otherwise("source")
+def file_actions(path: Column, message: Column, kind: Column, found: Column, options: Column, changed: Column, group: Column) -> Column:
+    """What a changed file shows: by its path and role, its diff's signals, its words and its surface's kind.
+
+    found: array of (type, value) signals of the file; options: its diff adds command
+    options; changed: its diff has lines, or there is none.
+    """
+    lower, role = F.lower(path), file_role(path)
+    types = F.transform(found, lambda s: s["type"])
+    words = F.lower(F.concat_ws(" ", path, message, F.array_join(F.transform(found, lambda s: s["value"]), " ")))
+    commands = lambda flag: F.exists(found, lambda s: (s["type"] == "cli_command_changed") & (s["value"].startswith("--") == flag))
+    checks = [(lower.rlike(p), a) for a, p in PATH_ACTIONS] + [(role == r, a) for r, a in ROLE_ACTIONS.items()]
+    checks += [(F.arrays_overlap(types, F.array(*map(F.lit, t))), a) for a, t in SIGNAL_ACTIONS] + [(words.rlike(p), a) for a, p in WORD_ACTIONS]
+    checks += [
+        (options | commands(True), "added_cli_option"), (commands(False) & (kind == "commands"), "changed_cli_option"),
+        (F.when(kind == "api", lower.rlike(CONTRACT_FILE)).otherwise(lower.rlike(CLIENT_FILE)), "updated_api_client"),
+        ((kind == "ui") & lower.rlike(COMPONENT_FILE) & lower.rlike(COMPONENT_FOLDER), "updated_component"),
+        (changed & (role == "source") & (group == "source") & ~lower.rlike(STYLE_FILE), "modified_function"),
+    ]
+    shown = F.array_distinct(F.filter(F.array(*(F.when(c, F.lit(a)) for c, a in checks)), lambda a: a.isNotNull()))
+    return F.when(is_noisy(path), F.array().cast("array<string>")).otherwise(shown)
 
 
 def action_place(action: Column, kind: Column) -> Column:
@@ -142,17 +159,117 @@ def action_place(action: Column, kind: Column) -> Column:
     return out
 
 
-def workflow_actions(files: DataFrame, keys: list[str], commit: str, kind: Column) -> DataFrame:
-    """Per surface (keys) the actions of enough commits: count, modal group and rank.
+def workflow_actions(files: DataFrame, keys: list[str], commit: str) -> DataFrame:
+    """Per surface (keys) the actions of enough commits: count, five files, modal group and rank.
 
-    files: keys, commit, file_path, message, types (signal types of the file's diff).
+    files: keys, commit, file_path, message, kind, found, options, changed, direct, supports
+    as in ``file_actions`` and ``action_group``; ordinal orders the commits, newest first.
     """
     sizes = files.groupBy(*keys).agg(F.count_distinct(commit).alias("commits"))
-    rows = files.select(*keys, commit, action_group(F.col("file_path")).alias("group"), kind.alias("kind"), F.explode(file_actions(F.col("file_path"), F.col("message"), F.col("types"))).alias("action"))
-    counts = rows.groupBy(*keys, "kind", "action").agg(F.count_distinct(commit).alias("n"))
+    placed = files.withColumn("group", action_group(F.col("file_path"), F.col("kind"), F.col("direct"), F.col("supports")))
+    shown = file_actions(*(F.col(c) for c in ("file_path", "message", "kind", "found", "options", "changed", "group")))
+    rows = placed.select(*keys, commit, "kind", "file_path", "ordinal", "group", F.explode(shown).alias("action"))
+    seen = F.min(F.struct("ordinal", "file_path")).alias("seen")
+    counts = rows.groupBy(*keys, "kind", "action").agg(F.count_distinct(commit).alias("n"), F.slice(F.array_sort(F.collect_set("file_path")), 1, 5).alias("files"), seen)
     place = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("group"))
     modes = rows.groupBy(*keys, "action", "group").agg(F.count("*").alias("g")).withColumn("r", F.row_number().over(Window.partitionBy(*keys, "action").orderBy(F.col("g").desc(), place))).where("r = 1").select(*keys, "action", "group")
     enough = F.least(F.lit(2), F.greatest(F.lit(1), F.ceil(F.col("commits") * F.lit(0.35))))
     kept = counts.join(sizes, keys).where(F.col("n") >= enough).join(modes, [*keys, "action"])
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(action_place(F.col("action"), F.col("kind")), F.col("n").desc(), "action"))
-    return kept.select(*keys, "action", "group", "n", rank.alias("rank"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(action_place(F.col("action"), F.col("kind")), F.col("n").desc(), "seen", "action"))
+    return kept.select(*keys, "kind", "action", "group", "n", "files", rank.alias("rank"))
+
+
+#: Actions at the core of a workflow by kind; other kinds: all of group source or test (fixed values).
+CORE_ACTIONS: dict[str, list[str]] = {
+    "docs": ["updated_docs"],
+    "config": ["changed_config_key", "changed_package_script"],
+    "commands": ["added_cli_option", "changed_cli_option", "modified_function", "added_function", "changed_error_handling", "changed_output_formatting", "added_test_case"],
+    "ui": ["updated_component", "updated_api_client", "updated_style", "modified_function", "changed_error_handling", "changed_output_formatting", "added_test_case"],
+    "api": ["added_route_or_handler", "changed_schema_or_model", "updated_api_client", "changed_validation_logic", "changed_error_handling", "modified_function", "added_test_case"],
+    "database": ["changed_query_or_migration", "changed_schema_or_model", "added_test_case"],
+}
+#: Texts of core steps: for any kind, then those that a kind has instead (fixed values).
+STEP_TEXTS: dict[str, str] = {
+    "added_function": "Add helper functions only where repeated examples introduce new behavior.",
+    "modified_function": "Update source behavior in the learned surface.",
+    "added_type_or_interface": "Update shared types or interfaces used by the surface.",
+    "changed_validation_logic": "Update validation logic alongside the source behavior.",
+    "changed_error_handling": "Update error handling paths for the changed behavior.",
+    "changed_output_formatting": "Update output formatting where the surface renders or prints results.",
+    "changed_config_key": "Update configuration keys that directly support this surface.",
+    "changed_package_script": "Update package scripts only when the surface workflow requires it.",
+    "updated_docs": "Update documentation that directly describes this surface.",
+    "updated_fixture": "Update fixtures that directly support the changed behavior.",
+    "added_test_case": "Add or update tests that cover the changed behavior.",
+}
+KIND_STEP_TEXTS: dict[str, dict[str, str]] = {
+    "commands": {
+        "added_cli_option": "Add or update command option parsing in the command module.",
+        "changed_cli_option": "Update command dispatch, arguments, or option handling.",
+        "modified_function": "Update command handler behavior in the learned command files.",
+        "added_function": "Add command helper functions only when repeated examples do so.",
+        "added_test_case": "Add or update command tests for the changed option or behavior.",
+        "updated_fixture": "Update command fixtures only when output or behavior changes.",
+        "changed_output_formatting": "Update command output formatting when examples change printed results.",
+        "changed_error_handling": "Update command error handling for invalid input or failed execution.",
+    },
+    "ui": {
+        "updated_component": "Update component, screen, or view behavior in the learned UI surface.",
+        "updated_api_client": "Update API/client wiring used by the UI surface.",
+        "updated_style": "Update styles that repeatedly co-change with this UI surface.",
+        "added_test_case": "Add or update UI tests that cover the changed behavior.",
+        "modified_function": "Update UI source behavior in the learned surface.",
+        "changed_output_formatting": "Update display or rendering behavior when examples show formatting changes.",
+        "changed_error_handling": "Update UI error states when examples show error handling changes.",
+    },
+    "api": {
+        "added_route_or_handler": "Update route, controller, or handler behavior in the learned API surface.",
+        "changed_schema_or_model": "Update schema or model code only when it co-changes with the API behavior.",
+        "updated_api_client": "Update client contract or API client wiring when it co-changes.",
+        "changed_validation_logic": "Update request validation alongside the API behavior.",
+        "changed_error_handling": "Update API error handling for the changed route or handler.",
+        "added_test_case": "Add or update API tests that cover the changed behavior.",
+        "modified_function": "Update API source behavior in the learned surface.",
+    },
+    "database": {
+        "changed_query_or_migration": "Update migrations or queries in the learned database surface.",
+        "changed_schema_or_model": "Update schema, model, or entity code together.",
+        "added_test_case": "Add or update tests that cover the database-backed behavior.",
+    },
+    "docs": {"updated_docs": "Update the documentation files in this learned docs surface."},
+}
+#: Texts of supporting steps; others have none (fixed values).
+SUPPORTING_TEXTS: dict[str, str] = {
+    "updated_docs": "Update documentation only if the user-facing behavior changes.",
+    "changed_config_key": "Update configuration only if the source change requires it.",
+    "changed_package_script": "Update package scripts only if validation or developer workflow changes.",
+    "updated_fixture": "Update fixtures only when source behavior or output changes.",
+    "updated_style": "Update styles only when the visible UI behavior changes.",
+}
+COMMAND_DOCS_TEXT = "Update docs/help text only if the command's user-facing behavior changes."
+VALIDATION_TEXT = "Run the primary validation command(s)."
+
+
+def _text_of(texts: dict[str, str], action: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in texts.items() for x in pair))[action]
+
+
+def workflow_steps(actions: DataFrame, keys: list[str], commands: DataFrame | None = None) -> DataFrame:
+    """Per surface its steps in order: five core ones at most and their validation, then five supporting ones.
+
+    actions: from ``workflow_actions``; commands: keys, commands (array of primary ones).
+    """
+    kind, action = F.col("kind"), F.col("action")
+    known = F.create_map(*(x for k, names in CORE_ACTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, names)))))[kind]
+    core = F.when(kind.isin("docs", "config"), F.array_contains(known, action)).when(F.col("group") == "supporting", False).otherwise(F.coalesce(F.array_contains(known, action), F.lit(True)))
+    own = F.coalesce(*(F.when(kind == k, _text_of(texts, action)) for k, texts in KIND_STEP_TEXTS.items()), _text_of(STEP_TEXTS, action))
+    beside = F.when((action == "updated_docs") & (kind == "commands"), F.lit(COMMAND_DOCS_TEXT)).otherwise(_text_of(SUPPORTING_TEXTS, action))
+    told = actions.withColumn("core", core).withColumn("text", F.when(F.col("core"), own).otherwise(beside)).where("text is not null")
+    placed = told.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "core").orderBy("rank"))).where("place <= 5")
+    tier = F.when(F.col("core"), "core").otherwise("supporting")
+    steps = placed.select(*keys, tier.alias("tier"), "place", "action", "text", F.col("n").cast("long").alias("n"), F.slice("files", 1, 3).alias("files"))
+    if commands is None:
+        return steps
+    last = steps.where("tier = 'core'").groupBy(*keys).agg(F.max("place").alias("last")).join(commands.where(F.size("commands") > 0), keys)
+    check = last.select(*keys, F.lit("core").alias("tier"), (F.col("last") + 1).alias("place"), F.lit("validation").alias("action"), F.lit(VALIDATION_TEXT).alias("text"), F.size("commands").cast("long").alias("n"), F.col("commands").alias("files"))
+    return steps.unionByName(check)

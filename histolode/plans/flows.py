@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, rules
-from ..operators import cochange, joins, lifecycle, render, signals, workflow
+from ..operators import cochange, joins, lifecycle, naming, render, signals, workflow
 from .bindings import COMMIT_FILE, bind, literal, plain, sql_directory, sql_fixed2, sql_match
 from .graph import _PAIRS
 from .paths import NOISY, PATH_SIGNALS, ROLE, N
@@ -110,31 +110,138 @@ def p12_neutral_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("repo_id", "commit_id", workflow.neutral_name(c("signals"), area, (c("commit_id") % 10).cast("double") / 10, F.when(c("commit_id") % 3 == 0, "Audit"), F.lit(True)).alias("name"))
 
 
-_CHANGED = f"select repo_id, commit_id, file_path, case commit_id % 4 when 0 then 'Fix error output' when 1 then 'Validate input' else 'Work' end as message, case commit_id % 5 when 0 then 'config_changed' when 1 then 'function_added' when 2 then 'api_route_changed' when 3 then 'schema_changed' else 'enum_added' end as type from ({COMMIT_FILE})"
-
-
-def _sql_actions() -> str:
-    words = "lower(concat_ws(' ', file_path, message))"
-    found = [f"case when {sql_match('lower(file_path)', p)} then '{a}' end" for a, p in workflow.PATH_ACTIONS] + [f"case when role = '{r}' then '{a}' end" for r, a in workflow.ROLE_ACTIONS.items()]
-    found += [f"case when type in ({', '.join(map(literal, t))}) then '{a}' end" for a, t in workflow.SIGNAL_ACTIONS] + [f"case when {sql_match(words, p)} then '{a}' end" for a, p in workflow.WORD_ACTIONS]
-    found.append(f"case when role = 'source' and not {sql_match('lower(file_path)', workflow.TEST_FILE)} and not {sql_match('lower(file_path)', workflow.PATH_ACTIONS[3][1])} then 'modified_function' end")
-    return f"case when noisy then [] else list_distinct(list_filter([{', '.join(found)}], lambda x: x is not null)) end"
-
-
-_PLACES = "case action " + " ".join(f"when '{a}' then {by.get('api', usual)}" for a, (usual, by) in workflow.ACTION_PLACES.items()) + " else 99 end"
-
-
-@query("w1_workflow_actions", f"""
-with f as (select *, {ROLE} as role, {NOISY} as noisy, {sql_directory(N)} as surface from ({plain(_CHANGED)})),
-g as (select *, case when {sql_match('lower(file_path)', workflow.TEST_FILE)} then 'test' when role in ('docs', 'config', 'fixture') then 'supporting' else 'source' end as "group" from f),
-s as (select surface, count(distinct commit_id) as commits from f group by 1),
-r as (select surface, commit_id, "group", unnest({_sql_actions()}) as action from g),
-n as (select surface, action, count(distinct commit_id) as n from r group by 1, 2),
-m as (select surface, action, "group" from r group by 1, 2, 3 qualify row_number() over (partition by surface, action order by count(*) desc, case "group" when 'source' then 0 when 'test' then 1 else 2 end) = 1)
-select surface, action, "group", n, row_number() over (partition by surface order by {_PLACES}, n desc, action)::int as rank from n join s using (surface) join m using (surface, action) where n >= least(2, greatest(1, ceil(commits * 0.35::double)))""")
+#: Changed files of commits with one diff signal each; surfaces are directories.
+_MOVED = "case when file_path like 'ui/%' and commit_id % 3 = 0 then replace(file_path, '/components/', '/api/') when file_path like 'ui/%' and commit_id % 5 = 0 then replace(file_path, '.component.ts', '.scss') else file_path end"
+_CHANGED = f"""
+select repo_id, commit_id, {_MOVED} as file_path, case commit_id % 4 when 0 then 'Fix error output' when 1 then 'Validate input' else 'Work' end as message,
+  case when file_path like 'src/commands/%' then 'commands' when file_path like 'ui/%' then 'ui' when file_path like 'server/%' then 'api' when file_path like 'migrations/%' then 'database' when file_path like 'config/%' then 'config'
+    when file_path like 'docs/%' then 'docs' when file_path like 'tests/%' then 'tests' else 'source-workflow' end as kind,
+  case commit_id % 6 when 0 then 'config_changed' when 1 then 'function_added' when 2 then 'api_route_changed' when 3 then 'schema_changed' when 4 then 'enum_added' else 'cli_command_changed' end as type,
+  case when commit_id % 12 = 5 then '--flag' else 'go' end as value, commit_id % 7 = 0 and file_path like 'src/%' as options, commit_id % 13 <> 0 as changed, commit_id % 11 = 0 as supports, true as direct, -commit_id as ordinal
+from ({COMMIT_FILE})"""
+#: Written out by hand, not made of the operator's tables.
+_DUCK_ACTIONS = """
+changed as ({changed}),
+g as (select *, {directory} as surface, case when file_path like 'tests/%' then 'test' when file_path like 'docs/%' then 'source' when supports or file_path like 'config/%' then 'supporting' else 'source' end as "group",
+  file_path like 'src/%' or file_path like 'ui/%' or file_path like 'server/%' or file_path like 'migrations/%' as is_source from changed where file_path not like 'reports/%'),
+shown as (
+  select *, 'added_test_case' as action, 12 as usual from g where file_path like 'tests/%'
+  union all select *, 'updated_docs', case when kind = 'docs' then 0 else 14 end from g where file_path like 'docs/%'
+  union all select *, 'changed_config_key', 10 from g where type = 'config_changed'
+  union all select *, 'added_route_or_handler', case when kind = 'api' then 0 else 6 end from g where type = 'api_route_changed'
+  union all select *, 'changed_schema_or_model', case when kind in ('api', 'database') then 2 else 8 end from g where type = 'schema_changed'
+  union all select *, 'changed_query_or_migration', case when kind = 'database' then 1 else 8 end from g where file_path like 'migrations/%'
+  union all select *, 'changed_validation_logic', 3 from g where message = 'Validate input'
+  union all select *, 'changed_error_handling', 7 from g where message = 'Fix error output'
+  union all select *, 'changed_output_formatting', 8 from g where message = 'Fix error output'
+  union all select *, 'added_function', 5 from g where type = 'function_added'
+  union all select *, 'added_type_or_interface', 6 from g where type = 'enum_added'
+  union all select *, 'added_cli_option', case when kind = 'commands' then 0 else 4 end from g where options or (type = 'cli_command_changed' and value = '--flag')
+  union all select *, 'changed_cli_option', 1 from g where type = 'cli_command_changed' and value = 'go' and kind = 'commands'
+  union all select *, 'updated_api_client', 1 from g where file_path like 'ui/src/api/%'
+  union all select *, 'updated_component', 0 from g where file_path like 'ui/src/components/%' and file_path like '%.ts'
+  union all select *, 'updated_style', 4 from g where file_path like '%.scss'
+  union all select *, 'modified_function', 4 from g where changed and is_source and "group" = 'source' and file_path not like '%.scss'),
+commits as (select repo_id, surface, count(distinct commit_id) as commits from (select *, {directory} as surface from changed) group by 1, 2),
+n as (select repo_id, surface, kind, action, min(usual) as usual, count(distinct commit_id) as n, list_sort(list(distinct file_path))[1:5] as files, min((ordinal, file_path)) as seen from shown group by 1, 2, 3, 4),
+m as (select repo_id, surface, action, "group" from shown group by 1, 2, 3, 4 qualify row_number() over (partition by repo_id, surface, action order by count(*) desc, case "group" when 'source' then 0 when 'test' then 1 else 2 end) = 1),
+actions as (select repo_id, surface, kind, action, "group", n, files, row_number() over (partition by repo_id, surface order by usual, n desc, seen, action)::int as rank
+  from n join commits using (repo_id, surface) join m using (repo_id, surface, action) where n >= least(2, greatest(1, ceil(commits * 0.35::double))))""".replace("{changed}", plain(_CHANGED)).replace("{directory}", sql_directory("file_path"))
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = bind(spark, sf_dir, _CHANGED).withColumn("surface", expr.directory_of(c("file_path"))).withColumn("found", F.array(F.struct("type", "value")))
+    return workflow.workflow_actions(f, ["repo_id", "surface"], "commit_id")
+
+
+@query("w1_workflow_actions", f"""with {_DUCK_ACTIONS} select repo_id, surface, action, "group", n, array_to_string(files, '|') as files, rank from actions""")
 def w1_workflow_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = bind(spark, sf_dir, _CHANGED).withColumn("surface", expr.directory_of(c("file_path"))).withColumn("types", F.array("type"))
-    return workflow.workflow_actions(f, ["surface"], "commit_id", F.lit("api"))
+    return _actions(spark, sf_dir).select("repo_id", "surface", "action", "group", "n", F.array_join("files", "|").alias("files"), "rank")
+
+
+@query("w2_workflow_steps", f"""
+with {_DUCK_ACTIONS},
+cored as (select *, case when kind = 'docs' then action = 'updated_docs' when kind = 'config' then action = 'changed_config_key' when "group" = 'supporting' then false
+    when kind = 'commands' then action in ('added_cli_option', 'changed_cli_option', 'modified_function', 'added_function', 'changed_error_handling', 'changed_output_formatting', 'added_test_case')
+    when kind = 'ui' then action in ('updated_component', 'updated_api_client', 'updated_style', 'modified_function', 'changed_error_handling', 'changed_output_formatting', 'added_test_case')
+    when kind = 'api' then action in ('added_route_or_handler', 'changed_schema_or_model', 'updated_api_client', 'changed_validation_logic', 'changed_error_handling', 'modified_function', 'added_test_case')
+    when kind = 'database' then action in ('changed_query_or_migration', 'changed_schema_or_model', 'added_test_case') else true end as core from actions),
+told as (select *, case when core then action not in ('added_cli_option', 'changed_cli_option', 'added_route_or_handler', 'updated_component', 'updated_api_client', 'changed_schema_or_model', 'changed_query_or_migration', 'updated_style')
+    or (kind = 'commands' and action in ('added_cli_option', 'changed_cli_option')) or (kind = 'ui' and action in ('updated_component', 'updated_api_client', 'updated_style'))
+    or (kind = 'api' and action in ('added_route_or_handler', 'changed_schema_or_model', 'updated_api_client')) or (kind = 'database' and action in ('changed_query_or_migration', 'changed_schema_or_model'))
+  else action in ('updated_docs', 'changed_config_key', 'updated_style') end as has_text from cored),
+placed as (select *, row_number() over (partition by repo_id, surface, core order by rank)::int as place from told where has_text),
+kept as (select repo_id, surface, case when core then 'core' else 'supporting' end as tier, place, action, n from placed where place <= 5),
+checks as (select repo_id, surface, 'core' as tier, max(place) + 1 as place, 'validation' as action, 1 as n from kept where tier = 'core' and surface like '%s%' group by 1, 2)
+select * from kept union all select * from checks""")
+def w2_workflow_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _actions(spark, sf_dir)
+    commands = found.select("repo_id", "surface").distinct().withColumn("commands", F.when(c("surface").contains("s"), F.array(F.lit("npm test"))).otherwise(F.array().cast("array<string>")))
+    return workflow.workflow_steps(found, ["repo_id", "surface"], commands).select("repo_id", "surface", "tier", "place", "action", "n")
+
+
+_TASKS = """
+select p_partkey as id, element_at(array('frontend', 'cli', 'backend', 'db', 'infra', 'docs', 'tests', 'mixed', 'unknown'), cast(p_partkey % 9 as int) + 1) as area,
+  case p_partkey % 4 when 0 then 'api_route_changed' when 1 then 'ci_changed' when 2 then 'background_job_changed' else 'unit_test_changed' end as signal,
+  case p_size % 5 when 0 then 'audit' when 1 then 'ledger-entry' when 2 then 'report' when 3 then 'grid' else 'service' end as term,
+  case p_partkey % 2 when 0 then 'Backend Pattern' else 'Command Surface' end as category,
+  element_at(array('commands', 'ui', 'api', 'database', 'config', 'docs', 'tests', 'source-workflow'), cast(p_size % 8 as int) + 1) as kind, cast(p_partkey % 10 as double) / 10 as share, p_partkey % 7 < 4 as has_surface
+from {part}"""
+_DUCK_TASKS = plain(_TASKS).replace("element_at(array(", "list_extract(list_value(")
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bind(spark, sf_dir, _TASKS).withColumn("signals", F.array("signal")).withColumn("terms", F.array("term")).withColumn("files", F.array(F.lit("lib/x.go"), F.lit("cmd/x.go")))
+    of = F.struct("kind", F.lit(0.9).alias("confidence"), c("share").alias("match_share"), F.array("term").alias("source_terms"), F.lit("src/billing/invoices").alias("directory"), F.lit("Invoices Surface").alias("display_name"), F.array(F.lit("src/billing/invoices/pay.go")).alias("representative_files"))
+    t = t.withColumn("surface", F.when(c("has_surface"), of))
+    return t.withColumn("name", naming.task_name(*(c(x) for x in ("area", "signals", "files", "terms", "category", "surface"))))
+
+
+_NAMED = f"""
+t as ({_DUCK_TASKS}),
+d as (select *, case when term = 'service' then '' when term = 'report' then 'Reporting' when term = 'ledger-entry' then 'Ledger Entry' else upper(term[1]) || term[2:] end as feature,
+  case when term = 'report' then 'Reporting' when term = 'ledger-entry' then 'Ledger Entry' else upper(term[1]) || term[2:] end as domain,
+  has_surface and case when share >= 0.65 then true else area in ('tests', 'mixed', 'unknown') or category = 'Backend Pattern' or signal = 'unit_test_changed' end as of_surface from t),
+named as (select *, case when of_surface then
+    case kind when 'commands' then 'Update Commands' when 'ui' then case term when 'grid' then 'Update Grid UI' else 'Update ' || domain || ' UI' end when 'api' then 'Update ' || domain || ' API Behavior' when 'database' then 'Update ' || domain || ' Database Schema'
+      when 'config' then 'Update ' || domain || ' Runtime Configuration' when 'docs' then 'Update ' || domain || ' Documentation' when 'tests' then 'Update ' || domain || ' Tests' else 'Update ' || domain || ' Billing Invoices Workflow' end
+  when area = 'frontend' then case when feature = 'Reporting' then 'Update Reporting Dashboard UI' when feature = '' then 'Update UI Component' else 'Update ' || feature || ' UI' end
+  when area = 'cli' then 'Add CLI Command'
+  when area = 'backend' then case when signal = 'api_route_changed' then case when feature = '' then 'Update Backend API Behavior' else 'Update ' || feature || ' Backend API Behavior' end
+    when signal = 'background_job_changed' then case when feature = '' then 'Add or Update Async Job or Event Handler' else 'Add or Update ' || feature || ' Async Job or Event Handler' end
+    else case when feature = '' then 'Update Backend Behavior' else 'Update ' || feature || ' Backend Behavior' end end
+  when area = 'db' then case when feature = '' then 'Add Database-Backed Feature' else 'Add or Update ' || feature || ' Database-Backed Feature' end
+  when area = 'infra' then case when signal = 'ci_changed' then case when feature = '' then 'Update Build or CI Configuration' else 'Update ' || feature || ' Build or CI Configuration' end
+    else case when feature = '' then 'Update Runtime Configuration' else 'Update ' || feature || ' Runtime Configuration' end end
+  when area = 'docs' then case when feature = '' then 'Update Project Documentation' else 'Update ' || feature || ' Documentation' end
+  when area = 'tests' then case when feature = '' then 'Update Tests' else 'Update ' || feature || ' Tests' end
+  else case when feature = '' then 'Update Engineering Workflow' else 'Update ' || feature || ' Change Workflow' end end as name from d)"""
+
+
+@query("p7_task_names", f"with {_NAMED} select id, name from named")
+def p7_task_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tasks(spark, sf_dir).select("id", "name")
+
+
+@query("p8_task_descriptions", f"""
+with {_NAMED},
+e as (select *, case when area not in ('mixed', 'unknown') then area when has_surface and share >= 0.65 and kind <> 'source-workflow'
+    then case kind when 'commands' then 'cli' when 'ui' then 'frontend' when 'api' then 'backend' when 'database' then 'db' when 'config' then 'infra' else kind end
+  when signal = 'api_route_changed' then 'backend' when signal = 'ci_changed' then 'infra' when signal = 'unit_test_changed' then 'tests' else area end as own from named),
+f as (select *, case when own = 'cli' or feature = '' then '' else lower(feature) || ' ' end as f from e)
+select id, case when has_surface and (of_surface or category = 'Command Surface') then 'Use this for changes to the learned Invoices Surface under src/billing/invoices, including examples like pay.'
+  when name in ('Update Reporting Dashboard UI', 'Add or Update Reporting Workbench UI') then 'Use this for reporting dashboard/workbench UI changes involving UI components, UI API wiring, and UI tests.'
+  when own = 'frontend' then 'Use this for ' || case when f = '' then 'UI component or screen' else f || 'UI' end || ' changes involving components, screens, API client wiring, or related UI tests.'
+  when own = 'cli' then 'Use this for CLI command changes involving command registration, option parsing, handlers, and tests.'
+  when own = 'backend' then 'Use this for ' || f || 'backend' || case when signal = 'api_route_changed' then ' API route, controller, service, handler, and test changes.' else ' service, handler, middleware, and test changes.' end
+  when own = 'db' then 'Use this for ' || f || 'database-backed changes involving migrations, schema/model updates, queries, repositories, and tests.'
+  when own = 'infra' then 'Use this for ' || case when f = '' then 'runtime, build, CI, or infrastructure configuration' else f || 'runtime or build configuration' end || ' changes with matching validation commands from the owning project.'
+  when own = 'docs' then 'Use this for ' || case when f = '' then 'project documentation' else f || 'documentation' end || ' updates involving README, docs, changelog, or design-note files.'
+  when own = 'tests' then 'Use this for ' || case when f = '' then 'test coverage' else f || 'tests' end || ' changes involving focused test cases, fixtures, and nearby source examples.'
+  else 'Use this for repeated repository changes where the examples and evidence show a concrete source/test workflow.' end as description from f""")
+def p8_task_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = naming.task_description(*(c(x) for x in ("name", "area", "signals", "files", "terms", "category", "surface")))
+    return _tasks(spark, sf_dir).select("id", told.alias("description"))
 
 
 _FILES_OF = "select o_custkey as id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) as place, o_orderkey as file, o_orderstatus = 'F' as is_test from {orders}"
