@@ -6,15 +6,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr
-from .operators import candidates, classify, clusters, cochange, diff, families, fingerprints, joins, signals
+from .operators import classify, clusters, cochange, diff, families, fingerprints, joins, lifecycle, mining, render, signals
 from .functions.tables import Tables
-from .sources import git, projects
+from .sources import git, projects, store
 
 
 @dataclass
@@ -51,14 +51,18 @@ def scan(spark: SparkSession, repositories: list[str], limit: int = git.DEFAULT_
     areas = classify.commit_areas(files, keys)
     commits = tables.keep(log.drop("diff", "listing").join(summary, keys).join(areas, keys, "left").withColumn("short_hash", F.substring("hash", 1, 7)), "commits")
     pairs = tables.keep(cochange.cochange_pairs(files, ["repo_id"], "hash"), "pairs")
-    surfaces = tables.keep(cochange.learn_surfaces(files, ["repo_id"], "hash", pairs), "surfaces")
+    offered = spark.createDataFrame([(root, projects.validation_commands(root)) for root in repositories], "repo_id string, commands array<string>")
+    touched = cochange.directory_frequency(files, ["repo_id"], "hash", keep=None).select("repo_id", F.col("directory").alias("surface"))
+    counted = touched.join(offered, "repo_id").select("repo_id", "surface", F.size("commands").alias("n_commands"))
+    surfaces = tables.keep(cochange.learn_surfaces(files, ["repo_id"], "hash", pairs, counted), "surfaces")
     sources = spark.read.format("source_tree").option("path", paths).load()
     prints = fingerprints.eligible(tables.keep(fingerprints.fingerprint(sources).drop("text"), "fingerprints"))
     best = tables.keep(families.best_earlier(prints, ["repo_id"]), "best")
     grouped = families.families(best, ["repo_id"])
     summaries = tables.keep(families.summarise(prints, grouped, best, ["repo_id"]), "families")
     clustered = tables.keep(_clusters(commits, files, surfaces), "clusters")
-    mined = tables.keep(_candidates(commits, files, surfaces, clustered), "candidates")
+    mined = mining.mine(commits, files, in_diff, found, surfaces, mining.surface_words(files, commits), clustered, offered)
+    mined = tables.keep(mining.without_repeats(tables.keep(mined, "mined")), "candidates")
     return Scan(
         commits, files, found, classify.repeated_path_patterns(files, ["repo_id"], "hash"), cochange.file_frequency(files, ["repo_id"], "hash"), cochange.directory_frequency(files, ["repo_id"], "hash"),
         pairs, surfaces, prints, summaries, clustered, mined,
@@ -74,47 +78,73 @@ def _clusters(commits: DataFrame, files: DataFrame, surfaces: DataFrame) -> Data
     return clusters.cluster_commits(rows.select("repo_id", "ordinal", "hash", signals.shape(F.col("generic_signals")).alias("shape"), F.coalesce("surfaces", none).alias("surfaces"), F.coalesce("directories", none).alias("directories")), "repo_id")
 
 
-def _candidates(commits: DataFrame, files: DataFrame, surfaces: DataFrame, clustered: DataFrame) -> DataFrame:
-    """One row per cluster of two commits or more, scored, named, matched with a surface and promoted."""
-    keys = ["repo_id", "cluster"]
-    members = clustered.where("cluster_size >= 2").join(commits, ["repo_id", "hash"])
-    totals = commits.groupBy("repo_id").agg(F.count("*").alias("total"))
-
-    def most(rows: DataFrame, value: str) -> DataFrame:
-        counted = rows.groupBy(*keys, value).agg(F.count_distinct("hash").alias("n"))
-        return counted.groupBy(*keys).agg(F.max("n").alias(f"top_{value}"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(value).alias("v")))), 1, 8), lambda x: x["v"]).alias(f"{value}s"))
-
-    signal_rows = members.select(*keys, "hash", F.explode(signals.shape(F.col("generic_signals"))).alias("signal"))
-    file_rows = members.select(*keys, "hash").join(files.select("repo_id", "hash", "file_path", expr.directory_of(F.col("file_path")).alias("directory"), classify.is_noisy(F.col("file_path")).alias("noisy"), classify.file_role(F.col("file_path")).alias("role")), ["repo_id", "hash"])
-    artifacts = file_rows.groupBy(*keys).agg(F.avg(F.col("noisy").cast("double")).alias("artifacts"), F.count_distinct(F.when(F.col("role").isin("source", "test"), F.col("file_path"))).alias("files"), F.max((F.col("role") == "test").cast("int")).alias("tests"), F.max((F.col("role") == "source").cast("int")).alias("sources"))
-    hits = joins.commits_of_directories(files, surfaces, ["repo_id"], "hash").join(clustered, ["repo_id", "hash"]).groupBy(*keys, "surface").agg(F.count_distinct("hash").alias("hits"))
-    sized = members.groupBy(*keys).agg(F.count("*").alias("commits"), F.min("ordinal").alias("newest"), F.array_sort(F.collect_set("hash")).alias("evidence"))
-    match = hits.join(sized.select(*keys, "commits"), keys).join(surfaces.select("repo_id", "surface", F.col("confidence").alias("surface_confidence"), F.size("test_files").alias("surface_tests")), ["repo_id", "surface"])
-    share = F.col("hits") / F.col("commits")
-    score = expr.to_fixed2(F.least(F.lit(0.98), F.col("surface_confidence") * 0.42 + share * 0.34 + F.lit(0.16) + F.when(F.col("surface_tests") > 0, 0.05).otherwise(0.0)))
-    best = match.withColumn("surface_share", share).where("surface_share >= 0.4").withColumn("match", score)
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("match").desc(), F.length("surface").desc(), "surface"))).where("r = 1").select(*keys, "surface", "match", "surface_share")
-    c = sized.join(totals, "repo_id").join(most(signal_rows, "signal"), keys, "left").join(most(file_rows, "directory"), keys, "left").join(artifacts, keys, "left").join(best, keys, "left")
-    pattern = candidates.pattern_confidence(F.col("commits"), F.coalesce("top_signal", F.lit(0)), F.coalesce("top_directory", F.lit(0)), F.col("total"))
+def explain(scanned: Scan, wanted: str) -> str:
+    """Why the candidate of an id or name is what it is."""
+    rows = scanned.candidates.where((F.col("id") == wanted) | (expr.slug(F.col("name")) == wanted)).limit(1).collect()
+    known = [] if rows else [r["id"] for r in scanned.candidates.select("id").orderBy("id").toLocalIterator()]
+    return render.explanation(rows[0].asDict(True) if rows else None, wanted, known)
+
+
+def generate(scanned: Scan, root: str) -> dict[str, int]:
+    """Writes the skill, draft and pattern documents of one scanned repository, its registry rows and guidance index."""
+    own = scanned.candidates.where(F.col("repo_id") == root)
+    head = scanned.commits.where((F.col("repo_id") == root) & (F.col("ordinal") == 0)).select("hash").first()
+    documents = (r.asDict() for r in render.documents(own).toLocalIterator())
+    return store.Store(root).generate(documents, (_registry_row(r.asDict(True), head[0] if head else "unknown") for r in own.toLocalIterator()), {"Commits analyzed": scanned.commits.where(F.col("repo_id") == root).count(), "Repeated path patterns": scanned.patterns.where(F.col("repo_id") == root).count(), "Generated at": store.now()})
+
+
+def _registry_row(c: dict, head: str) -> dict:
+    draft = c["promotion_level"] == "draft"
+    return {
+        "skill_id": c["id"], "name": c["name"], "task_description": c["description"], "generated_from_head": head, "evidence_commits": [{"hash": h, "line": x} for h, x in list(zip(c["evidence"], c["evidence_lines"], strict=True))[:20]],
+        "generic_signals": c["signals"], "common_directories": c["directories"], "dominant_terms": c["terms"], "validation_commands": c["commands"], "pattern_confidence": c["pattern_confidence"], "naming_confidence": c["naming_confidence"],
+        "workflow_quality": c["workflow_quality"], "promotion_level": c["promotion_level"], "status": "draft" if draft else "fresh", "managed_by": "engine", "human_approved": False, "drift_reasons": [], "surface": c["surface"],
+    }
+
+
+def evaluated(spark: SparkSession, scanned: Scan, root: str) -> dict[str, dict]:
+    """By skill id: the status, drift reasons and command warnings that the commits since its head give."""
+    rows = store.registry(spark, [root]).where("promotion_level != 'draft'")
+    registry = rows.select("repo_id", "skill_id", "status", F.col("generated_from_head").alias("head"), F.col("generic_signals").alias("own_signals"), F.col("common_directories").alias("own_directories"), F.col("dominant_terms").alias("own_words"), "validation_commands")
+    keys = ["repo_id", "hash"]
+    directories = scanned.files.where(F.col("repo_id") == root).groupBy(*keys).agg(F.array_sort(F.collect_set(expr.directory_of(F.col("file_path")))).alias("directories"))
     none = F.array().cast("array<string>")
-    named = candidates.category(F.coalesce("signals", none), F.lit(False), F.lit(True), F.lit(0.0), F.lit(False))
-    c = c.withColumn("pattern_confidence", pattern).withColumn("k", named).withColumn("tested", F.coalesce(F.col("tests") > 0, F.lit(False))).withColumn("sourced", F.coalesce(F.col("sources") > 0, F.lit(False)))
-    naming = candidates.naming_confidence(F.col("k.confidence"), F.col("commits"), F.col("tested") & F.col("sourced"), F.col("match"), F.lit(1), F.coalesce("artifacts", F.lit(0.0)), F.lit(True))
-    quality = candidates.profile_quality(F.size(F.coalesce("signals", none)), F.col("sourced").cast("int"), F.col("tested").cast("int"), F.lit(0), F.size(F.coalesce("directorys", none)), F.col("surface").isNull(), F.col("commits"), F.coalesce("artifacts", F.lit(0.0)))
-    c = c.withColumn("naming_confidence", naming).withColumn("workflow_quality", quality)
-    zero = lambda n: F.coalesce(n, F.lit(0.0))
-    of = {"commits": F.col("commits"), "pattern": F.col("pattern_confidence"), "naming": F.col("naming_confidence"), "surface": zero("match"), "surface_share": zero("surface_share"), "artifacts": zero("artifacts"), "quality": F.col("workflow_quality"), "files": F.coalesce("files", F.lit(0)), "has_workflow": F.col("surface").isNotNull(), "junk_name": F.lit(False), "task_evidence": F.col("sourced"), "tested": F.col("tested")}
-    c = c.withColumn("p", candidates.promotion(of, F.col("surface").isNotNull()))
-    name = F.when(F.col("surface").isNotNull(), F.concat(F.lit("Update "), expr.title(F.regexp_replace(expr.base_name(F.col("surface")), "_", " ")), F.lit(" "), F.col("k.category"))).otherwise(F.col("k.fallback"))
-    out = c.select(*keys, name.alias("name"), F.col("p.level").alias("promotion_level"), F.col("p.reasons").alias("promotion_reasons"), "pattern_confidence", "naming_confidence", "workflow_quality", F.coalesce("artifacts", F.lit(0.0)).alias("artifact_share"), "surface", F.coalesce("signals", none).alias("signals"), F.coalesce("directorys", none).alias("directories"), "evidence", "newest")
-    return candidates.unique_ids(out.withColumn("id", expr.slug(F.col("name"), "candidate")), ["repo_id"], [F.col("pattern_confidence").desc(), F.col("cluster")])
-
-
-def explain(scanned: Scan, wanted: str) -> DataFrame:
-    """The candidate of an id or name, with the messages of its evidence."""
-    row = scanned.candidates.where((F.col("id") == wanted) | (expr.slug(F.col("name")) == wanted))
-    evidence = row.select("repo_id", "id", "name", "promotion_level", "promotion_reasons", F.explode("evidence").alias("hash"))
-    return evidence.join(scanned.commits.select("repo_id", "hash", "short_hash", "message", "ordinal"), ["repo_id", "hash"]).orderBy("ordinal")
+    commits = scanned.commits.join(directories, keys, "left").select("repo_id", "hash", "ordinal", F.col("generic_signals").alias("signals"), F.coalesce("directories", none).alias("directories"), F.col("message_terms").alias("words"))
+    found = lifecycle.evaluate(registry.drop("validation_commands"), commits, "repo_id").collect()  # a row per skill of one repository
+    offered, asked = projects.validation_commands(root), {r["skill_id"]: r["validation_commands"] or [] for r in registry.select("skill_id", "validation_commands").collect()}
+    head = scanned.commits.where((F.col("repo_id") == root) & (F.col("ordinal") == 0)).select("hash").first()
+    out = {}
+    for r in found:
+        gone = sorted(set(asked[r["skill_id"]]) ^ set(offered)) if asked[r["skill_id"]] else []
+        status = "drifting" if gone and r["status"] in ("fresh", "stale") else r["status"]
+        out[r["skill_id"]] = {"status": status, "drift_reasons": list(r["drift_reasons"]), "validation_warnings": [f"Validation commands changed: {', '.join(gone)}."] * bool(gone)}
+        if r["supporting"] and head:
+            out[r["skill_id"]]["generated_from_head"] = head[0]
+    return out
+
+
+def refresh(spark: SparkSession, scanned: Scan, root: str) -> str:
+    """Evaluates the repository's skills, writes what has changed and returns the life-cycle report."""
+    rows = store.Store(root).refresh(evaluated(spark, scanned, root))
+    store.apply(root, existing_only=True)
+    return render.lifecycle_report(_head(scanned, root), rows)
+
+
+def validate(spark: SparkSession, scanned: Scan, root: str) -> str:
+    """The same report without writing anything."""
+    changes = evaluated(spark, scanned, root)
+    return render.lifecycle_report(_head(scanned, root), [r | changes.get(r["skill_id"], {}) for r in store.Store(root).rows("skills")])
+
+
+def _head(scanned: Scan, root: str) -> str:
+    row = scanned.commits.where((F.col("repo_id") == root) & (F.col("ordinal") == 0)).select("hash").first()
+    return row[0] if row else "unknown"
+
+
+def cache(scanned: Scan, root: str) -> str:
+    """Writes the stages of a scan as JSON lines, and the report, to the repository's cache folder."""
+    stages = {f.name: getattr(scanned, f.name) for f in fields(scanned) if f.name in ("commits", "patterns", "pairs", "surfaces", "fingerprints", "families", "candidates")}
+    return store.cache(stages, root, {"report.txt": report(scanned)})
 
 
 def report(scanned: Scan) -> str:
@@ -132,4 +162,4 @@ def commands_of(root: str) -> list[str]:
     return projects.validation_commands(root)
 
 
-__all__ = ["Scan", "commands_of", "explain", "report", "scan"]
+__all__ = ["Scan", "cache", "commands_of", "explain", "generate", "refresh", "report", "scan", "validate"]

@@ -275,11 +275,11 @@ def test_transition_of_a_skill_that_is_no_draft_fails(spark):
         lifecycle.transition(registry, action, ["skill_id"]).collect()
 
 
-def test_index_lists_every_candidate(spark):
-    rows = [(f"c{i:03}", f"Skill {i % 7}", ("draft", "agent_ready", "pattern_candidate")[i % 3]) for i in range(750)]
-    found = render.index_lines(spark.createDataFrame(rows, "id string, name string, promotion_level string").repartition(5))
-    assert found == [f"- [{name}]({folder}/{i}/SKILL.md)" for level, folder in (("agent_ready", "skills"), ("draft", "draft-skills")) for name, i in sorted((n, i) for i, n, x in rows if x == level)]
-    assert render.index_lines(spark.createDataFrame(rows[2:3], "id string, name string, promotion_level string")) == ["- None"]
+def test_every_approved_skill_and_draft_is_listed():
+    rows = [{"skill_id": f"s{i}", "name": f"Skill {i}", "task_description": "Do it."} for i in range(300)]
+    lines = render.managed_lines(rows, rows[:2], 1)
+    assert sum(x.startswith("- [Skill") for x in lines) == 302 and "- 1 pattern candidate in [.histolode/patterns/](.histolode/patterns/). They are no agent-ready skills." in lines
+    assert "- None." in render.managed_lines([], [], 0) and "- No pattern candidates found." in render.managed_lines([], [], 0)
 
 
 def test_managed_section(spark):
@@ -297,7 +297,9 @@ def test_examples_prefer_sources(spark):
     assert [r["place"] for r in render.examples(df, ["k"]).orderBy("rank").collect()] == [0, 1, 2, 3, 6]
 
 
-def test_banner_is_replaced(spark):
-    first = one(spark, render.with_banner(F.lit("# T"), F.lit("fresh"), F.lit(False), F.lit("d1")))
-    second = one(spark, render.with_banner(F.lit(first), F.lit("stale"), F.lit(True), F.lit("d2")))
-    assert second.count("> Status") == 1 and "human-approved" in second and second.endswith("# T")
+def test_banners_are_replaced():
+    row = {"status": "stale", "last_refreshed_at": "d1", "evidence_commits": [1], "generated_from_head": "h"}
+    first = render.with_banner("# T\n\n---\nrule", row)
+    assert first.startswith("Status: stale\nGenerated from HEAD: h\nLast refreshed: d1\nEvidence commits: 1\nWarning") and first.endswith("---\n# T\n\n---\nrule")
+    second = render.with_banner(first, row | {"status": "fresh", "human_approved": True, "approved_by": "me"})
+    assert second.startswith("Status: human-approved\n") and second.count("Status:") == 1 and "Approved by: me\nHuman approved: true\n---\n# T" in second
\ No newline at end of file

@@ -53,7 +53,10 @@ def test_scan_end_to_end(spark, repository):
     assert [r["surface"] for r in scanned.surfaces.collect()] == ["src/api"]
     best = scanned.candidates.orderBy("newest").first()
     assert len(best["evidence"]) == 4 and best["surface"] == "src/api"
-    assert api.explain(scanned, best["id"]).count() == 4
+    assert best["kind"] == "api" and best["core_steps"] and "shared" in best["description"]
+    told = api.explain(scanned, best["id"])
+    assert told.startswith(f"Explain: {best['name']}") and told.count("Add user route") == 4 and "Task kind: api" in told
+    assert api.explain(scanned, "none").startswith("Skill not found: none")
     assert "Commits analyzed: 4" in api.report(scanned)
 
 
