@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from pathlib import Path
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,80 +10,28 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship as _ship
+from ..functions.tables import Tables as Scratch
+
 #: White space between words and around lines; every operator uses this set.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_local_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; in local mode alone a temporary one if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="histolode-")
-        context.setCheckpointDir(_local_roots[app])
-    return "file://" + _local_roots[app]
-
-
-#: Removes the shuffle files of an execution when it ends; what it wrote is read from the shared folder.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors.
-
-    ``keep`` writes and rereads a frame and lets the shuffle files of that write go;
-    ``drop`` deletes tables that no later step reads.  ``collected`` gathers the tables
-    that operators make inside a block, for a caller that knows when nobody reads them.
-    """
-
-    _open: ClassVar[list[list[Scratch]]] = []
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.folder = f"{scratch_root(spark)}/histolode/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[str, str] = {}
-        for made in self._open:
-            made.append(self)
-
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        path, before = f"{self.folder}/{tag}", self.spark.conf.get(_CLEANUP)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
-        self.paths[tag] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *tags: str) -> None:
-        """Deletes the named tables, or all that are left."""
-        for tag in tags or tuple(self.paths):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(tag))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    @classmethod
-    @contextmanager
-    def collected(cls) -> Iterator[list[Scratch]]:
-        made: list[Scratch] = []
-        cls._open.append(made)
-        try:
-            yield made
-        finally:
-            cls._open.remove(made)
-
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Bytes of text whose grams one merge task takes.
+PART_BYTES = 32 << 20
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Merge tasks for the texts of docs: as many as the session shuffles to, more if these would hold too much."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(partitions(docs.sparkSession), -(-size // PART_BYTES))
+
+
 def id_text_crc(column: str = "doc_id") -> Column:
     """crc32 of the id's decimal text; null ids count as 1, so they are never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(1))
@@ -161,25 +103,10 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             yield batch.slice(a, b - a)
 
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors, once an application, and bounds Arrow batches by bytes.
-
-    Without the bound a batch holds 10,000 rows, however long their texts are.
-    """
-    context = spark.sparkContext
+    """Sends this package's sources to the executors and bounds Arrow batches by bytes, not by rows of any length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="histolode-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as bundle:
-        for source in sorted(package.rglob("*.py")):
-            bundle.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(target))
+    _ship(spark)
 
 
 def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:

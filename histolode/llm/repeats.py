@@ -19,12 +19,13 @@ k-gram occurs twice at least.
 4. Byte ranges of all but the first occurrence go back to the chunks.
 
 A repeat longer than an anchor's windows is reported as overlapping repeats of
-neighbouring anchors, so covered bytes are exact.
+neighbouring anchors, so covered bytes are exact.  A suffix ends with its anchor's last
+window, so intervals nest at most ``2 * min_len`` deep, whatever the number of suffixes.
 
 Cases: null text is empty; texts under ``min_len`` bytes have no repeats; documents
-are ordered by doc_id, null ids last, repeated ids by their place in the input;
-repeated rows lose their bytes from the second on; an empty table gives no rows;
-other columns are ignored.
+are ordered by doc_id, null ids last, repeated ids (ties) by their place in the input;
+repeated rows lose their bytes from the second on; a very long text is a chunk of its
+own, searched whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, mapped, mix, pack, partitions, ship, steps, texts_of, unpack, unzipped, zipped
+from .common import Scratch, grouped, mapped, mix, pack, parts_for, ship, steps, texts_of, unpack, unzipped, zipped
 
 GRAM = 32
 CHUNK_BYTES = 6 << 20
@@ -269,7 +270,7 @@ def _ranges(min_len: int):
 
 def _prepared(docs: DataFrame, min_len: int, collapse: bool) -> tuple[Scratch, DataFrame, DataFrame]:
     spark = docs.sparkSession
-    scratch, n_parts = Scratch(spark, "repeats"), partitions(spark)
+    scratch, n_parts = Scratch(spark, "repeats"), parts_for(docs)
     ship(spark)
     made = scratch.keep(chunks(docs), "chunks")
     repeated = scratch.keep(_repeated(made, n_parts, min_len), "repeated")

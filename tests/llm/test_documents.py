@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from histolode.llm import components, lines, mixing, near_dup, packing, repeats, suffix_tree, surrogates, toxicity
+from histolode.llm import common, components, lines, mixing, near_dup, packing, repeats, suffix_tree, surrogates, toxicity
 from histolode.llm.common import id_text_crc
 from tests.compare import SF
 from tests.llm import data
@@ -72,11 +72,13 @@ def brute_tree(rows, max_depth, min_count, min_gain):
     return out
 
 
-def test_suffix_tree_equals_brute_force(spark):
+@pytest.mark.parametrize("depth, part_bytes", [(None, 32 << 20), (2, 1000)])
+def test_suffix_tree_equals_brute_force(spark, monkeypatch, depth, part_bytes):
+    monkeypatch.setattr(common, "PART_BYTES", part_bytes)
     rows = [r for r in DATA if r[0] != 9] + [(200 + i, f"a b c a b d {i % 3} a b c", "en", "z", 1) for i in range(20)]
-    expected = brute_tree(rows, 3, 2, 0.02)
+    expected = brute_tree(rows, depth or 15, 2, 0.02)
     docs = data.documents(spark, rows).withColumn("train", id_text_crc() % 10 != 0)
-    found = suffix_tree.score_texts(docs).collect()
+    found = suffix_tree.score_texts(docs, depth).collect()
     assert len(found) == len(rows)
     for r in found:
         e = expected[r["doc_id"]]
