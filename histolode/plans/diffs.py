@@ -90,6 +90,10 @@ QUERIES["d1_diff_files"] = d1_diff_files
 ORACLES["d1_diff_files"] = f"with {_FILES} select hash, file_ord, file_path, case when old <> file_path then old end as old_path, status, added_lines, deleted_lines from files"
 
 
+#: SQL of each list of values by column: hash, file_ord, v.
+_LISTS: dict[str, str] = {}
+
+
 def _add(name: str, column: str, values: str, gate: str) -> None:
     """A list per file as text; values: SQL for a list of a line's values, gate: which files count."""
 
@@ -97,6 +101,7 @@ def _add(name: str, column: str, values: str, gate: str) -> None:
         return _features(spark, sf_dir).where(F.size(column) > 0).select("hash", F.col("file_ord").cast("long").alias("file_ord"), F.array_join(column, "|").alias("found"))
 
     QUERIES[name] = run
+    _LISTS[column] = f"select distinct hash, file_ord, v from (select hash, file_ord, unnest({values}) as v from added where {gate}) where v <> ''"
     ORACLES[name] = f"""with {_FILES}, v as (select hash, file_ord, unnest({values}) as v from added where {gate})
 select hash, file_ord::bigint as file_ord, string_agg(v, '|' order by v) as found from (select distinct * from v where v <> '') group by 1, 2"""
 
@@ -147,6 +152,19 @@ def d9_diff_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["d9_diff_signals"] = d9_diff_signals
+_HANDLER = "lower(v) like '% handler' or lower(v) like 'handler %' or lower(v) like '%controller%'"
+_SCRIPTS = """kept as (select m.hash, m.kind, m.pos, substr(line, 2) as text from marked m join files f using (hash, file_ord) where kind is not null and regexp_extract(f.file_path, '([^/]*)$', 1) = 'package.json'),
+near as (select *, max(regexp_matches(text, '"scripts"\\s*:')::int) over (partition by hash order by pos rows between 8 preceding and 1 following) as opens from kept),
+scripts as (select distinct hash, regexp_extract(text, '^\\s*"([^"]+)":\\s*"[^"]*"', 1) as v from near where kind = 'added' and opens = 1)"""
+_PLAIN = {"exports": "exported_symbol_added", "functions": "function_added", "types": "interface_or_type_added", "enums": "enum_added", "tests": "test_case_added", "cli_commands": "cli_command_changed", "cli_options": "cli_command_changed", "config_keys": "config_changed"}
+ORACLES["d9_diff_signals"] = f"""with {_FILES}, {_SCRIPTS},
+found as (
+  {' union all '.join(f"select '{t}' as type, v as value, hash from ({_LISTS[c]})" for c, t in _PLAIN.items())}
+  union all select 'package_script_changed', v, hash from scripts where v <> ''
+  union all select case when lower(v) like '%controller' then 'controller_changed' else 'class_added' end, v, hash from ({_LISTS['classes']})
+  union all select case when {_HANDLER} then 'controller_changed' else 'api_route_changed' end, v, hash from ({_LISTS['routes']})
+  union all select v, replace(v, '_', ' '), hash from ({_LISTS['sql_signals']}))
+select type, count(*) as n, count(distinct value) as values, count(distinct hash) as commits from found group by 1"""
 
 
 def s5_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:

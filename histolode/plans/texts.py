@@ -261,7 +261,28 @@ def u1_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.families(families.best_earlier(_prints(spark, sf_dir), ["repo_id"]), ["repo_id"])
 
 
-@query("u2_family_summaries", None)
+def _shared(name: str, limit: int) -> str:
+    """SQL for the values of a list that most members share, two at least if any are, as text and as their number."""
+    return f"""{name}_n as (select repo_id, root, v, count(*) as n from (select repo_id, root, unnest({name}) as v from members) group by 1, 2, 3),
+{name}_k as (select *, row_number() over (partition by repo_id, root order by n desc, v) as r from (select *, max(n) over (partition by repo_id, root) >= 2 as two from {name}_n) where not two or n >= 2),
+{name}_s as (select repo_id, root, string_agg(v, ',' order by r) as {name}, count(*) as {name}_size from {name}_k where r <= {limit} group by 1, 2)"""
+
+
+@query("u2_family_summaries", f"""
+with recursive {_SIMILAR},
+best as (select repo_id, later, earlier, score from pairs qualify score = max(score) over (partition by repo_id, later)),
+reach(repo_id, path, root) as (select repo_id, later, earlier from best union select r.repo_id, r.path, b.earlier from reach r join best b on b.repo_id = r.repo_id and b.later = r.root),
+ends as (select repo_id, path, min(root) as root from reach r where not exists (select 1 from best b where b.repo_id = r.repo_id and b.later = r.root) group by 1, 2),
+clusters as (select repo_id, path, root from ends union select distinct repo_id, root, root from ends),
+members as (select c.root, p.* from clusters c join p using (repo_id, path)),
+average as (select repo_id, root, avg(score) as average from (select distinct b.repo_id, c.root, b.later, b.score from best b join clusters c on c.repo_id = b.repo_id and c.path = b.later where c.path <> c.root) group by 1, 2),
+{_shared('frameworks', 4)}, {_shared('libraries', 5)}, {_shared('concepts', 8)}, {_shared('roles', 6)},
+sized as (select repo_id, root, count(distinct path) as files from members group by 1, 2),
+scored as (select *, least(0.98::double, average + 0.08::double + 0.08::double + case when concepts_size >= 2 then 0.08::double else 0.0::double end + 0.05::double + case when files >= 3 then 0.06::double else 0.0::double end) as c
+  from sized join average using (repo_id, root) join frameworks_s using (repo_id, root) join libraries_s using (repo_id, root) join concepts_s using (repo_id, root) join roles_s using (repo_id, root)),
+kept as (select *, {sql_fixed2('c')} as confidence from scored)
+select repo_id, root, files, frameworks, libraries, concepts, confidence, rank from (
+  select *, row_number() over (partition by repo_id order by confidence desc, files desc, root)::int as rank from kept where confidence >= {rules.FAMILY_MIN_CONFIDENCE} and files >= 2) where rank <= {rules.FAMILIES_KEPT}""")
 def u2_family_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = _prints(spark, sf_dir)
     best = Tables(spark, "u2").keep(families.best_earlier(prints, ["repo_id"]), "best")
