@@ -337,13 +337,3 @@ select cluster as skill_id, case when commits >= 12 then 'agent_ready' else 'dra
 def l1_registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bind(spark, sf_dir, "select o_custkey as skill_id, count(*) as commits, min(o_orderkey) as head from {orders} group by 1").withColumn("promotion_level", F.when(c("commits") >= 12, "agent_ready").otherwise("draft"))
     return lifecycle.created(found).select("skill_id", "promotion_level", "status", F.least("commits", F.lit(20)).alias("evidence"), "head")
-
-
-@query("f11_eligible_sources", None)
-def f11_eligible_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import fingerprints
-    from ..functions.tables import Tables
-    from .texts import _SOURCES
-
-    kept = Tables(spark, "f11").keep(fingerprints.fingerprint(bind(spark, sf_dir, _SOURCES)), "prints")
-    return fingerprints.eligible(kept).select("id", "path")

@@ -211,13 +211,32 @@ _features("f5_cli_options", "options", fingerprints.OPTIONS)
 _features("f5_models", "models", fingerprints.MODELS)
 
 
-@query("f1_fingerprints", None)
+#: What each kind of text holds, written out by hand.
+_KIND_LISTS = {
+    "frameworks": ("'react'", "'rust'", "'spring'", "''"), "libraries": ("'@acme/grid-kit,React,kendo-angular-grid,react'", "'clap,clap::Parser'", "''", "''"), "roles": ("'component,grid,ui'", "'cli'", "'api,controller,route'", "'database'"),
+    "concepts": ("'columns,export,grid'", "'command,option'", "'api,controller,rest'", "'page,pagination,paging,sorting,table'"), "component_tags": ("'kendo-grid,my-cell'", "''", "''", "''"), "routes": ("''", "''", "'RequestMapping /parts/' || p_size % 3", "''"),
+    "cli_options": ("''", "'#[arg(long)],--verbose1'", "''", "''"), "schema_models": ("''", "''", "''", "'part_' || p_size % 5"), "migrations": ("''", "''", "''", "'create index,create table'"),
+    "symbol_patterns": ("'list' || p_size % 5", "(p_size % 3) || ',args' || (p_size % 6) || ',run'", "'controller,part' || p_size % 7", "''"),
+}
+
+
+@query("f1_fingerprints", "select id, path, " + ", ".join(f"case p_size % 4 when 0 then {a} when 1 then {b} when 2 then {c} else {d} end as {n}" for n, (a, b, c, d) in _KIND_LISTS.items()) + f" from ({plain(_SOURCES)}) join part on p_partkey = id")
 def f1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprints.fingerprint(bind(spark, sf_dir, _SOURCES))
     join = lambda c: F.array_join(c, ",").alias(c)
     return prints.select("id", "path", *(join(c) for c in ("frameworks", "libraries", "roles", "concepts", "component_tags", "routes", "cli_options", "schema_models", "migrations", "symbol_patterns")))
 
 
+#: The same texts, tests among them, and texts that show nothing.
+_MIXED = f"{_SOURCES} union all select -id, concat('tests/t', cast(id as varchar(9)), '.test.tsx'), text from ({_SOURCES}) union all select -1000000 - id, concat('lib/x', cast(id as varchar(9)), '.go'), 'x' from ({_SOURCES})"
+
+
+@query("f11_eligible_sources", f"select id, path from ({plain(_SOURCES)})")
+def f11_eligible_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = Tables(spark, "f11").keep(fingerprints.fingerprint(bind(spark, sf_dir, _MIXED)), "prints")
+    return fingerprints.eligible(kept).select("id", "path")
+
+
 @query("f7_frameworks", f"""
 select id, case when {_EXT} = '.tsx' then 'react' when {sql_match('text', '(?i)#\\[\\s*(?:arg|clap)')} then 'rust' when {sql_match('text', '@RestController')} then 'spring' else '' end as frameworks from ({plain(_SOURCES)})""")
 def f7_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
