@@ -102,7 +102,7 @@ def slug(value: Column, fallback: str = "") -> Column:
 def title(value: Column) -> Column:
     """Words at spaces and hyphens with a capital first letter."""
     words = present(F.split(value, r"[\s-]+"))
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
 def singular(term: Column) -> Column:

@@ -62,15 +62,15 @@ def split_files(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFr
     header = r"^diff --git (.+) (.+)$"
     quoted = lambda n: _stripped(F.regexp_replace(F.regexp_extract(line, header, n), '^"|"$', ""))
     kind = F.when(starts("+++") | starts("---"), None).when(starts("+"), "added").when(starts("-"), "deleted").when(starts(" "), "context")
-    new = F.when(starts("rename to "), F.trim(F.substring(line, 11, 100000))).when(starts("+++ ") & (F.trim(F.substring(line, 5, 100000)) != "/dev/null"), _stripped(F.trim(F.substring(line, 5, 100000)))).when(starts("diff --git "), F.when(line.rlike(header), quoted(2)).otherwise("unknown"))
-    old = F.when(starts("rename from "), F.trim(F.substring(line, 13, 100000))).when(starts("--- ") & (F.trim(F.substring(line, 5, 100000)) != "/dev/null"), _stripped(F.trim(F.substring(line, 5, 100000)))).when(starts("diff --git "), F.when(line.rlike(header), quoted(1)).otherwise("unknown"))
+    new = F.when(starts("rename to "), F.trim(F.substring(line, F.lit(11), F.length(line)))).when(starts("+++ ") & (F.trim(F.substring(line, F.lit(5), F.length(line))) != "/dev/null"), _stripped(F.trim(F.substring(line, F.lit(5), F.length(line))))).when(starts("diff --git "), F.when(line.rlike(header), quoted(2)).otherwise("unknown"))
+    old = F.when(starts("rename from "), F.trim(F.substring(line, F.lit(13), F.length(line)))).when(starts("--- ") & (F.trim(F.substring(line, F.lit(5), F.length(line))) != "/dev/null"), _stripped(F.trim(F.substring(line, F.lit(5), F.length(line))))).when(starts("diff --git "), F.when(line.rlike(header), quoted(1)).otherwise("unknown"))
     status = F.when(starts("new file mode"), "added").when(starts("deleted file mode"), "deleted").when(starts("rename from ") | starts("rename to "), "renamed")
     marked = numbered.select(*keys, "file_ord", "pos", "line", kind.alias("kind"), new.alias("new"), old.alias("old"), status.alias("status"))
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("pos"))
     files = marked.groupBy(*keys, "file_ord").agg(
         F.max_by("new", at("new")).alias("file_path"), F.max_by("old", at("old")).alias("old"), F.coalesce(F.max_by("status", at("status")), F.lit("modified")).alias("status"),
         F.count_if(F.col("kind") == "added").alias("added_lines"), F.count_if(F.col("kind") == "deleted").alias("deleted_lines"),
-        F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("pos", "kind", F.substring("line", 2, 1000000).alias("text"))))).alias("lines"),
+        F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("pos", "kind", F.substring(line, F.lit(2), F.length(line)).alias("text"))))).alias("lines"),
     )
     return files.withColumn("old_path", F.when(F.col("old") != F.col("file_path"), F.col("old"))).drop("old")
 

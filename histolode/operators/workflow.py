@@ -73,7 +73,7 @@ def surface_kind(paths: Column, signals: Column) -> Column:
     seen = lambda pattern: F.exists(lower, lambda p: p.rlike(pattern))
     some = lambda names: F.arrays_overlap(signals, F.array(*map(F.lit, names)))
     extra = {"api": some(["api_route_changed"]), "config": some(CONFIG_SIGNALS), "database": seen(r"\.sql$")}
-    out = F.when(F.forall(F.slice(lower, 2, 1000), lambda p: p.rlike(TEST_FILE)), F.lit("tests")).otherwise(F.lit("source-workflow"))
+    out = F.when(F.forall(F.slice(lower, F.lit(2), F.size(lower)), lambda p: p.rlike(TEST_FILE)), F.lit("tests")).otherwise(F.lit("source-workflow"))
     for kind, pattern in reversed(KIND_PATHS):
         out = F.when(seen(pattern) | extra.get(kind, F.lit(False)), F.lit(kind)).otherwise(out)
     return out
