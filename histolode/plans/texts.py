@@ -227,6 +227,13 @@ def f1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.select("id", "path", *(join(c) for c in ("frameworks", "libraries", "roles", "concepts", "component_tags", "routes", "cli_options", "schema_models", "migrations", "symbol_patterns")))
 
 
+@query("f9_feature_views", f"""select id, case p_size % 4 when 0 then 'list' || p_size % 5 when 1 then (p_size % 3) || ',args' || (p_size % 6) || ',run' when 2 then 'controller,part' || p_size % 7 else '' end as symbols,
+  case when p_size % 4 = 2 then 'requestmapping /parts/' || p_size % 3 else '' end as routes from ({plain(_SOURCES)}) join part on p_partkey = id""")
+def f9_feature_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprints.fingerprint(bind(spark, sf_dir, _SOURCES))
+    return prints.select("id", F.array_join("symbol_patterns", ",").alias("symbols"), F.array_join("route_patterns", ",").alias("routes"))
+
+
 #: The same texts, tests among them, and texts that show nothing.
 _MIXED = f"{_SOURCES} union all select -id, concat('tests/t', cast(id as varchar(9)), '.test.tsx'), text from ({_SOURCES}) union all select -1000000 - id, concat('lib/x', cast(id as varchar(9)), '.go'), 'x' from ({_SOURCES})"
 
