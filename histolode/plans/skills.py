@@ -183,7 +183,8 @@ new as (select user_id, ordinal, [event_type, 'x' || bucket] as s, ['d' || bucke
 
 
 def _skills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = bind(spark, sf_dir, _ORDERED).withColumn("d", F.concat(F.lit("d"), c("bucket").cast("string")))
+    # DuckDB's cast rounds halves to the even number, Spark's cuts the fraction off
+    o = bind(spark, sf_dir, _ORDERED.replace("cast(value as bigint)", "cast(rint(value) as bigint)")).withColumn("d", F.concat(F.lit("d"), c("bucket").cast("string")))
     own = o.groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(c("ordinal") > 20, c("event_type")))).alias("own_signals"), F.array_sort(F.collect_set(F.when(c("ordinal") > 20, c("d")))).alias("own_directories"))
     new = o.where("ordinal <= 20").select("user_id", "ordinal", F.array("event_type", F.concat(F.lit("x"), c("bucket").cast("string"))).alias("signals"), F.array("d").alias("directories"))
     return own, new
