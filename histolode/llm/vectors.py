@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, grouped, mapped
-from .components import components
+from .components import components, least_reached
 
 
 def usable(column: str = "embedding") -> Column:
@@ -62,8 +62,15 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 # -- range join -----------------------------------------------------------------
 
-#: Rows of one block of a cell; vectors of the sample that pivots are chosen from; fewest pivots.
+#: Least rows of one block of a cell; vectors of the sample that pivots are chosen from; fewest pivots.
 BLOCK, SAMPLE, LEAST_PIVOTS = 4096, 4096, 8
+#: Bytes of the single-precision vectors of a block; values of one array of distances or cosines.
+BLOCK_BYTES, STEP = 16 << 20, 1 << 18
+
+
+def block_rows(n: int, size: int) -> int:
+    """Rows of one block: a tenth of all vectors, so that few copies are made, as far as a task's memory goes."""
+    return max(BLOCK, min(n // 10, BLOCK_BYTES // (4 * size)))
 
 
 def dense_first(sample: np.ndarray, radius: float) -> np.ndarray:
@@ -93,13 +100,13 @@ def _reach(d: np.ndarray, pivots: np.ndarray, radii: np.ndarray, radius: float)
     return home, (d - own <= 2 * radius + 1e-7) & (d <= radii + radius + 1e-7) & (plane <= radius + 1e-7) & (np.arange(len(pivots)) < home[:, None])
 
 
-def pivot_count(sample: np.ndarray, n: int, radius: float) -> tuple[int, float]:
+def pivot_count(sample: np.ndarray, n: int, radius: float, block: int | None = None) -> tuple[int, float]:
     """How many of the first sample vectors to take as pivots for n vectors, and the copies of a vector to expect.
 
     The cheapest by what the sample says: pairs in cells, rows moved, distances to pivots.
     Any number gives the same links.
     """
-    best = (math.inf, 1, 0.0)
+    best, block = (math.inf, 1, 0.0), block or BLOCK
     p, scale = min(LEAST_PIVOTS, len(sample)), n / max(1, len(sample))
     while 0 < p <= len(sample) and p <= max(LEAST_PIVOTS, 4 * math.sqrt(n)):
         d = _distances(sample, sample[:p])
@@ -108,19 +115,27 @@ def pivot_count(sample: np.ndarray, n: int, radius: float) -> tuple[int, float]:
         np.maximum.at(radii, home, d[np.arange(len(d)), home])
         guests = _reach(d, sample[:p], radii, radius)[1].sum(axis=0) * scale
         homes = np.bincount(home, minlength=p) * scale
-        moved = (homes * (np.ceil(homes / BLOCK) + np.ceil(guests / BLOCK)) + guests * np.ceil(homes / BLOCK)).sum()
+        moved = (homes * (np.ceil(homes / block) + np.ceil(guests / block)) + guests * np.ceil(homes / block)).sum()
         pairs = (homes * (homes / 2 + guests)).sum()
-        best = min(best, (pairs * 1e-8 + moved * 1e-5 + n * p * 1e-8, p, float(guests.sum() / max(1, n))))
+        best = min(best, (pairs * 3e-9 + moved * 1e-5 + n * p * 1e-8, p, float(guests.sum() / max(1, n))))
         p *= 2
     return best[1:]
 
 
+def _row_steps(batches: Iterator[pa.RecordBatch], n_pivots: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a step's distances to all pivots, and the copies they may call for, stay bounded."""
+    rows = max(1, STEP // n_pivots)
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _homes(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """cell, far: the distance of each task's farthest vector of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         radii = np.full(len(pivots), -1.0)
-        for batch in batches:
+        for batch in _row_steps(batches, len(pivots)):
             x, _ = _matrix(batch.column("embedding"), pivots.shape[1])
             if len(x):
                 d = _distances(_unit(x), pivots)
@@ -132,11 +147,17 @@ def _homes(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return mapped(vectors.select("embedding"), run, "cell int, far double")
 
 
+def _bytes_of(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row of a matrix, without an object per row."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _cells(vectors: DataFrame, pivots: np.ndarray, radii: np.ndarray, radius: float) -> DataFrame:
     """Each vector in its nearest pivot's cell, and as a guest in lower cells that its ball may reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _row_steps(batches, len(pivots)):
             x, fits = _matrix(batch.column("embedding"), pivots.shape[1])
             if not len(x):
                 continue
@@ -147,44 +168,56 @@ def _cells(vectors: DataFrame, pivots: np.ndarray, radii: np.ndarray, radius: fl
             ids, copies = (batch.column(c).to_numpy()[fits][row] for c in ("id", "copies"))
             short = x.astype(np.float32)
             raw = short if (short == x).all() else x
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int32()), "guest": pa.array(guest), "id": ids, "copies": copies, "vector": pa.array([raw[r].tobytes() for r in row], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int32()), "guest": pa.array(guest), "id": ids, "copies": copies, "vector": _bytes_of(raw[row])})
 
     return mapped(vectors, run, "cell int, guest boolean, id long, copies long, vector binary")
 
 
 def _joined(threshold: float, size: int):
-    """Links between two blocks of a cell: counts per vector, and a spanning forest of the links."""
+    """Links between two blocks of a cell: counts per vector, and a star of links' ends around the least of each component.
+
+    Single precision finds the candidates, by a threshold lower by its largest error;
+    those it is not sure of are judged in double precision, some at a time.
+    """
+    slack = 2e-7 * (size + 4)
 
     def run(table: pa.Table) -> pa.Table:
         ids, copies, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "copies", "side"))
-        raw = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * size else float) for v in table.column("vector").to_pylist()], float)
+        vectors = table.column("vector").to_pylist()
+        single = all(len(v) == 4 * size for v in vectors)
+        raw = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * size else float) for v in vectors], np.float32 if single else float)
+        del vectors
         left, right = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
-        unit = _unit(raw)
-        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        edges: list[tuple[int, int]] = []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            cos = unit[rows] @ unit[right].T
-            near = cos >= threshold - 1e-9
-            for i, j in zip(*np.nonzero(near & (cos < threshold + 1e-9)), strict=True):
-                near[i, j] = _cosines(raw[rows[i]][None], raw[right[j]][None])[0] >= threshold
-            near &= rows[:, None] != right[None, :]
-            links[rows] += near @ copies[right]
-            apart = near & (side[rows][:, None] != 2)  # inside one block either order is met
-            links[right] += copies[rows] @ apart
-            for i in np.flatnonzero(near.any(axis=1)):
-                me, others = rows[i], right[near[i]]
-                labels, first = np.unique(label[others], return_index=True)
-                for lab, other in zip(labels, others[first], strict=True):
-                    if lab != label[me]:
-                        edges.append((ids[me], ids[other]))
-                        low, high = sorted((lab, label[me]))
-                        label[label == high] = low
-        found = np.flatnonzero(links)
-        a, b = zip(*edges, strict=True) if edges else ((), ())
+        unit = np.empty(raw.shape, np.float32)
+        for at in range(0, len(raw), 4096):
+            unit[at : at + 4096] = _unit(raw[at : at + 4096].astype(float))
+        other_side = unit[right]
+        links, ends = np.zeros(len(ids)), (np.zeros(0, np.int64),) * 2
+        step = max(1, 8 * STEP // max(1, len(right)))
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            cos = unit[rows] @ other_side.T
+            i, j = np.nonzero(cos >= threshold - slack)
+            if not len(i):
+                continue
+            near, a, b = cos[i, j] >= threshold + slack, rows[i], right[j]
+            unsure = np.flatnonzero(~near)
+            for k in range(0, len(unsure), 4096):
+                u = unsure[k : k + 4096]
+                near[u] = _cosines(raw[a[u]].astype(float), raw[b[u]].astype(float)) >= threshold
+            near &= a != b
+            a, b = a[near], b[near]
+            links += np.bincount(a, copies[b], len(ids))
+            apart = side[a] != 2  # inside one block either order is met
+            links += np.bincount(b[apart], copies[a[apart]], len(ids))
+            found, least = least_reached(np.r_[ends[0], ids[a]], np.r_[ends[1], ids[b]])
+            hung = found != least
+            ends = found[hung], least[hung]
+        linked = np.flatnonzero(links)
+        a, b = ends
         return pa.table({
-            "id": pa.array([*ids[found], *a], pa.int64()), "links": pa.array([*links[found], *[0] * len(a)], pa.int64()),
-            "other": pa.array([*[None] * len(found), *b], pa.int64()),
+            "id": pa.array(np.r_[ids[linked], a], pa.int64()), "links": pa.array(np.r_[links[linked].astype(np.int64), np.zeros(len(a), np.int64)], pa.int64()),
+            "other": pa.array(np.r_[np.zeros(len(linked), np.int64), b], pa.int64(), mask=np.arange(len(linked) + len(a)) < len(linked)),
         })
 
     return run
@@ -195,7 +228,8 @@ def range_join(vectors: DataFrame, id_column: str, threshold: float = 0.95) -> D
 
     Links are pairs of cosine >= threshold.  Equal vectors are joined once, as one
     vector with a number of copies.  Pivots come from a sample of at most ``SAMPLE``
-    vectors; cells of any size are joined in blocks.
+    vectors; cells of any size are joined in blocks, whose bytes are bounded, as are the
+    distances to pivots that a task holds.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "range_join")
@@ -207,13 +241,15 @@ def range_join(vectors: DataFrame, id_column: str, threshold: float = 0.95) -> D
     out = ["id", "n_links", "component_id", "kept"]
     if not len(sample):
         return all_rows.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = sample[: pivot_count(sample, classes.count(), radius)[0]]
+    n = classes.count()
+    block = block_rows(n, sample.shape[1])
+    pivots = sample[: pivot_count(sample, n, radius, block)[0]]
     radii = np.full(len(pivots), -1.0)
     for row in _homes(classes, pivots).groupBy("cell").agg(F.max("far")).collect():  # a row per pivot
         radii[row[0]] = row[1]
     cells = _cells(classes, pivots, radii, radius)
     counts = cells.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"))
-    blocks = counts.select("cell", *(F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int").alias(c) for c in ("homes", "guests")))
+    blocks = counts.select("cell", *(F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(c) for c in ("homes", "guests")))
     placed = cells.join(F.broadcast(scratch.keep(blocks, "blocks")), "cell")  # one row per pivot, at most SAMPLE
     own = F.expr("cast(pmod(xxhash64(id), if(guest, guests, homes)) as int)")
     home_tasks = F.expr("""concat(

@@ -108,6 +108,41 @@ def clustered(n=4000, d=32, centres=100, spread=0.02, seed=8):
     return c[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, d)) * np.sqrt(centres / 100)
 
 
+def test_many_pivots_and_copies_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    unit = made(12_000, 16).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    runs = []
+    monkeypatch.setattr(vectors, "mapped", lambda df, run, schema: runs.append(run))
+
+    class Frame:
+        def select(self, *names):
+            return self
+
+    pivots = unit[:1024]
+    vectors._homes(Frame(), pivots), vectors._cells(Frame(), pivots, np.full(len(pivots), 2.0), 0.3)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(10_000)), "copies": pa.array([1] * 10_000), "embedding": pa.array(unit[:10_000].tolist())})
+    rows = 0
+    for run in runs:
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20  # all rows against all pivots were over 250 MB
+    assert rows > 10_000
+
+
+def test_links_at_the_threshold_are_judged_in_double_precision(spark):
+    t = 0.95
+    angles = np.arccos(np.clip(t + np.array([-1e-6, -1e-9, 1e-9, 1e-6]), -1, 1))
+    x = [[1.0, 0.0], *([float(np.cos(a)) * 3, float(np.sin(a)) * 3] for a in angles)]
+    double = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.n_links for r in vectors.range_join(double, "vec_id").collect()} == {0: 2, 1: 3, 2: 3, 3: 4, 4: 4}
+
+
 def test_pivots_of_dense_regions_spare_copies():
     x = clustered()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
