@@ -284,7 +284,8 @@ reach(repo_id, path, root) as (select repo_id, later, earlier from best union se
 ends as (select repo_id, path, min(root) as root from reach r where not exists (select 1 from best b where b.repo_id = r.repo_id and b.later = r.root) group by 1, 2)
 select repo_id, path, root from ends union select distinct repo_id, root, root from ends""")
 def u1_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.families(families.best_earlier(_prints(spark, sf_dir), ["repo_id"]), ["repo_id"])
+    best = Tables(spark, "u1").keep(families.best_earlier(_prints(spark, sf_dir), ["repo_id"]), "best")
+    return families.families(best, ["repo_id"])
 
 
 def _shared(name: str, limit: int) -> str:

@@ -182,6 +182,29 @@ def test_families_over_classes_equal_the_greedy_loop(spark, seed):
     assert found == {p: r for p, r in expected.items() if p != r or r in [x for y, x in expected.items() if y != x]}
 
 
+def test_files_of_few_classes_meet_their_classes_not_all_neighbours(spark):
+    """A file is placed by its path among its class's neighbours: its rows do not grow with the classes like it."""
+    rows = [(f"r{i % 2}", f"f{i:04d}", ["fw"], [f"l{i % 40}"], ["role"], ["grid"], ["t"]) for i in range(800)]
+    prints = spark.createDataFrame(rows, "repo_id string, path string, frameworks array<string>, libraries array<string>, roles array<string>, concepts array<string>, component_tags array<string>")
+    prints = prints.select("*", *(F.array().cast("array<string>").alias(n) for n in families.LISTS if n not in prints.columns))
+    best = families.best_earlier(prints, ["repo_id"]).collect()
+    hung = [r for r in best if r["via"] is not None]
+    assert len(hung) == 760 and {r["via"] for r in hung} == {f"f{i:04d}" for i in range(40)}
+    assert all(r["score"] == 0.84 and int(r["later"][1:]) - int(r["earlier"][1:]) == 40 for r in hung)
+    found = families.families(families.best_earlier(prints, ["repo_id"]), ["repo_id"]).collect()
+    assert len(found) == 800 and {(r["repo_id"], r["root"]) for r in found} == {("r0", "f0000"), ("r1", "f0001")}
+
+
+def test_a_path_with_two_lists_joins_by_the_better(spark):
+    lists = lambda x: (["fw"], [x], ["role"], ["grid"], ["t"])
+    rows = [("r", "a", *lists("x")), ("r", "b", ["other"], ["z"], ["p"], ["q"], ["s"]), ("r", "c", *lists("x")), ("r", "c", *lists("y")), ("r", "d", *lists("y"))]
+    prints = spark.createDataFrame(rows, "repo_id string, path string, frameworks array<string>, libraries array<string>, roles array<string>, concepts array<string>, component_tags array<string>")
+    prints = prints.select("*", *(F.array().cast("array<string>").alias(n) for n in families.LISTS if n not in prints.columns))
+    best = families.best_earlier(prints, ["repo_id"])
+    assert sorted((r["later"], r["earlier"], r["score"]) for r in best.collect()) == [("c", "a", 0.84), ("d", "c", 0.84)]
+    assert sorted((r["path"], r["root"]) for r in families.families(best, ["repo_id"]).collect()) == [("a", "a"), ("c", "a"), ("d", "a")]
+
+
 def _commit(h, *shape, surfaces=(), directories=("a",)):
     return {"hash": h, "shape": list(shape), "surfaces": list(surfaces), "directories": list(directories)}
 
