@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,9 +200,50 @@ def scope_commands(commands: DataFrame, files: DataFrame, key: str) -> DataFrame
     return c.select(key, "command", F.col("place").cast("long").alias("place"), F.when(F.col("any_primary"), F.col("is_primary")).otherwise(F.col("place") == 1).alias("primary"))
 
 
-def _overlaps(a: dict, b: dict) -> bool:
-    j = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
-    return j(a["files"], b["files"]) >= 0.5 or j(a["commits"], b["commits"]) >= 0.4
+class _Widening:
+    """Rows in order, found by what they share: an inverted index of files and commits that grows with its rows."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.rows: list[dict] = []
+        self.sizes = {name: array("q") for name in _OVERLAPS}
+        self.places: dict[str, defaultdict] = {name: defaultdict(lambda: array("q")) for name in _OVERLAPS}
+        for row in rows:
+            self.add(row)
+
+    def add(self, row: dict) -> None:
+        k = len(self.rows)
+        self.rows.append(row | {name: set() for name in _OVERLAPS})
+        for name in _OVERLAPS:
+            self.sizes[name].append(0)
+        self.widen(k, row)
+
+    def widen(self, k: int, other: dict) -> None:
+        for name in _OVERLAPS:
+            own = self.rows[k][name]
+            for value in other[name] - own:
+                self.places[name][value].append(k)
+            own |= other[name]
+            self.sizes[name][k] = len(own)
+
+    def first(self, row: dict) -> int | None:
+        """The place of the first row that overlaps enough in files or commits."""
+        best = None
+        for name, least in _OVERLAPS.items():
+            places = [np.frombuffer(self.places[name][v], np.int64) for v in row[name] if v in self.places[name]]
+            if not places:
+                continue
+            shared = np.bincount(np.concatenate(places))
+            del places  # their arrays grow later
+            at = np.flatnonzero(shared)
+            union = np.array(self.sizes[name], np.int64)[at] + len(row[name]) - shared[at]
+            enough = at[shared[at] / union >= least]
+            if len(enough) and (best is None or enough[0] < best):
+                best = int(enough[0])
+        return best
+
+
+#: Least overlap of files, or of commits, that merges a draft (fixed values).
+_OVERLAPS = {"files": 0.5, "commits": 0.4}
 
 
 def fold_drafts(rows: list[dict]) -> list[tuple[str, str, str | None]]:
@@ -207,26 +252,30 @@ def fold_drafts(rows: list[dict]) -> list[tuple[str, str, str | None]]:
     rows: id, name, level, pattern, naming, files, commits (sets), strongest first.
     """
     rows = sorted(rows, key=lambda r: (-r["pattern"], -r["naming"], r["name"], r["id"]))
-    ready = [r for r in rows if r["level"] == "agent_ready"]
-    kept: list[dict] = []
+    own_name = lambda r: r["name"].strip().lower()
+    ready, kept = _Widening([r for r in rows if r["level"] == "agent_ready"]), _Widening([])
+    ready_names, kept_names = {own_name(r) for r in ready.rows}, {}
     fates = [(r["id"], "kept", None) for r in rows if r["level"] != "draft"]
     for draft in (r for r in rows if r["level"] == "draft"):
-        name = draft["name"].strip().lower()
-        if any(r["name"].strip().lower() == name for r in ready):
+        name = own_name(draft)
+        if name in ready_names:
             fates.append((draft["id"], "suppressed", None))
             continue
-        into = next((r for r in ready if _overlaps(r, draft)), None) or next((r for r in kept if r["name"].strip().lower() == name), None) or next((r for r in kept if _overlaps(r, draft)), None)
-        if into is None:
-            kept.append(draft)
+        of, at = ready, ready.first(draft)
+        if at is None:
+            of, at = kept, kept_names[name] if name in kept_names else kept.first(draft)
+        if at is None:
+            kept_names[name] = len(kept.rows)
+            kept.add(draft)
             fates.append((draft["id"], "kept", None))
         else:
-            into["files"], into["commits"] = into["files"] | draft["files"], into["commits"] | draft["commits"]
-            fates.append((draft["id"], "merged", into["id"]))
+            of.widen(at, draft)
+            fates.append((draft["id"], "merged", of.rows[at]["id"]))
     return fates
 
 
 def dedupe_drafts(candidates: DataFrame, repo: str) -> DataFrame:
-    """(repo, id, fate, into) per repository, whose candidates are at most some hundreds."""
+    """(repo, id, fate, into) per repository, whose candidates pass one task."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = [r | {"files": set(r["files"]), "commits": set(r["commits"])} for r in table.to_pylist()]

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -205,6 +206,45 @@ def test_a_path_with_two_lists_joins_by_the_better(spark):
     assert sorted((r["path"], r["root"]) for r in families.families(best, ["repo_id"]).collect()) == [("a", "a"), ("c", "a"), ("d", "a")]
 
 
+def _fold_by_pairs(rows):
+    """The fates as every pair compared would give them."""
+    j = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    near = lambda a, b: j(a["files"], b["files"]) >= 0.5 or j(a["commits"], b["commits"]) >= 0.4
+    rows = sorted((dict(r) for r in rows), key=lambda r: (-r["pattern"], -r["naming"], r["name"], r["id"]))
+    ready, kept, fates = [r for r in rows if r["level"] == "agent_ready"], [], [(r["id"], "kept", None) for r in rows if r["level"] != "draft"]
+    for d in (r for r in rows if r["level"] == "draft"):
+        if any(r["name"] == d["name"] for r in ready):
+            fates.append((d["id"], "suppressed", None))
+            continue
+        into = next((r for r in ready if near(r, d)), None) or next((r for r in kept if r["name"] == d["name"]), None) or next((r for r in kept if near(r, d)), None)
+        fates.append((d["id"], "kept", None) if into is None else (d["id"], "merged", into["id"]))
+        if into is None:
+            kept.append(d)
+        else:
+            into["files"], into["commits"] = into["files"] | d["files"], into["commits"] | d["commits"]
+    return fates
+
+
+def _drafts(rng, n, names, files):
+    some = lambda: {str(rng.randrange(files)) for _ in range(rng.randrange(6))}
+    level = lambda: rng.choice(["agent_ready", "draft", "draft", "pattern_candidate"])
+    return [{"id": f"c{i}", "name": f"n{rng.randrange(names)}", "level": level(), "pattern": rng.randrange(90) / 100, "naming": rng.randrange(70) / 100, "files": some(), "commits": some()} for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_drafts_found_by_what_they_share_have_the_fates_of_all_pairs(seed):
+    rng = random.Random(seed)
+    rows = _drafts(rng, 300, 400, (8, 30, 200)[seed % 3])
+    assert candidates.fold_drafts(rows) == _fold_by_pairs(rows)
+
+
+def test_many_drafts_are_not_compared_in_pairs():
+    rows = _drafts(random.Random(1), 20_000, 10**9, 10**6)
+    began = time.process_time()
+    candidates.fold_drafts(rows)
+    assert time.process_time() - began < 10  # all pairs are some 50 million
+
+
 def _commit(h, *shape, surfaces=(), directories=("a",)):
     return {"hash": h, "shape": list(shape), "surfaces": list(surfaces), "directories": list(directories)}
 
