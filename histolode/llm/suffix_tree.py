@@ -1,8 +1,8 @@
 """A probabilistic suffix tree over words, grown level by level from distributed counts.
 
 A state is a context of one word or more (the end of the previous text counts as one);
-the tree grows by a word a level; the first level whose contexts gain no more than
-``last_level_gain`` nats a training token in all is the last.  Counting runs in chunks of a few million tokens: each chunk sends its
+the tree grows by a word a level until no context of a level passes (a caller may ask for
+more than ``last_level_gain`` nats a training token of the last level).  Counting runs in chunks of a few million tokens: each chunk sends its
 distinct grams with training counts to merge tasks and gets back global counts, so
 traffic is bounded by the distinct grams of the chunks and no gram, however frequent,
 meets in one task more than once per chunk.
@@ -361,7 +361,7 @@ def _walked(made: DataFrame, replies: DataFrame, function, schema: str) -> DataF
     return made.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def score_texts(docs: DataFrame, max_depth: int | None = None, min_count: int = 2, min_gain: float = 0.02, last_level_gain: float = 0.5) -> DataFrame:
+def score_texts(docs: DataFrame, max_depth: int | None = None, min_count: int = 2, min_gain: float = 0.02, last_level_gain: float = 0.0) -> DataFrame:
     """Scores of every row of docs (doc_id, text, train), learnt from rows with train.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: logarithms to base 10.

@@ -85,6 +85,13 @@ def test_suffix_tree_equals_brute_force(spark, monkeypatch, depth, part_bytes):
         assert r["base_score"] == pytest.approx(e[4], abs=1e-9) and r["score"] == pytest.approx(e[5], rel=1e-4)
 
 
+def test_suffix_tree_grows_until_no_context_passes(spark):
+    docs = data.documents(spark, DATA).withColumn("train", F.lit(True))
+    scores = lambda **more: sorted((r["doc_id"], round(r["score"], 9)) for r in suffix_tree.score_texts(docs, **more).where("doc_id is not null").collect())
+    whole = scores()
+    assert whole == scores(last_level_gain=0.0) != scores(last_level_gain=0.5)
+
+
 def test_suffix_tree_on_odd_tables(spark):
     docs = data.documents(spark, data.with_odd_rows(DATA)).withColumn("train", id_text_crc() % 10 != 0)
     assert suffix_tree.score_texts(docs).count() == len(DATA) + 4
