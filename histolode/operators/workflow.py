@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..functions.tables import Tables
 from .classify import file_role, is_noisy
 
 #: Kinds of a surface by its lower-cased paths, in order (fixed values).
@@ -54,6 +55,7 @@ ACTION_PLACES: dict[str, tuple[int, dict[str, int]]] = {
     "changed_schema_or_model": (8, {"database": 2, "api": 2}), "changed_query_or_migration": (8, {"database": 1}), "changed_validation_logic": (3, {}), "modified_function": (4, {}), "added_function": (5, {}), "added_type_or_interface": (6, {}),
     "changed_error_handling": (7, {}), "changed_output_formatting": (8, {}), "updated_style": (9, {"ui": 4}), "changed_config_key": (10, {}), "changed_package_script": (11, {}), "added_test_case": (12, {}), "updated_fixture": (13, {}), "updated_docs": (14, {"docs": 0}),
 }
+ACTIONS = list(ACTION_PLACES)
 GROUPS = ["source", "test", "supporting"]
 #: Labels of signals in neutral names, in order (fixed values).
 AREA_LABELS: list[tuple[str, str]] = [
@@ -120,33 +122,50 @@ def _matching(pattern: str):
     return lambda s: s.rlike(pattern)
 
 
-def action_group(path: Column, kind: Column, direct: Column, supports: Column) -> Column:
+def path_facts(path: Column) -> dict[str, Column]:
+    """What a file's actions and group depend on by its path alone; ``shows`` has the bits of the actions it shows."""
+    lower, role = F.lower(path), file_role(path)
+    checks = [(lower.rlike(p), a) for a, p in [*PATH_ACTIONS, *WORD_ACTIONS]] + [(role == r, a) for r, a in ROLE_ACTIONS.items()]
+    return {
+        "role": role, "noisy": is_noisy(path), "test": lower.rlike(TEST_FILE), "style": lower.rlike(STYLE_FILE), "client": lower.rlike(CLIENT_FILE), "contract": lower.rlike(CONTRACT_FILE),
+        "component": lower.rlike(COMPONENT_FILE) & lower.rlike(COMPONENT_FOLDER), "shows": _bits(checks),
+    }
+
+
+def action_group(fact: Column, kind: Column, direct: Column, supports: Column) -> Column:
     """source, test or supporting; direct, supports: whether the file belongs to the surface, or is one of its tests and configs."""
-    role = file_role(path)
-    documents = (kind == "docs") & direct & (role == "docs")
-    return F.when(F.lower(path).rlike(TEST_FILE), "test").when(documents, "source").when(supports | role.isin("docs", "config", "fixture"), "supporting").otherwise("source")
+    documents = (kind == "docs") & direct & (fact["role"] == "docs")
+    return F.when(fact["test"], "test").when(documents, "source").when(supports | fact["role"].isin("docs", "config", "fixture"), "supporting").otherwise("source")
+
+
+def _bits(checks: list[tuple[Column, str]]) -> Column:
+    """The actions whose checks hold as bits of a long, by their place in ACTIONS."""
+    out = F.lit(0).cast("long")
+    for check, action in checks:
+        out = out.bitwiseOR(F.when(check, F.lit(1 << ACTIONS.index(action)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
 
 
-def file_actions(path: Column, message: Column, kind: Column, found: Column, options: Column, changed: Column, group: Column) -> Column:
-    """What a changed file shows: by its path and role, its diff's signals, its words and its surface's kind.
+def _shows(bits: Column, i: int) -> Column:
+    return F.shiftright(bits, i).bitwiseAND(F.lit(1).cast("long"))
 
-    found: array of (type, value) signals of the file; options: its diff adds command
-    options; changed: its diff has lines, or there is none.
+
+def file_actions(fact: Column, message: Column, kind: Column, found: Column, options: Column, changed: Column, group: Column) -> Column:
+    """The bits of what a changed file shows: by its path and role, its diff's signals, its words and its surface's kind.
+
+    fact: its ``path_facts``; found: array of (type, value) signals of the file; options:
+    its diff adds command options; changed: its diff has lines, or there is none.
     """
-    lower, role = F.lower(path), file_role(path)
     types = F.transform(found, lambda s: s["type"])
-    words = F.lower(F.concat_ws(" ", path, message, F.array_join(F.transform(found, lambda s: s["value"]), " ")))
+    words = F.lower(F.concat_ws(" ", message, F.array_join(F.transform(found, lambda s: s["value"]), " ")))
     commands = lambda flag: F.exists(found, lambda s: (s["type"] == "cli_command_changed") & (s["value"].startswith("--") == flag))
-    checks = [(lower.rlike(p), a) for a, p in PATH_ACTIONS] + [(role == r, a) for r, a in ROLE_ACTIONS.items()]
-    checks += [(F.arrays_overlap(types, F.array(*map(F.lit, t))), a) for a, t in SIGNAL_ACTIONS] + [(words.rlike(p), a) for a, p in WORD_ACTIONS]
+    checks = [(F.arrays_overlap(types, F.array(*map(F.lit, t))), a) for a, t in SIGNAL_ACTIONS] + [(words.rlike(p), a) for a, p in WORD_ACTIONS]
     checks += [
         (options | commands(True), "added_cli_option"), (commands(False) & (kind == "commands"), "changed_cli_option"),
-        (F.when(kind == "api", lower.rlike(CONTRACT_FILE)).otherwise(lower.rlike(CLIENT_FILE)), "updated_api_client"),
-        ((kind == "ui") & lower.rlike(COMPONENT_FILE) & lower.rlike(COMPONENT_FOLDER), "updated_component"),
-        (changed & (role == "source") & (group == "source") & ~lower.rlike(STYLE_FILE), "modified_function"),
+        (F.when(kind == "api", fact["contract"]).otherwise(fact["client"]), "updated_api_client"), ((kind == "ui") & fact["component"], "updated_component"),
+        (changed & (fact["role"] == "source") & (group == "source") & ~fact["style"], "modified_function"),
     ]
-    shown = F.array_distinct(F.filter(F.array(*(F.when(c, F.lit(a)) for c, a in checks)), lambda a: a.isNotNull()))
-    return F.when(is_noisy(path), F.array().cast("array<string>")).otherwise(shown)
+    return F.when(fact["noisy"], F.lit(0).cast("long")).otherwise(fact["shows"].bitwiseOR(_bits(checks)))
 
 
 def action_place(action: Column, kind: Column) -> Column:
@@ -164,19 +183,41 @@ def workflow_actions(files: DataFrame, keys: list[str], commit: str) -> DataFram
 
     files: keys, commit, file_path, message, kind, found, options, changed, direct, supports
     as in ``file_actions`` and ``action_group``; ordinal orders the commits, newest first.
+    Actions are bits of a row, so that rows are counted without a copy for each action.
     """
-    sizes = files.groupBy(*keys).agg(F.count_distinct(commit).alias("commits"))
-    placed = files.withColumn("group", action_group(F.col("file_path"), F.col("kind"), F.col("direct"), F.col("supports")))
-    shown = file_actions(*(F.col(c) for c in ("file_path", "message", "kind", "found", "options", "changed", "group")))
-    rows = placed.select(*keys, commit, "kind", "file_path", "ordinal", "group", F.explode(shown).alias("action"))
-    seen = F.min(F.struct("ordinal", "file_path")).alias("seen")
-    counts = rows.groupBy(*keys, "kind", "action").agg(F.count_distinct(commit).alias("n"), F.slice(F.array_sort(F.collect_set("file_path")), 1, 5).alias("files"), seen)
-    place = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("group"))
-    modes = rows.groupBy(*keys, "action", "group").agg(F.count("*").alias("g")).withColumn("r", F.row_number().over(Window.partitionBy(*keys, "action").orderBy(F.col("g").desc(), place))).where("r = 1").select(*keys, "action", "group")
+    scratch = Tables(files.sparkSession, "workflow_actions")
+    known = files.select("file_path").distinct().select(F.col("file_path").alias("path"), F.struct(*(c.alias(n) for n, c in path_facts(F.col("file_path")).items())).alias("fact"))
+    placed = files.join(known, F.col("file_path").eqNullSafe(F.col("path"))).withColumn("group", action_group(F.col("fact"), F.col("kind"), F.col("direct"), F.col("supports")))
+    shown = file_actions(*(F.col(c) for c in ("fact", "message", "kind", "found", "options", "changed", "group")))
+    rows = scratch.keep(placed.select(*keys, F.col(commit).alias("commit"), "kind", "file_path", "ordinal", "group", shown.alias("bits")), "rows")
+
+    def by_action(df: DataFrame, by: list[str], value, name: str) -> DataFrame:
+        """A row for each action that has a value."""
+        return df.select(*by, F.posexplode(F.array(*map(value, range(len(ACTIONS)))))).where("col is not null").select(*by, F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("pos") + 1).alias("action"), F.col("col").alias(name))
+
+    def counted(df: DataFrame, by: list[str], name: str) -> DataFrame:
+        sums = df.groupBy(*by).agg(*(F.sum(_shows(F.col("bits"), i)).alias(f"n{i}") for i in range(len(ACTIONS))))
+        return by_action(sums, by, lambda i: F.when(F.col(f"n{i}") > 0, F.col(f"n{i}")), name)
+
+    # one exchange by keys and commit serves both groupings
+    commits = rows.where("commit is not null").select(*keys, "commit", "kind", "bits").repartition(*keys, "commit").groupBy(*keys, "commit", "kind").agg(F.bit_or("bits").alias("bits"))
+    sizes = commits.select(*keys, "commit").distinct().groupBy(*keys).agg(F.count("*").alias("commits"))
     enough = F.least(F.lit(2), F.greatest(F.lit(1), F.ceil(F.col("commits") * F.lit(0.35))))
-    kept = counts.join(sizes, keys).where(F.col("n") >= enough).join(modes, [*keys, "action"])
+    counts = counted(commits, [*keys, "kind"], "n").join(sizes, keys).where(F.col("n") >= enough)
+    place = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("group"))
+    modes = counted(rows, [*keys, "group"], "g").withColumn("r", F.row_number().over(Window.partitionBy(*keys, "action").orderBy(F.col("g").desc(), place))).where("r = 1").select(*keys, "action", "group")
+    # per file and action the first ordinal; none sorts before all others
+    firsts = [F.min(F.when(_shows(F.col("bits"), i) == 1, F.col("ordinal"))).alias(f"o{i}") for i in range(len(ACTIONS))]
+    unordered = F.bit_or(F.when(F.col("ordinal").isNull(), F.col("bits")).otherwise(F.lit(0).cast("long"))).alias("unordered")
+    paths = rows.where("bits <> 0").groupBy(*keys, "kind", "file_path").agg(F.bit_or("bits").alias("bits"), unordered, *firsts)
+    first = lambda i: F.when(_shows(F.col("bits"), i) == 1, F.struct(F.when(_shows(F.col("unordered"), i) == 0, F.col(f"o{i}")).alias("ordinal"), F.col("file_path")))
+    each = by_action(paths, [*keys, "kind"], first, "seen")
+    seen = each.groupBy(*keys, "kind", "action").agg(F.slice(F.array_sort(F.collect_set("seen.file_path")), 1, 5).alias("files"), F.min("seen").alias("seen"))
+    kept = counts.join(seen, [*keys, "kind", "action"]).join(modes, [*keys, "action"])
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(action_place(F.col("action"), F.col("kind")), F.col("n").desc(), "seen", "action"))
-    return kept.select(*keys, "kind", "action", "group", "n", "files", rank.alias("rank"))
+    actions = scratch.keep(kept.select(*keys, "kind", "action", "group", "n", "files", rank.alias("rank")), "actions")
+    scratch.drop("rows")
+    return actions
 
 
 #: Actions at the core of a workflow by kind; other kinds: all of group source or test (fixed values).

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from histolode.functions import expr, rules
 from histolode.functions.tables import Tables
-from histolode.operators import candidates, classify, clusters, cochange, diff, families, fingerprints, lifecycle, render, signals
+from histolode.operators import candidates, classify, clusters, cochange, diff, families, fingerprints, lifecycle, render, signals, workflow
 from histolode.plans import skills as skills_plan
 from histolode.plans.bindings import COMMIT_FILE, bind
 from tests.compare import SF
@@ -365,4 +365,29 @@ def test_banners_are_replaced():
     first = render.with_banner("# T\n\n---\nrule", row)
     assert first.startswith("Status: stale\nGenerated from HEAD: h\nLast refreshed: d1\nEvidence commits: 1\nWarning") and first.endswith("---\n# T\n\n---\nrule")
     second = render.with_banner(first, row | {"status": "fresh", "human_approved": True, "approved_by": "me"})
-    assert second.startswith("Status: human-approved\n") and second.count("Status:") == 1 and "Approved by: me\nHuman approved: true\n---\n# T" in second
\ No newline at end of file
+    assert second.startswith("Status: human-approved\n") and second.count("Status:") == 1 and "Approved by: me\nHuman approved: true\n---\n# T" in second
+
+def test_workflow_actions_judge_each_path_once(spark):
+    # judging the long paths on every row took minutes
+    paths = [f"src/{'part/' * 800}f{i}.ts" for i in range(5)]
+    path = F.element_at(F.array(*map(F.lit, paths)), (F.col("id") % 5 + 1).cast("int"))
+    rows = spark.range(40000).select(F.lit("r").alias("repo"), (F.col("id") % 20000).alias("hash"), path.alias("file_path"), F.when(F.col("id") == 3, "Fix error").otherwise("Work").alias("message"), F.lit("source-workflow").alias("kind"), F.array(F.struct(F.lit("config_changed").alias("type"), F.lit("x").alias("value"))).alias("found"),
+        F.lit(False).alias("options"), F.lit(True).alias("changed"), F.lit(True).alias("direct"), (F.col("id") % 5 == 0).alias("supports"), F.when(F.col("id") != 7, -F.col("id")).alias("ordinal"))
+    begin = time.time()
+    found = {r["action"]: r for r in workflow.workflow_actions(rows, ["repo"], "hash").collect()}
+    assert time.time() - begin < 30
+    assert {a: (r["n"], r["group"], r["files"], r["rank"]) for a, r in found.items()} == {"modified_function": (16000, "source", paths[1:], 1), "changed_config_key": (20000, "source", paths, 2)}
+
+
+def test_workflow_actions_of_two_kinds_and_rows_without_commit_or_path(spark):
+    def row(commit, path, kind, message, supports, ordinal):
+        return ("r", commit, path, message, kind, [("function_added", "f")], False, True, True, supports, ordinal)
+
+    rows = [row("a", "x/a.ts", "ui", "Work", False, 2), row("a", "x/b.ts", "api", "Work", True, 2), row("b", "x/b.ts", "ui", "Throw", True, 1), row("b", None, "ui", "Throw", True, None), row(None, "x/c.ts", "ui", "Throw", False, 3)]
+    schema = "repo string, hash string, file_path string, message string, kind string, found array<struct<type:string,value:string>>, options boolean, changed boolean, direct boolean, supports boolean, ordinal int"
+    found = workflow.workflow_actions(spark.createDataFrame(rows, schema), ["repo"], "hash").collect()
+    # of two commits one is enough; an action's group is its most frequent one, source at a tie
+    assert {(r["kind"], r["action"]): (r["n"], r["group"], r["files"]) for r in found} == {
+        ("ui", "added_function"): (2, "supporting", ["x/a.ts", "x/b.ts", "x/c.ts"]), ("api", "added_function"): (1, "supporting", ["x/b.ts"]),
+        ("ui", "modified_function"): (1, "source", ["x/a.ts", "x/c.ts"]), ("ui", "changed_error_handling"): (1, "supporting", ["x/b.ts", "x/c.ts"]),
+    }
