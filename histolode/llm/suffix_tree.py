@@ -43,9 +43,12 @@ from .common import Scratch, grouped, mapped, mix, pack, parts_for, ship, steps,
 #: Pseudo-counts k among which each state chooses; the reply codes are their places from 1.
 STRENGTHS = np.array([0.25, 0.5, 1, 2, 5, 20, 100, 500])
 CHUNK_TOKENS = 1_500_000
+#: From this level on walks are saved; before, they are larger than texts and replies, and walked again.
+SAVED_FROM = 3
 _CHUNK = "chunk long, doc_ids binary, has_id binary, train binary, lens binary, ids binary, part_sizes binary, words binary, n_train binary"
 _REPLY = "chunk long, part int, level int, ids binary, counts binary, n long, v long, state long, gains array<double>"
-_REQUEST = "chunk long, part int, grams binary, n_train binary, n_state binary, p binary"
+_SAVED = "chunk long, walk binary"
+_REQUEST = "chunk long, part int, grams binary, n long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -187,110 +190,153 @@ class Model:
 
 
 class Walk:
-    """A chunk's tokens with all replies so far: their states, and their probabilities in the longest one.
+    """A chunk at one level: the grams of tokens whose suffix state is in the tree, and what the others summed to.
 
     A gram is known by its state (the gram of the level below, one token back) and its
-    last symbol; hashes grow with it, and global ids are only looked up for requests.
+    last symbol; hashes grow with it, and global ids of symbols are looked up for them.
+    ``save`` has all that the next level needs, so deep levels are not walked again.
     """
 
-    def __init__(self, model: Model, chunk: dict, replies: list[dict], depth: int) -> None:
-        self.model = model
-        self.train, self.lens = unpack(chunk["train"]).astype(bool), unpack(chunk["lens"]).astype(np.int64)
-        self.tokens = unpack(chunk["ids"]).astype(np.int32)
-        sizes = unpack(chunk["part_sizes"])
-        by_level: dict[int, list[dict]] = {}
-        for r in replies:
-            by_level.setdefault(r["level"], []).append(r)
-        answers = {r["part"]: r for r in by_level.get(0, [])}
-        known = [answers[k] for k in np.flatnonzero(sizes).tolist()]
+    #: Saved arrays: of texts, of words, of tokens, of states and of grams.
+    FIELDS = ("doc_ids", "has_id", "train", "lens", "known", "base", "done", "gid", "steps", "place", "state_hash", "state_count", "state_sizes", "symbol", "parent")
+
+    def __init__(self, model: Model, level: int) -> None:
+        self.model, self.level = model, level
+
+    @classmethod
+    def begin(cls, model: Model, chunk: dict, replies: list[dict]) -> Walk:
+        self = cls(model, 0)
+        self.doc_ids, self.has_id, self.train, self.lens = (unpack(chunk[c]) for c in ("doc_ids", "has_id", "train", "lens"))
+        tokens, answers = unpack(chunk["ids"]).astype(np.int32), {r["part"]: r for r in replies}
+        known = [answers[k] for k in np.flatnonzero(unpack(chunk["part_sizes"])).tolist()]
         self.gid = np.concatenate([np.zeros(1, np.uint64), *(unpack(r["ids"]).astype(np.uint64) for r in known)])
-        self.count = np.concatenate([np.array([model.n_docs]), *(unpack(r["counts"]).astype(np.int64) for r in known)])
-        self.starts = np.cumsum(self.lens) - self.lens
-        self.p = model.root(self.count.astype(float))[self.tokens]
-        # gram[i]: place of the gram that ends at token i among the distinct ones, -1 for none
-        self.gram, self.gram_count, self.gram_hash = self.tokens, self.count, _more_hash(np.full(len(self.gid), _SEED), self.gid)
-        self.at = np.arange(len(self.tokens), dtype=np.int32)  # tokens whose suffix state is in the tree
-        self.steps: list[tuple[np.ndarray, np.ndarray]] = []
-        for level in range(1, depth + 1):
-            self.extend(level)
-            if level in by_level:
-                self.answer(by_level[level])
-
-    def extend(self, level: int) -> None:
-        """The distinct grams of the next level, whose states are this level's grams one token back."""
-        before = np.empty(len(self.tokens), np.int32)
-        before[1:] = self.gram[:-1]
-        before[self.starts] = 0 if level == 1 else -1
-        enough = np.append(self.gram_count >= self.model.min_count, False)  # place -1: no gram
-        state = before[self.at]
-        use = enough[state]
-        self.at, state = self.at[use], state[use]
-        key = (state.astype(np.int64) << 32) | self.tokens[self.at]
-        distinct, place = np.unique(key, return_inverse=True)
-        self.place = place.astype(np.int32)
-        self.state, self.symbol = (distinct >> 32).astype(np.int32), (distinct & 0xFFFFFFFF).astype(np.int32)
-        self.steps.append((self.state, self.symbol))
-        self.state_count, self.state_hash = self.gram_count[self.state], self.gram_hash[self.state]
-        self.gram_hash = _more_hash(self.state_hash, self.gid[self.symbol])
-        self.gram = np.full(len(self.tokens), -1, np.int32)
-        self.gram[self.at] = self.place
-        self.parent = np.zeros(len(distinct))
-        self.parent[self.place] = self.p[self.at]
-        hot = self.state_count > self.model.hot_from
-        spread = np.where(hot, self.gram_hash, self.state_hash) if hot.any() else self.state_hash
-        self.part = (spread % np.uint64(self.model.n_parts)).astype(np.int64)
+        count = np.concatenate([np.array([model.n_docs]), *(unpack(r["counts"]).astype(np.int64) for r in known)])
+        self._texts()
+        root = model.root(count.astype(float))
+        self.known = np.add.reduceat((count > 0).astype(np.int64)[tokens], self.starts)
+        self.base, self.done = np.add.reduceat(np.log10(root)[tokens], self.starts), np.zeros(len(self.lens))
+        self.at, self.place, self.symbol = np.arange(len(tokens), dtype=np.int32), tokens, np.arange(len(self.gid), dtype=np.int32)
+        self.inside, self.count, self.hash, self.value = np.ones(len(tokens), bool), count, _more_hash(np.full(len(self.gid), _SEED), self.gid), root
+        return self
+
+    @classmethod
+    def resume(cls, model: Model, level: int, saved: bytes) -> Walk:
+        """What ``save`` made of a level."""
+        self = cls(model, level)
+        for name, values in zip(cls.FIELDS, _apart(saved), strict=True):
+            setattr(self, name, values)
+        self._texts(), self._grams()
+        self.at = np.cumsum(self.steps, dtype=np.int32)
+        return self
 
     def answer(self, replies: list[dict]) -> None:
-        answers = {r["part"]: r for r in replies}
-        values = np.zeros(len(self.state), np.int64)
+        """The merge tasks' replies to this level's requests."""
+        values, answers = np.zeros(len(self.symbol), np.int64), {r["part"]: r for r in replies}
         for part, at in _split(self.part):
             values[at] = unpack(answers[part]["counts"])
-        count, code = values >> 4, values & 15
-        for i in np.flatnonzero(self.state_count > self.model.hot_from):
-            code[i] = self.model.hot.get(int(self.state_hash[i].view(np.int64)), 0)
-        kept = code > 0
+        self.count, code = values >> 4, values & 15
+        hot, spread = self.state_count > self.model.hot_from, np.zeros(len(self.state_hash), np.int64)
+        for i in np.flatnonzero(hot):
+            spread[i] = self.model.hot.get(int(self.state_hash[i].view(np.int64)), 0)
+        code = np.where(hot[self.state], spread[self.state], code)
         strength = STRENGTHS[np.maximum(code, 1) - 1]
-        better = (count + strength * self.parent) / (self.state_count + strength)
-        inside = kept[self.place]
-        self.at = self.at[inside]
-        self.p[self.at] = better[self.place[inside]]
-        self.gram_count = count
-
-    def columns(self) -> list[np.ndarray]:
-        """The global ids of the last level's grams, first symbol first."""
-        out, at = [], np.arange(len(self.state))
-        for state, symbol in reversed(self.steps):
-            out.append(self.gid[symbol[at]])
-            at = state[at]
-        return [self.gid[at], *reversed(out)]
+        self.value = (self.count + strength * self.parent) / (self.state_count[self.state] + strength)
+        self.inside = (code > 0)[self.place]
+        self._leave(self.at[~self.inside], self.place[~self.inside], self.parent)
+
+    def _texts(self) -> None:
+        self.lens = self.lens.astype(np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.text = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
+
+    def _grams(self) -> None:
+        """What follows from the states and symbols of the grams."""
+        self.state = np.repeat(np.arange(len(self.state_hash), dtype=np.int32), self.state_sizes)
+        state_hash = self.state_hash[self.state]
+        self.hash = _more_hash(state_hash, self.gid[self.symbol])
+        hot = (self.state_count > self.model.hot_from)[self.state]
+        self.part = (np.where(hot, self.hash, state_hash) % np.uint64(self.model.n_parts)).astype(np.int64)
+
+    def _leave(self, at: np.ndarray, place: np.ndarray, p: np.ndarray) -> None:
+        """Adds tokens, scored by their grams' p, to their texts' sums; no longer state of theirs is in the tree."""
+        self.done = self.done + np.bincount(self.text[at], np.log10(p)[place], len(self.lens))
+
+    def extend(self) -> None:
+        """The distinct grams of the next level, whose states are this level's grams one token back."""
+        self.level += 1
+        gram = np.full(len(self.text), -1, np.int32)  # -1: no gram
+        gram[self.at] = self.place
+        before = np.empty_like(gram)
+        before[1:] = gram[:-1]
+        before[self.starts] = 0 if self.level == 1 else -1
+        enough = np.append(self.count >= self.model.min_count, False)
+        at, place = self.at[self.inside], self.place[self.inside]
+        use = enough[before[at]]
+        self._leave(at[~use], place[~use], self.value)
+        self.at, place = at[use], place[use]
+        state, self.symbol, found = _distinct(before[self.at], self.symbol[place])
+        self.parent = np.zeros(len(state))
+        self.parent[found] = self.value[place]
+        self.place = found
+        first = np.flatnonzero(np.r_[True, state[1:] != state[:-1]]) if len(state) else np.zeros(0, np.int64)
+        self.state_sizes = np.diff(first, append=len(state)).astype(np.int32)
+        self.state_hash, self.state_count = self.hash[state[first]], self.count[state[first]]
+        self._grams()
+
+    def save(self) -> bytes:
+        self.steps = np.diff(self.at, prepend=np.int32(0))
+        return _together([getattr(self, name) for name in self.FIELDS])
 
     def requests(self, chunk: int) -> pa.Table:
+        """A row for each merge task."""
         rows: dict[str, list] = {n.split()[0]: [] for n in _REQUEST.split(", ")}
-        token_train = np.repeat(self.train, self.lens)
-        n_train = np.bincount(self.place[token_train[self.at]], minlength=len(self.state)).astype(np.uint32)
-        columns, n_state, p = [_short(c) for c in self.columns()], _short(self.state_count.astype(np.uint64)), self.parent.astype(np.float32)
+        train = self.train.astype(bool)[self.text[self.at]]
+        n_train = np.bincount(self.place[train], minlength=len(self.symbol)).astype(np.uint32)
+        n_state, p = self.state_count.astype(np.uint64), self.parent.astype(np.float32)
         for part, at in _split(self.part):
-            grams = b"".join(len(b).to_bytes(4, "little") + b for b in (pack(c[at]) for c in columns))
-            for name, value in zip(rows, (chunk, part, grams, pack(n_train[at]), pack(n_state[at]), pack(p[at])), strict=True):
+            state = self.state[at]
+            first = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
+            sizes, states = np.diff(first, append=len(state)).astype(np.uint32), state[first]
+            grams = _together([self.state_hash[states], _short(n_state[states]), sizes, _short(self.gid[self.symbol[at]]), n_train[at], p[at]])
+            for name, value in zip(rows, (chunk, part, grams, len(at)), strict=True):
                 rows[name].append(value)
         return _table(rows, _REQUEST)
 
-    def scores(self, chunk: dict) -> pa.Table:
-        known, base = (self.count > 0).astype(np.int64)[self.tokens], np.log10(self.model.root(self.count.astype(float)))[self.tokens]
-        total = lambda x: np.add.reduceat(x, self.starts)
-        has_id = unpack(chunk["has_id"]).astype(bool)
+    def scores(self) -> pa.Table:
+        self._leave(self.at[self.inside], self.place[self.inside], self.value)
         return pa.table({
-            "doc_id": pa.array(unpack(chunk["doc_ids"]), pa.int64(), mask=~has_id), "held_out": pa.array(~self.train), "n_tokens": pa.array(self.lens), "n_known": pa.array(total(known)),
-            "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(self.p))),
+            "doc_id": pa.array(self.doc_ids, pa.int64(), mask=~self.has_id.astype(bool)), "held_out": pa.array(~self.train.astype(bool)), "n_tokens": pa.array(self.lens), "n_known": pa.array(self.known),
+            "base_score": pa.array(self.base), "score": pa.array(self.done),
         })
 
 
-def _grams(blob: bytes) -> list[np.ndarray]:
+def _distinct(state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and each row's place among them."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (state, symbol)]
+    low = len(state).bit_length()
+    if sum(bits) + low > 63:
+        distinct, found = np.unique((state.astype(np.int64) << 32) | symbol, return_inverse=True)
+        return distinct >> 32, (distinct & 0xFFFFFFFF).astype(np.int32), found.astype(np.int32)
+    # rows' numbers below their keys: sorting values is several times faster than sorting their places
+    keys = np.sort((((state.astype(np.int64) << bits[1]) | symbol) << low) | np.arange(len(state)))
+    rows, keys = keys & ((1 << low) - 1), keys >> low
+    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    found = np.empty(len(keys), np.int32)
+    found[rows] = np.cumsum(new, dtype=np.int32) - 1
+    distinct = keys[new]
+    return distinct >> bits[1], (distinct & ((1 << bits[1]) - 1)).astype(np.int32), found
+
+
+def _together(arrays: list[np.ndarray]) -> bytes:
+    return b"".join(len(b).to_bytes(8, "little") + b for b in map(pack, arrays))
+
+
+def _apart(blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(blob):
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(unpack(blob[at + 4 : at + 4 + n]).astype(np.uint64))
-        at += 4 + n
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(unpack(blob[at + 8 : at + 8 + n]))
+        at += 8 + n
     return out
 
 
@@ -307,14 +353,13 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _merge(model: Model, level: int):
     def run(table: pa.Table) -> pa.Table:
         part, chunk = table.column("part")[0].as_py(), table.column("chunk").to_pylist()
-        parsed = [_grams(b) for b in table.column("grams").to_pylist()]
-        columns = [np.concatenate(c) for c in zip(*parsed, strict=True)]
-        n, n_state, p = (np.concatenate([unpack(b) for b in table.column(c).to_pylist()]) for c in ("n_train", "n_state", "p"))
-        state, sizes = _hash(columns[:-1]), [len(g[0]) for g in parsed]
-        order, starts, gram = _runs(_more_hash(state, columns[-1]))
+        sizes = table.column("n").to_pylist()
+        hashes, states, repeats, symbols, n, p = (np.concatenate(c) for c in zip(*map(_apart, table.column("grams").to_pylist()), strict=True))
+        state, n_state = np.repeat(hashes, repeats), np.repeat(states, repeats)
+        order, starts, gram = _runs(_more_hash(state, symbols))
         count = np.add.reduceat(n[order].astype(np.int64), starts)
         head = order[starts]
-        del columns, parsed
+        del hashes, states, repeats, symbols
         gain_of = count > 0
         head_g, c, s, q = head[gain_of], count[gain_of], n_state[head[gain_of]].astype(float), p[head[gain_of]].astype(float)
         code = np.zeros(len(head), np.int64)
@@ -350,15 +395,52 @@ def _merge(model: Model, level: int):
     return run
 
 
-def _walked(made: DataFrame, replies: DataFrame, function, schema: str) -> DataFrame:
-    ship(made.sparkSession)
+def _walked(walks: DataFrame, replies: DataFrame, function, schema: str) -> DataFrame:
+    ship(walks.sparkSession)
     answers = replies.where("chunk >= 0").select("chunk", "part", "level", "ids", "counts")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = left.slice(0, 1).to_pylist()[0]
-        return function(chunk, right.to_pylist())
+        return function(left.slice(0, 1).to_pylist()[0], right.to_pylist())
+
+    return walks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
-    return made.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+def _answered(model: Model, level: int):
+    """The walk of a chunk through a level and its replies."""
+
+    def run(row: dict, replies: list[dict]) -> Walk:
+        if "walk" in row:
+            walk = Walk.resume(model, level, row["walk"])
+            walk.answer(replies)
+            return walk
+        by_level = [[r for r in replies if r["level"] == n] for n in range(level + 1)]
+        walk = Walk.begin(model, row, by_level[0])
+        for found in by_level[1:]:
+            walk.extend()
+            walk.answer(found)
+        return walk
+
+    return run
+
+
+def _extended(model: Model, level: int, function):
+    """A function of a chunk's number and its walk one level further."""
+
+    def run(row: dict, replies: list[dict]) -> pa.Table:
+        walk = _answered(model, level)(row, replies)
+        walk.extend()
+        return function(row["chunk"], walk)
+
+    return run
+
+
+def _ask(model: Model, level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from Walk.resume(model, level, row["walk"]).requests(row["chunk"]).to_batches()
+
+    return run
 
 
 def score_texts(docs: DataFrame, max_depth: int | None = None, min_count: int = 2, min_gain: float = 0.02, last_level_gain: float = 0.0) -> DataFrame:
@@ -370,15 +452,22 @@ def score_texts(docs: DataFrame, max_depth: int | None = None, min_count: int =
     scratch, n_parts = Scratch(spark, "suffix_tree"), parts_for(docs)
     made = scratch.keep(chunks(docs.select(F.col("doc_id").cast("long"), "text", "train"), n_parts), "chunks")
     replies = scratch.keep(count_words(made, n_parts), "level0")
-    made = made.drop("words", "n_train")  # known from here on by their parts' answers
+    made = scratch.keep(made.drop("words", "n_train"), "texts")  # words are known from here on by their parts' answers
+    scratch.drop("chunks")
     n_docs = docs.where("train").count()
     words, distinct = replies.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     model = Model(words + n_docs, distinct + (n_docs > 0), n_docs, n_parts, min_count, min_gain)
-    depth = 0
+    depth, walks, read = 0, made, ["texts", "level0"]
     while max_depth is None or depth < max_depth:
         level = depth + 1
-        asked = _walked(made, replies, lambda chunk, rows, model=model, level=level: Walk(model, chunk, rows, level).requests(chunk["chunk"]), _REQUEST)
+        if level < SAVED_FROM:
+            asked = _walked(walks, replies, _extended(model, depth, lambda chunk, walk: walk.requests(chunk)), _REQUEST)
+        else:
+            walks = scratch.keep(_walked(walks, replies, _extended(model, depth, lambda chunk, walk: _table({"chunk": [chunk], "walk": [walk.save()]}, _SAVED)), _SAVED), f"walk{level}")
+            scratch.drop(*read)  # a saved walk has all that the next level needs
+            asked, read = mapped(walks, _ask(model, level), _REQUEST), [f"walk{level}"]
         reply = scratch.keep(grouped(asked, ["part"], _merge(model, level), _REPLY), f"level{level}")
+        read.append(f"level{level}")
         sums = [F.sum(F.element_at("gains", k + 1)).alias(f"g{k}") for k in range(len(STRENGTHS))]
         hot = reply.where("state is not null").groupBy("state").agg(F.max("n"), *sums).collect()  # at most n_parts states
         gained = reply.where("chunk < 0 and state is null").agg(F.coalesce(F.sum(F.element_at("gains", 1)), F.lit(0.0))).first()[0]
@@ -387,8 +476,8 @@ def score_texts(docs: DataFrame, max_depth: int | None = None, min_count: int =
             if gains.max() >= min_gain * row[1]:
                 model.hot[row[0]] = int(gains.argmax()) + 1
                 gained += gains.max()
-        replies, depth = replies.unionByName(reply), level
+        replies, depth = replies.unionByName(reply) if level < SAVED_FROM else reply, level
         if gained <= last_level_gain * model.n_tokens:
             break
-    scores = _walked(made, replies, lambda chunk, rows: Walk(model, chunk, rows, depth).scores(chunk), _SCORES)
+    scores = _walked(walks, replies, lambda row, found: _answered(model, depth)(row, found).scores(), _SCORES)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

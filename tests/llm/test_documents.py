@@ -92,6 +92,25 @@ def test_suffix_tree_grows_until_no_context_passes(spark):
     assert whole == scores(last_level_gain=0.0) != scores(last_level_gain=0.5)
 
 
+@pytest.mark.parametrize("depth, kept", [(0, ["level0", "texts"]), (3, ["level3", "walk3"]), (4, ["level4", "walk4"])])
+def test_suffix_tree_resumes_the_walks_of_deep_levels(spark, depth, kept):
+    # with the replies of all levels, each level was walked again for all deeper ones
+    docs = data.documents(spark, DATA).withColumn("train", F.lit(True))
+    with common.Scratch.collected() as made:
+        scores = suffix_tree.score_texts(docs, depth)
+    assert [sorted(tables.paths) for tables in made] == [kept]
+    assert scores.count() == len(DATA)
+
+
+@pytest.mark.parametrize("n, high", [(0, 5), (1, 5), (2000, 20), (2000, 1 << 30)])
+def test_distinct_pairs_and_places(n, high):
+    state, symbol = (np.random.default_rng(i).integers(0, high, n).astype(np.int32) for i in (1, 2))
+    a, b, place = suffix_tree._distinct(state, symbol)
+    pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+    assert pairs == sorted(set(zip(state.tolist(), symbol.tolist(), strict=True)))
+    assert [pairs[i] for i in place] == list(zip(state.tolist(), symbol.tolist(), strict=True))
+
+
 def test_suffix_tree_on_odd_tables(spark):
     docs = data.documents(spark, data.with_odd_rows(DATA)).withColumn("train", id_text_crc() % 10 != 0)
     assert suffix_tree.score_texts(docs).count() == len(DATA) + 4
