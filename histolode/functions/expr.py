@@ -56,7 +56,8 @@ def distinct_sorted(values: Column) -> Column:
 
 
 def normalize_path(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./+", "")
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(p.startswith("./"), F.regexp_replace(p, r"^\./+", "")).otherwise(p)
 
 
 def base_name(path: Column) -> Column:
@@ -65,7 +66,7 @@ def base_name(path: Column) -> Column:
 
 def directory_of(path: Column) -> Column:
     p = normalize_path(path)
-    return F.when(F.contains(p, F.lit("/")), F.regexp_replace(p, r"/[^/]*\z", "")).otherwise(F.lit("repo root"))
+    return F.when(F.contains(p, F.lit("/")), F.substr(p, F.lit(1), F.length(p) - F.length(F.substring_index(p, "/", -1)) - 1)).otherwise(F.lit("repo root"))
 
 
 def ext_name(path: Column) -> Column:

@@ -6,18 +6,22 @@ import re
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: One row per changed file: parts of an order as files of a commit.
-COMMIT_FILE = """
-select concat('r', cast(o_custkey % 40 as varchar(9))) as repo_id, l_orderkey as commit_id, o_orderdate as commit_ts,
-  concat(case p_size % 8 when 0 then 'tests/' when 1 then 'docs/' when 2 then 'config/' when 3 then 'src/commands/'
+from ..functions.tables import Tables
+
+_PART_PATH = """concat(case p_size % 8 when 0 then 'tests/' when 1 then 'docs/' when 2 then 'config/' when 3 then 'src/commands/'
            when 4 then 'ui/src/components/' when 5 then 'server/api/' when 6 then 'migrations/' else 'reports/' end,
          lower(p_type), '/', replace(p_name, ' ', '_'),
          case p_size % 8 when 0 then '.test.ts' when 1 then '.md' when 2 then '.yaml' when 3 then '.rs'
-           when 4 then '.component.ts' when 5 then '.ts' when 6 then '.sql' else '.report.json' end) as file_path
+           when 4 then '.component.ts' when 5 then '.ts' when 6 then '.sql' else '.report.json' end)"""
+#: One row per changed file: parts of an order as files of a commit.
+COMMIT_FILE = """
+select concat('r', cast(o_custkey % 40 as varchar(9))) as repo_id, l_orderkey as commit_id, o_orderdate as commit_ts,
+  {_PART_PATH} as file_path
 from {lineitem} join {part} on l_partkey = p_partkey join {orders} on l_orderkey = o_orderkey
 group by 1, 2, 3, 4
-"""
+""".replace("{_PART_PATH}", _PART_PATH)
 
 #: Hand-picked paths that reach what the tables do not.
 SAMPLE_PATHS = [
@@ -52,6 +56,18 @@ def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(_NAMES.sub(rf"\1_{suffix}", sql).replace("\\", "\\\\"))
 
 
+def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``COMMIT_FILE``: a part's path is made once, and rows are told apart by the numbers of their paths."""
+    paths = bind(spark, sf_dir, f"select p_partkey, {_PART_PATH} as path from {{part}}")
+    known = Tables(spark, "commit_files").keep(paths.select(F.col("path").alias("file_path")).distinct().withColumn("number", F.monotonically_increasing_id()), "paths")
+    parts = paths.join(known, F.col("path").eqNullSafe(F.col("file_path"))).select("p_partkey", "number")
+    commits = bind(spark, sf_dir, "select o_orderkey, o_custkey % 40 as repo, o_orderdate as commit_ts from {orders}")
+    lines = bind(spark, sf_dir, "select l_orderkey as commit_id, l_partkey from {lineitem}")
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(commits, F.col("commit_id") == F.col("o_orderkey"))
+    found = joined.select("repo", "commit_id", "commit_ts", "number").distinct().join(known, "number")
+    return found.select(F.concat(F.lit("r"), F.col("repo").cast("string")).alias("repo_id"), "commit_id", "commit_ts", "file_path")
+
+
 def plain(sql: str) -> str:
     """The same SQL for DuckDB, where the tables are views."""
     return _NAMES.sub(r"\1", sql)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, rules
 from ..operators import cochange, joins, lifecycle, naming, render, signals, workflow
-from .bindings import COMMIT_FILE, bind, literal, plain, sql_directory, sql_fixed2, sql_match
+from .bindings import COMMIT_FILE, bind, commit_files, literal, plain, sql_directory, sql_fixed2, sql_match
 from .graph import _PAIRS
 from .paths import NOISY, PATH_SIGNALS, ROLE, N
 from .texts import sql_tokens, sql_words
@@ -150,7 +150,8 @@ actions as (select repo_id, surface, kind, action, "group", n, files, row_number
 
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = bind(spark, sf_dir, _CHANGED).withColumn("surface", expr.directory_of(c("file_path"))).withColumn("found", F.array(F.struct("type", "value")))
+    commit_files(spark, sf_dir).createOrReplaceTempView("changed_commit_files")
+    f = spark.sql(_CHANGED.replace(COMMIT_FILE, "table changed_commit_files")).withColumn("surface", expr.directory_of(c("file_path"))).withColumn("found", F.array(F.struct("type", "value")))
     return workflow.workflow_actions(f, ["repo_id", "surface"], "commit_id")
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
@@ -10,7 +11,7 @@ from histolode.functions import expr, rules
 from histolode.functions.tables import Tables
 from histolode.operators import candidates, classify, clusters, cochange, diff, families, fingerprints, lifecycle, render, signals, workflow
 from histolode.plans import skills as skills_plan
-from histolode.plans.bindings import COMMIT_FILE, bind
+from histolode.plans.bindings import COMMIT_FILE, bind, commit_files
 from tests.compare import SF
 
 
@@ -379,6 +380,40 @@ def test_workflow_actions_judge_each_path_once(spark):
     assert {a: (r["n"], r["group"], r["files"], r["rank"]) for a, r in found.items()} == {"modified_function": (16000, "source", paths[1:], 1), "changed_config_key": (20000, "source", paths, 2)}
 
 
+def test_workflow_actions_make_their_rows_once(spark):
+    # rows were made a second time to find their paths
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        made.add(1)
+        return f"src/f{n % 3}.ts"
+
+    row = {"message": F.lit("Work"), "kind": F.lit("commands"), "options": F.lit(False), "changed": F.lit(True), "direct": F.lit(True), "supports": F.lit(False), "ordinal": -F.col("id")}
+    found = F.array(F.struct(F.lit("cli_command_changed").alias("type"), F.when(F.col("id") % 2 == 0, "--Serialize").otherwise("go").alias("value")))
+    rows = spark.range(40).select(F.lit("r").alias("repo"), F.col("id").alias("hash"), F.udf(counted)(F.col("id")).alias("file_path"), found.alias("found"), *(v.alias(k) for k, v in row.items()))
+    actions = {r["action"]: r["n"] for r in workflow.workflow_actions(rows, ["repo"], "hash").collect()}
+    assert made.value == 40
+    assert actions == {"added_cli_option": 20, "changed_cli_option": 20, "modified_function": 40, "changed_output_formatting": 20}
+
+
+def test_commit_files_are_those_of_the_sql(spark, tmp_path):
+    # parts with one path and key twice, without name or key; orders twice, without customer
+    spark.sql("select * from values (1L, 'a b', 'X', 1), (2L, 'a b', 'X', 9), (2L, 'c', 'X', 2), (3L, cast(null as string), 'Y', 3), (cast(null as bigint), 'd', 'Y', 4) as (p_partkey, p_name, p_type, p_size)").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select * from values (1L, 41L, date'2020-01-01'), (1L, 1L, date'2020-01-01'), (1L, 1L, date'2020-01-02'), (2L, cast(null as bigint), date'2020-01-01') as (o_orderkey, o_custkey, o_orderdate)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(24).selectExpr("cast(1 + id % 3 as bigint) as l_orderkey", "if(id % 4 = 0, null, id % 4) as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for folder in (SF, str(tmp_path)):
+        names = ["repo_id", "commit_id", "commit_ts", "file_path"]
+        expected, found = (Counter(df.select(*names).collect()) for df in (bind(spark, folder, COMMIT_FILE), commit_files(spark, folder)))
+        assert found == expected and found
+
+
+def test_directories_of_odd_paths(spark):
+    paths = ["a/b.ts", "a\\\\b\\c.ts", ".//./x", "./x", "/", "/a", "é/ü/ö.ts", "a/b\n", "a/\nb/c\nd", "", "a//", "..", "./", "x"]
+    rows = spark.createDataFrame([(p,) for p in [*paths, None]], "p string").select("p", expr.normalize_path(F.col("p")).alias("n"), expr.directory_of(F.col("p")).alias("d")).collect()
+    normal = [re.sub(r"^\./+", "", p.replace("\\", "/")) for p in paths]
+    assert [(r["n"], r["d"]) for r in rows] == [*((n, re.sub(r"/[^/]*\Z", "", n) if "/" in n else "repo root") for n in normal), (None, "repo root")]
+
+
 def test_workflow_actions_of_two_kinds_and_rows_without_commit_or_path(spark):
     def row(commit, path, kind, message, supports, ordinal):
         return ("r", commit, path, message, kind, [("function_added", "f")], False, True, True, supports, ordinal)
