@@ -342,48 +342,60 @@ def _apart(blob: bytes) -> list[np.ndarray]:
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order that brings equal keys together, the starts of runs in it, and each key's run."""
-    order = np.argsort(keys)
+    # places stand in the keys' lowest bits: sorting values is faster than sorting their places
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    high = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
+    order = (high & low).astype(np.int64)
+    high &= ~low
     ordered = keys[order]
     new = np.r_[True, ordered[1:] != ordered[:-1]]
+    alike = high[1:][new[1:] & (high[1:] == high[:-1])]  # keys that differ in their lowest bits only
+    for key in np.unique(alike):
+        begin, end = np.searchsorted(high, key), np.searchsorted(high, key, "right")
+        order[begin:end] = order[begin:end][np.argsort(ordered[begin:end], kind="stable")]
+    if len(alike):
+        ordered = keys[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]]
     run = np.empty(len(keys), np.int64)
     run[order] = np.cumsum(new) - 1
     return order, np.flatnonzero(new), run
 
 
+def _gains(state: np.ndarray, count: np.ndarray, p: np.ndarray, n_state: np.ndarray) -> np.ndarray:
+    """Per state and strength what the left-one-out p(x|s) gains over its suffix's, in nats.
+
+    Of a gram seen once k/(n(s) - 1 + k) is left, whatever its p, so such grams are only counted.
+    """
+    size = len(n_state)
+    once, others = np.bincount(state[count == 1], minlength=size), np.maximum(n_state, 1) - 1
+    more = count > 1
+    at, c, q = state[more], count[more], p[more].astype(float)
+    beside, gains = others[at], np.empty((size, len(STRENGTHS)))
+    for i, k in enumerate(STRENGTHS):
+        gains[:, i] = once * np.log(k / (others + k)) + np.bincount(at, np.log((c - 1 + k * q) / ((beside + k) * q)) * c, size)
+    return gains
+
+
 def _merge(model: Model, level: int):
     def run(table: pa.Table) -> pa.Table:
         part, chunk = table.column("part")[0].as_py(), table.column("chunk").to_pylist()
         sizes = table.column("n").to_pylist()
         hashes, states, repeats, symbols, n, p = (np.concatenate(c) for c in zip(*map(_apart, table.column("grams").to_pylist()), strict=True))
-        state, n_state = np.repeat(hashes, repeats), np.repeat(states, repeats)
-        order, starts, gram = _runs(_more_hash(state, symbols))
+        order, starts, numbers = _runs(hashes)
+        known = order[starts]
+        n_state, state_hash, state = states[known].astype(float), hashes[known].view(np.int64), np.repeat(numbers, repeats)
+        order, starts, gram = _runs(_more_hash(np.repeat(hashes, repeats), symbols))
         count = np.add.reduceat(n[order].astype(np.int64), starts)
         head = order[starts]
-        del hashes, states, repeats, symbols
-        gain_of = count > 0
-        head_g, c, s, q = head[gain_of], count[gain_of], n_state[head[gain_of]].astype(float), p[head[gain_of]].astype(float)
-        code = np.zeros(len(head), np.int64)
-        hot_rows: list[tuple[int, int, list[float]]] = []
-        gained = 0.0
-        if len(head_g):
-            by, first, place = _runs(state[head_g])
-            gains = np.empty((len(first), len(STRENGTHS)))
-            for k, strength in enumerate(STRENGTHS):
-                left_out = np.log((c - 1 + strength * q) / (s - 1 + strength) / q) * c
-                gains[:, k] = np.add.reduceat(left_out[by], first)
-            states_n = s[by[first]]
-            best = gains.argmax(axis=1)
-            kept = gains[np.arange(len(best)), best] >= model.min_gain * states_n
-            hot = states_n > model.hot_from
-            hashes = state[head_g][by[first]].view(np.int64)
-            hot_rows = [(int(hashes[i]), int(states_n[i]), gains[i].tolist()) for i in np.flatnonzero(hot)]
-            state_code = np.where(kept & ~hot, best + 1, 0)
-            gained = float(gains[np.arange(len(best)), best][kept & ~hot].sum())
-            # grams without training count belong to states too
-            ordered = np.argsort(state[head_g][by[first]])
-            keys = state[head_g][by[first]][ordered]
-            at = np.minimum(np.searchsorted(keys, state[head]), len(keys) - 1)
-            code = np.where(keys[at] == state[head], state_code[ordered[at]], 0)
+        del hashes, states, repeats, symbols, n, order, starts, numbers
+        state = state[head]  # grams without training count belong to states too
+        gains = _gains(state, count, p[head], n_state)
+        best, top = gains.argmax(axis=1), gains.max(axis=1)
+        seen, hot = np.bincount(state[count > 0], minlength=len(n_state)) > 0, n_state > model.hot_from
+        kept = seen & ~hot & (top >= model.min_gain * n_state)
+        hot_rows = [(int(state_hash[i]), int(n_state[i]), gains[i].tolist()) for i in np.flatnonzero(seen & hot)]
+        gained = float(top[kept].sum())
+        code = np.where(kept, best + 1, 0)[state]
         values = ((count << 4) | code)[gram]
         cut = np.split(values, np.cumsum(sizes)[:-1])
         m = len(hot_rows) + 1  # the last row has what the states that pass gain

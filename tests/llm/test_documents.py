@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -111,6 +112,32 @@ def test_distinct_pairs_and_places(n, high):
     assert [pairs[i] for i in place] == list(zip(state.tolist(), symbol.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("keys", [[5], [7, 7, 7], [(9 << 40) + i % 3 for i in range(50)], [(i * 2654435761) % 97 << 50 for i in range(500)]])
+def test_runs_of_equal_keys(keys):
+    keys = np.array(keys, np.uint64)
+    order, starts, run = suffix_tree._runs(keys)
+    assert sorted(order.tolist()) == list(range(len(keys)))
+    assert len(starts) == len(set(keys.tolist())) and (keys[order[starts]][run] == keys).all()
+
+
+def test_gains_of_grams_seen_once_need_no_logarithm_each(monkeypatch):
+    # each gram had a logarithm for each strength
+    log, taken = np.log, []
+    monkeypatch.setattr(np, "log", lambda x: taken.append(np.size(x)) or log(x))
+    made = suffix_tree.Model(10**6, 1000, 10, 1, 2, 0.02)
+    states = np.arange(1, 11, dtype=np.uint64) << np.uint64(50)
+    n = np.ones(1010, np.uint32)
+    n[::101], n[1::101] = 5, 0
+    grams = suffix_tree._together([states, np.full(10, 104, np.uint32), np.full(10, 101, np.uint32), np.tile(np.arange(101, dtype=np.uint32), 10), n, np.full(1010, 0.0001, np.float32)])
+    reply = suffix_tree._merge(made, 1)(pa.table({"chunk": [1], "part": [0], "grams": [grams], "n": [1010]})).to_pylist()
+    assert sum(taken) <= 2 * 10 * len(suffix_tree.STRENGTHS)
+    q = float(np.float32(0.0001))
+    gains = [sum(c * math.log((c - 1 + k * q) / (104 - 1 + k) / q) for c in [5, *[1] * 99]) for k in suffix_tree.STRENGTHS]
+    code = int(np.argmax(gains)) + 1 if max(gains) >= 0.02 * 104 else 0
+    assert common.unpack(reply[0]["counts"]).tolist() == (n.astype(int) * 16 + code).tolist()
+    assert reply[1]["gains"] == [pytest.approx(10 * max(gains) if code else 0.0)]
+
+
 def test_suffix_tree_on_odd_tables(spark):
     docs = data.documents(spark, data.with_odd_rows(DATA)).withColumn("train", id_text_crc() % 10 != 0)
     assert suffix_tree.score_texts(docs).count() == len(DATA) + 4
